@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import types as T
 
+
+@functools.cache
+def struct(ddl: str) -> T.StructType:
+    """The parsed form of a schema below; needs a running session."""
+    return T.StructType.fromDDL(ddl)
+
+
 # --- feeds ----------------------------------------------------------------------
 TIMELINE_ITEM = """struct<content: struct<itemContent: struct<
     itemType: string,
@@ -32,7 +41,7 @@ ITEM_FEED = """struct<data: struct<items: array<struct<
     integrity_review_decision: string>>>>"""
 
 # --- topics ---------------------------------------------------------------------
-RAW_SOCIAL = T.StructType.fromDDL(
+RAW_SOCIAL = (
     "tweet_id string, ig_post_id string, raw_text string, cleaned_text string, "
     "translated_text string, description string, cleaned_description string, "
     "tweet_created_at string, created_at string, tweet_hashtags string, hashtags string, "
@@ -41,29 +50,29 @@ RAW_SOCIAL = T.StructType.fromDDL(
     "author_username string, platform string"
 )
 
-POSTS = T.StructType.fromDDL(
+POSTS = (
     "postId string, postText string, createdAt string, hashtags array<string>, "
     "location string, address string, city string, latitude double, longitude double, "
     "author_id string, author_name string, processedAt double, source string"
 )
 
-DISASTER_POSTS = T.StructType.fromDDL(
+DISASTER_POSTS = (
     "post_id string, classification_status string, disaster_type string, start_time timestamp, "
     "location struct<state: string, district: string, lat_lon: array<double>>, "
     "post_text string, keywords string, hashtags string, "
     "sentiment struct<label: string, confidence: double, reasoning: string>"
 )
 
-SUBSCRIBERS = T.StructType.fromDDL(
+SUBSCRIBERS = (
     "email string, locations array<string>, createdAt double, updatedAt double"
 )
 
-POLYGONS = T.StructType.fromDDL(
+POLYGONS = (
     "polygon_id bigint, state string, district string, "
     "rings array<array<struct<x: double, y: double>>>"
 )
 
-GEOJSON = T.StructType.fromDDL(
+GEOJSON = (
     "features array<struct<properties: struct<NAME_1: string, NAME_2: string>, "
     "geometry: struct<type: string, coordinates: string>>>"
 )

@@ -62,7 +62,7 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     Parts of a multi-polygon and holes become rings of one row; the even-odd rule tells them
     apart. ``polygon_id`` is the position in the file, which decides between overlaps.
     """
-    doc = spark.read.schema(schemas.GEOJSON).option("multiLine", True).json(path)
+    doc = spark.read.schema(schemas.struct(schemas.GEOJSON)).option("multiLine", True).json(path)
     feature = doc.select(F.posexplode("features").alias("polygon_id", "f"))
     kind, shape = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     rings = F.when(kind == "Polygon", F.from_json(shape, _RINGS)).otherwise(
