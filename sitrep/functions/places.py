@@ -56,20 +56,16 @@ def fuzzy_place(cols: Iterable[Column], wanted: str | None) -> Column | None:
     if not wanted or wanted.strip().lower() == "malaysia":
         return None
     terms = [t for t in wanted.lower().replace(",", " ").split() if t]
-    hits = []
-    for c in cols:
-        words = F.split(F.lower(c), r"[^\p{L}\p{N}]+")
-        for term in terms:
-            k = fuzzy_limit(term)
-            hits.append(
-                F.coalesce(
-                    F.exists(
-                        words,
-                        lambda w, t=term, n=k: (w != "") & (F.levenshtein(w, F.lit(t), n) >= 0),
-                    ),
-                    F.lit(False),
-                )
-            )
+
+    def near(words: Column, term: str) -> Column:
+        k = fuzzy_limit(term)
+        close = F.exists(
+            words, lambda w: (w != "") & (F.levenshtein(w, F.lit(term), k) >= 0)
+        )
+        return F.coalesce(close, F.lit(False))
+
+    word_lists = [F.split(F.lower(c), r"[^\p{L}\p{N}]+") for c in cols]
+    hits = [near(words, term) for words in word_lists for term in terms]
     return functools.reduce(operator.or_, hits)
 
 

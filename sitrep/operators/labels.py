@@ -37,16 +37,15 @@ def label_incident(posts: DataFrame, column: str, min_length: int = 5) -> DataFr
             ),
         ),
     )
-    tallies = F.array(
-        *[
-            F.struct(
-                F.size(F.filter("_types", lambda t, k=kind: t == k)).alias("n"),
-                F.lit(-i).alias("rank"),
-                F.lit(kind).alias("type"),
-            )
-            for i, kind in enumerate(K.INCIDENT_TYPES)
-        ]
-    )
+
+    def tally(kind: str, position: int) -> Column:
+        return F.struct(
+            F.size(F.filter("_types", lambda t: t == kind)).alias("n"),
+            F.lit(-position).alias("rank"),
+            F.lit(kind).alias("type"),
+        )
+
+    tallies = F.array(*[tally(kind, i) for i, kind in enumerate(K.INCIDENT_TYPES)])
     scored = found.withColumn("_best", F.array_max(tallies))
     named = F.size("_types") > 0
     return scored.withColumns(
