@@ -182,7 +182,7 @@ def as_raw_topic(df: DataFrame) -> DataFrame:
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schemas.struct(schemas.RAW_SOCIAL).fields
+            for f in schemas.struct(schemas.RAW_TOPIC).fields
         ]
     )
 

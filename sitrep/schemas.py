@@ -41,7 +41,7 @@ ITEM_FEED = """struct<data: struct<items: array<struct<
     integrity_review_decision: string>>>>"""
 
 # --- topics ---------------------------------------------------------------------
-RAW_SOCIAL = (
+RAW_TOPIC = (
     "tweet_id string, ig_post_id string, raw_text string, cleaned_text string, "
     "translated_text string, description string, cleaned_description string, "
     "tweet_created_at string, created_at string, tweet_hashtags string, hashtags string, "
