@@ -10,24 +10,27 @@ from pyspark.sql.streaming import DataStreamWriter
 CORRUPT = "_corrupt_record"
 
 
+def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Typed columns plus the text of lines that do not fit the schema."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json(F.col("value"), full, {"columnNameOfCorruptRecord": CORRUPT})
+    return lines.where(F.trim("value") != "").select(parsed.alias("d")).select("d.*")
+
+
 def read_topic(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
 ) -> DataFrame:
-    """A stream of JSON values with a fixed schema; unparsable lines land in one column."""
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.readStream.schema(full).option("columnNameOfCorruptRecord", CORRUPT)
+    """A stream of JSON lines with a fixed schema; unparsable lines land in one column."""
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    return _parsed(reader.text(path), schema)
 
 
 def read_broker(spark: SparkSession, schema: T.StructType, **options: str) -> DataFrame:
     """The same rows from a message broker (needs the connector package on the classpath)."""
     rows = spark.readStream.format("kafka").options(**options).load()
-    text = F.col("value").cast("string")
-    return rows.select(
-        F.from_json(text, schema).alias("d"), text.alias(CORRUPT), F.try_parse_json(text).alias("j")
-    ).select("d.*", F.when(F.col("j").isNull(), F.col(CORRUPT)).alias(CORRUPT))
+    return _parsed(rows.select(F.col("value").cast("string").alias("value")), schema)
 
 
 def good_rows(topic: DataFrame) -> DataFrame:
