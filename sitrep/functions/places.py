@@ -14,10 +14,16 @@ from sitrep.functions.text import literal_map
 
 
 def mentions_any(c: Column, names: Iterable[str] = K.PLACE_KEYWORDS) -> Column:
-    """The lower-cased text contains one of the names; null and '' do not."""
-    low = F.lower(c)
-    hit = functools.reduce(operator.or_, [F.contains(low, F.lit(n)) for n in names])
-    return F.coalesce(hit, F.lit(False))
+    """The lower-cased text contains one of the names; null and '' do not.
+
+    Written over a one-element array so that the text is lower-cased once, not once per name.
+    """
+    names = list(names)
+
+    def hit(low: Column) -> Column:
+        return functools.reduce(operator.or_, [F.contains(low, F.lit(n)) for n in names])
+
+    return F.coalesce(F.exists(F.array(F.lower(c)), hit), F.lit(False))
 
 
 def any_mentions(cols: Iterable[Column], names: Iterable[str] = K.PLACE_NAMES) -> Column:

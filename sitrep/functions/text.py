@@ -1,6 +1,9 @@
 """Text cleaning, tokens, lexicon matches and labels.
 
-Java's ``\\s`` and ``\\w`` are ASCII only; the classes below spell out the Unicode meaning.
+Java's ``\\s`` and ``\\w`` are ASCII only; the classes below spell out the Unicode meaning. Texts
+are long and mostly ASCII, so every pattern rejects an ASCII character with one cheap test
+before it consults a Unicode class, and a pass that needs a rare marker ('@', 'http') only runs
+on texts that contain it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ SPACE = (
     r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+SPACE_CHARS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"\p{L}\p{N}_"
 KEYCAP = r"[0-9#*]\x{FE0F}?\x{20E3}"
 EMOJI = (
@@ -24,40 +31,61 @@ EMOJI = (
     r"\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{25AA}-\x{25FE}"
     r"\x{2934}\x{2935}\x{3030}\x{303D}\x{3297}\x{3299}\x{A9}\x{AE}\x{FE0F}\x{200D}]"
 )
+# the same classes behind a cheap first test
+_EMOJI = rf"[\x{{A9}}-\x{{1FAFF}}&&{EMOJI}]"
+_ODD_SPACE = rf"[\x00-\x1F\x{{85}}-\x{{3000}}&&[{SPACE}]]"
+_NOT_WORD = rf"[\W&&[^{WORD}]]"
+_NOT_WORD_OR_SPACE = rf"[\W&&[^{WORD}{SPACE}]]"
+
 
+def _where_present(c: Column, marker: str, pattern: str) -> Column:
+    """Delete a pattern, in the texts that contain its marker."""
+    return F.when(F.contains(c, F.lit(marker)), F.regexp_replace(c, pattern, "")).otherwise(c)
 
-def squeeze(c: Column) -> Column:
-    """Runs of white space become one space; none at either end."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+
+def plain_spaces(c: Column) -> Column:
+    """Any white space becomes a blank."""
+    return F.regexp_replace(c, _ODD_SPACE, " ")
 
 
 def strip_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(c, F.lit(SPACE_CHARS))
+
+
+def drop_keycaps(c: Column) -> Column:
+    return _where_present(c, "\u20e3", KEYCAP)
 
 
 def drop_emoji(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, KEYCAP, ""), EMOJI, "")
+    return F.regexp_replace(drop_keycaps(c), _EMOJI, "")
 
 
 def clean_text(c: Column) -> Column:
-    """Post text without links, mentions, emoji and punctuation."""
-    c = F.regexp_replace(c, f"http[^{SPACE}]+", "")
-    c = F.regexp_replace(c, f"@[{WORD}]+", "")
-    c = drop_emoji(c)
-    return squeeze(F.regexp_replace(c, f"[^A-Za-z0-9{SPACE}]", ""))
+    """Post text without links, mentions, emoji and punctuation.
+
+    Other emoji than keycaps need no pass of their own: none holds a letter or digit.
+    """
+    c = _where_present(c, "http", f"http[^{SPACE}]+")
+    c = _where_present(c, "@", f"@[{WORD}]+")
+    c = plain_spaces(drop_keycaps(c))
+    c = F.regexp_replace(c, r"[[^\w ]_]+", "")
+    return F.trim(F.regexp_replace(c, "  +", " "))
 
 
 def clean_caption(c: Column) -> Column:
     """Caption text: emoji first, then links, tags and mentions; keeps ``.,!?``. Null is ''."""
     c = drop_emoji(F.coalesce(c, F.lit("")))
-    c = F.regexp_replace(c, f"http[^{SPACE}]+|www[^{SPACE}]+", "")
-    c = F.regexp_replace(c, f"[@#][{WORD}]+", "")
-    return squeeze(F.regexp_replace(c, f"[^a-zA-Z0-9{SPACE}.,!?]", ""))
+    links = F.contains(c, F.lit("http")) | F.contains(c, F.lit("www"))
+    c = F.when(links, F.regexp_replace(c, f"http[^{SPACE}]+|www[^{SPACE}]+", "")).otherwise(c)
+    tags = F.contains(c, F.lit("@")) | F.contains(c, F.lit("#"))
+    c = F.when(tags, F.regexp_replace(c, f"[@#][{WORD}]+", "")).otherwise(c)
+    c = F.regexp_replace(plain_spaces(c), r"[[^\w .,!?]_]+", "")
+    return F.trim(F.regexp_replace(c, "  +", " "))
 
 
 def clean_hashtag(c: Column) -> Column:
     """One hashtag: lower case, no leading '#', blanks or punctuation."""
-    return F.regexp_replace(F.lower(c), f"[^{WORD}]", "")
+    return F.regexp_replace(F.lower(c), f"{_NOT_WORD}+", "")
 
 
 def hashtag_list(c: Column) -> Column:
@@ -70,14 +98,14 @@ def hashtag_list(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case alphabetic tokens without English and Malay stopwords."""
-    stop = F.array(*[F.lit(w) for w in K.ENGLISH_STOPWORDS + K.MALAY_STOPWORDS])
-    parts = F.split(F.lower(c), f"[^{WORD}]+")
-    return F.filter(parts, lambda t: t.rlike(r"^\p{L}+$") & ~F.array_contains(stop, t))
+    stop = [*K.ENGLISH_STOPWORDS, *K.MALAY_STOPWORDS, ""]
+    parts = F.split(F.lower(c), f"{_NOT_WORD}+")
+    return F.filter(parts, lambda t: ~t.isin(stop) & t.rlike(r"^\p{L}+$"))
 
 
 def tidy_topic(c: Column) -> Column:
     """A topic phrase in lower case without punctuation."""
-    return strip_space(F.regexp_replace(F.lower(c), f"[^{WORD}{SPACE}]", ""))
+    return strip_space(F.regexp_replace(F.lower(c), f"{_NOT_WORD_OR_SPACE}+", ""))
 
 
 def keyword_text(value: Column) -> Column:
@@ -100,16 +128,37 @@ def hashtag_label(c: Column) -> Column:
 
 
 # --- lexicon matching ------------------------------------------------------------
-def alternation(terms: Iterable[str]) -> str:
-    """Longest term first, so 'banjir kilat' wins over 'kilat'."""
-    ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-    return "|".join(ordered)
+def factored(terms: Iterable[str]) -> str:
+    """A choice of terms with common beginnings written once: a position in the text tries a few
+    first letters instead of every term. The longest term wins: 'banjir kilat' over 'banjir'."""
+    tree: dict = {}
+    for term in set(terms):
+        node = tree
+        for ch in term:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        branches = [
+            (ch if ch.isalnum() or ch in " _" else "\\" + ch) + write(node[ch])
+            for ch in sorted(node)
+            if ch
+        ]
+        if not branches:
+            return ""
+        if len(branches) == 1 and "" not in node:
+            return branches[0]
+        return "(?:" + "|".join(branches) + ")" + ("?" if "" in node else "")
+
+    return write(tree)
 
 
 def word_pattern(terms: Iterable[str], prefix: bool = False) -> str:
     """Terms as whole words, or as word beginnings when ``prefix``."""
-    tail = "" if prefix else f"(?![{WORD}])"
-    return f"(?<![{WORD}])({alternation(terms)}){tail}"
+    terms = set(terms)
+    first = "".join(sorted({t[0] for t in terms}))
+    tail = "" if prefix else rf"(?![\w{WORD}])"
+    return rf"(?<![\w{WORD}])(?=[{first}])({factored(terms)}){tail}"
 
 
 def term_matches(c: Column, terms: Iterable[str], prefix: bool = False) -> Column:
@@ -117,6 +166,12 @@ def term_matches(c: Column, terms: Iterable[str], prefix: bool = False) -> Colum
     return F.regexp_extract_all(F.lower(c), F.lit(word_pattern(terms, prefix)), F.lit(1))
 
 
+def count_in(found: Column, terms: Iterable[str]) -> Column:
+    """How many of the found terms belong to a list."""
+    wanted = list(terms)
+    return F.size(F.filter(found, lambda m: m.isin(wanted)))
+
+
 def has_term(c: Column, terms: Iterable[str], prefix: bool = False) -> Column:
     return F.lower(c).rlike(word_pattern(terms, prefix))
 
@@ -129,5 +184,5 @@ def normalise_terms(c: Column) -> Column:
     """Malay hazard terms replaced by their English type, longest first; text lower-cased."""
     out = F.lower(c)
     for malay in sorted(K.MALAY_TERMS, key=lambda t: (-len(t), t)):
-        out = F.regexp_replace(out, malay, K.MALAY_TERMS[malay])
+        out = F.replace(out, F.lit(malay), F.lit(K.MALAY_TERMS[malay]))
     return out

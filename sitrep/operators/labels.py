@@ -61,10 +61,13 @@ def label_incident(posts: DataFrame, column: str, min_length: int = 5) -> DataFr
 def label_severity(posts: DataFrame, column: str) -> DataFrame:
     """Adds ``sentiment_label`` and ``confidence_level``: urgent terms, else warning terms,
     else informational."""
-    counted = posts.withColumns(
+    found = posts.withColumn(
+        "_found", text.term_matches(F.col(column), [*K.URGENT_TERMS, *K.WARNING_TERMS])
+    )
+    counted = found.withColumns(
         {
-            "_urgent": F.size(text.term_matches(F.col(column), K.URGENT_TERMS)),
-            "_warning": F.size(text.term_matches(F.col(column), K.WARNING_TERMS)),
+            "_urgent": text.count_in(F.col("_found"), K.URGENT_TERMS),
+            "_warning": text.count_in(F.col("_found"), K.WARNING_TERMS),
         }
     )
     urgent, warning = F.col("_urgent"), F.col("_warning")
@@ -78,7 +81,7 @@ def label_severity(posts: DataFrame, column: str) -> DataFrame:
             .when(warning > 0, F.lit(1.0))
             .otherwise(F.lit(0.5)),
         }
-    ).drop("_urgent", "_warning")
+    ).drop("_urgent", "_warning", "_found")
 
 
 def label_authenticity(posts: DataFrame, column: str) -> DataFrame:
@@ -88,19 +91,19 @@ def label_authenticity(posts: DataFrame, column: str) -> DataFrame:
     dramatic claims without measure or source are misinformation; the rest is uncertain.
     """
     rows = K.gazetteer_rows()
-    c = F.col(column)
-    flagged = posts.withColumns(
+    low = posts.withColumn("_low", F.lower(F.col(column)))
+    cues = [*K.FIRST_HAND_TERMS, *K.OFFICIAL_TERMS, *K.DRAMATIC_TERMS]
+    flagged = low.withColumns(
         {
-            "_place": text.has_term(c, [n for n, _, _ in rows]),
-            "_measure": F.lower(c).rlike(K.MEASURE_PATTERN),
-            "_witness": text.has_term(c, K.FIRST_HAND_TERMS),
-            "_official": text.has_term(c, K.OFFICIAL_TERMS),
-            "_dramatic": text.has_term(c, K.DRAMATIC_TERMS),
+            "_place": text.has_term(F.col("_low"), [n for n, _, _ in rows]),
+            "_measure": F.col("_low").rlike(K.MEASURE_PATTERN),
+            "_cues": text.term_matches(F.col("_low"), cues),
         }
     )
-    place, measure, witness, official, dramatic = (
-        F.coalesce(F.col(n), F.lit(False))
-        for n in ("_place", "_measure", "_witness", "_official", "_dramatic")
+    place, measure = (F.coalesce(F.col(n), F.lit(False)) for n in ("_place", "_measure"))
+    witness, official, dramatic = (
+        F.coalesce(text.count_in(F.col("_cues"), terms) > 0, F.lit(False))
+        for terms in (K.FIRST_HAND_TERMS, K.OFFICIAL_TERMS, K.DRAMATIC_TERMS)
     )
     evidence = place.cast("int") + measure.cast("int") + witness.cast("int") + official.cast("int")
     label = (
@@ -110,7 +113,7 @@ def label_authenticity(posts: DataFrame, column: str) -> DataFrame:
     )
     return flagged.withColumns(
         {"check_label": label, "confidence": F.round(F.lit(0.5) + evidence * F.lit(0.125), 3)}
-    ).drop("_place", "_measure", "_witness", "_official", "_dramatic")
+    ).drop("_low", "_place", "_measure", "_cues")
 
 
 def topic_phrase(posts: DataFrame, column: str) -> DataFrame:

@@ -10,10 +10,11 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sitrep import schemas
+from sitrep.functions import text
 from sitrep.operators import (
     assemble,
     consolidate,
@@ -24,7 +25,7 @@ from sitrep.operators import (
     metrics,
     tables,
 )
-from sitrep.sources.tables import VersionedTable
+from sitrep.sources.tables import BatchLog, VersionedTable
 
 log = logging.getLogger(__name__)
 
@@ -57,21 +58,40 @@ class Batch:
     root: str
     polygons: DataFrame
     now: str
+    number: int = 0
 
     def table(self, name: str, ddl: str) -> VersionedTable:
+        """A derived table, replaced by each run."""
         return VersionedTable(self.spark, f"{self.root}/{name}", schemas.struct(ddl))
 
+    def log(self, name: str, ddl: str) -> BatchLog:
+        """A table each run only appends to, in a folder of its own."""
+        return BatchLog(self.spark, f"{self.root}/{name}", schemas.struct(ddl))
+
+    @property
+    def posts(self) -> BatchLog:
+        return self.log("posts", schemas.POSTS)
+
+    @property
+    def disaster_posts(self) -> BatchLog:
+        return self.log("disaster_posts", schemas.DISASTER_POSTS)
+
     # --- stages: each returns (processed, inserted, skipped) -----------------------------
     def ingest(self, raw: DataFrame) -> tuple[int, int, int]:
-        """Authentic raw rows become posts; ids the table has are skipped."""
-        posts = self.table("posts", schemas.POSTS)
-        known = posts.read()
+        """Authentic raw rows become posts; ids the table has are skipped.
+
+        The texts are judged once: the rows are counted while they are written.
+        """
+        seen = Observation("ingest")
         at = F.lit(self.now).cast("timestamp")
-        unified = enrich.gate(raw, F.unix_timestamp(at).cast("double"))
-        counted = tables.insert_counts(unified, known, ["postId"]).first()
+        unified = enrich.gate(raw, F.unix_timestamp(at).cast("double")).observe(
+            seen, F.count(F.lit(1)).alias("rows")
+        )
+        known = self.posts.read(before=self.number)
         fresh = tables.absent_rows(unified, known, ["postId"], ["createdAt", "postText"])
-        posts.write(known.unionByName(fresh))
-        return counted.inserted + counted.skipped, counted.inserted, counted.skipped
+        self.posts.append(fresh, self.number)
+        inserted = self.posts.read_batch(self.number).count()
+        return seen.get["rows"], inserted, seen.get["rows"] - inserted
 
     def _label(
         self,
@@ -80,14 +100,11 @@ class Batch:
         rule: Callable[[DataFrame], DataFrame],
     ) -> tuple[int, int, int]:
         """Label the posts the table has no row for, in one set-based pass."""
-        out = self.table(name, ddl)
-        done = out.read()
-        posts = self.table("posts", schemas.POSTS).read()
-        fresh = rule(tables.pending(posts, done, "postId", "post_id"))
-        before = done.count()
-        out.write(done.unionByName(fresh.select(*done.columns)))
-        added = out.read().count() - before
-        return added, added, before
+        out = self.log(name, ddl)
+        todo = tables.pending(self.posts.read(), out.read(before=self.number), "postId", "post_id")
+        out.append(rule(todo), self.number)
+        added = out.read_batch(self.number).count()
+        return added, added, 0
 
     def topics(self) -> tuple[int, int, int]:
         return self._label(
@@ -106,10 +123,10 @@ class Batch:
 
     def incidents(self) -> tuple[int, int, int]:
         def rule(posts: DataFrame) -> DataFrame:
-            text = F.concat_ws(" ", "postText", F.array_join("hashtags", " "))
-            return labels.label_incident(posts.withColumn("_text", text), "_text").withColumnRenamed(
-                "postId", "post_id"
-            )
+            words = F.concat_ws(" ", "postText", F.array_join("hashtags", " "))
+            return labels.label_incident(
+                posts.withColumn("_text", words), "_text"
+            ).withColumnRenamed("postId", "post_id")
 
         return self._label("incidents", INCIDENTS, rule)
 
@@ -123,22 +140,25 @@ class Batch:
         )
 
     def assemble(self) -> tuple[int, int, int]:
-        posts = self.table("posts", schemas.POSTS).read()
-        place = self.table("geo", GEO).read().withColumnRenamed("post_id", "postId")
-        topic = self.table("topics", TOPICS).read().select(
+        """Posts that became complete are appended; the incomplete ones are counted."""
+        out = self.disaster_posts
+        done = out.read(before=self.number)
+        waiting = tables.pending(self.posts.read(), done, "postId", "post_id")
+        place = self.log("geo", GEO).read().withColumnRenamed("post_id", "postId")
+        topic = self.log("topics", TOPICS).read().select(
             F.col("post_id").alias("postId"), F.col("topic").alias("keywords")
         )
-        complete = posts.join(place, "postId", "left").join(topic, "postId", "left")
-        incidents = self.table("incidents", INCIDENTS).read()
-        severities = self.table("severities", SEVERITIES).read()
-        out = self.table("disaster_posts", schemas.DISASTER_POSTS)
-        out.write(assemble.assemble(complete, incidents, severities, F.lit(self.now).cast("timestamp")))
-        made = out.read().count()
+        complete = waiting.join(place, "postId", "left").join(topic, "postId", "left")
+        incidents = tables.pending(self.log("incidents", INCIDENTS).read(), done, "post_id")
+        severities = self.log("severities", SEVERITIES).read()
+        now = F.lit(self.now).cast("timestamp")
+        out.append(assemble.assemble(complete, incidents, severities, now), self.number)
+        made = out.read_batch(self.number).count()
         gaps = assemble.assembly_gaps(complete, incidents, severities).count()
         return made + gaps, made, gaps
 
     def consolidate(self) -> tuple[int, int, int]:
-        posts = self.table("disaster_posts", schemas.DISASTER_POSTS).read()
+        posts = self.disaster_posts.read()
         events = self.table("events", EVENTS)
         events.write(consolidate.consolidate(posts, keyed_by_post=True))
         members = self.table("event_posts", MEMBERS)
@@ -148,18 +168,14 @@ class Batch:
 
     def figures(self) -> tuple[int, int, int]:
         events = self.table("events", EVENTS).read()
-        posts = self.table("disaster_posts", schemas.DISASTER_POSTS).read()
         out = self.table("figures", FIGURES)
-        out.write(metrics.dashboard(events, posts))
+        out.write(metrics.dashboard(events, self.disaster_posts.read()))
         return events.count(), out.read().count(), 0
 
     def trends(self) -> tuple[int, int, int]:
-        posts = self.table("disaster_posts", schemas.DISASTER_POSTS).read()
-        tagged = posts.withColumn("keywords_generated", F.lit(True))
-        mapping = labels.canonical_topics(
-            posts.select(F.regexp_replace("keywords", "[^\\p{L}\\p{N}_ ]", "").alias("topic"))
-        )
-        keywords = metrics.topic_counts(tagged, mapping)
+        posts = self.disaster_posts.read().withColumn("keywords_generated", F.lit(True))
+        topics = posts.select(text.tidy_topic(F.col("keywords")).alias("topic"))
+        keywords = metrics.topic_counts(posts, labels.canonical_topics(topics))
         hashtags = metrics.hashtag_counts(posts, as_list=None, as_text="hashtags")
         out = self.table("tracking_keyword", TERMS)
         out.write(metrics.tracking_terms(keywords, hashtags))
@@ -179,6 +195,8 @@ class Batch:
             ("figures", self.figures),
             ("trends", self.trends),
         ]
+        written = self.posts.batches()
+        self.number = written[-1] + 1 if written else 0
         report = []
         for name, stage in stages:
             try:

@@ -6,7 +6,7 @@ Written from the meaning of each operator, not from its Spark plan.
 from __future__ import annotations
 
 from sitrep import constants as K
-from sitrep.functions.text import EMOJI, KEYCAP, SPACE, WORD, alternation
+from sitrep.functions.text import EMOJI, KEYCAP, SPACE, WORD
 from sitrep.plans import proxies as X
 from sitrep.plans.queries import ALERT_NOW, UNSUBSCRIBE
 
@@ -41,6 +41,10 @@ def lon(key: str) -> str:
     return f"(98.5e0 + CAST(({key} * 53) % 2200 AS DOUBLE) / 100e0)"
 
 
+def alternation(terms) -> str:
+    return "|".join(sorted(set(terms), key=lambda t: (-len(t), t)))
+
+
 def found(text: str, terms, prefix: bool = False) -> str:
     """All terms in a text. Separators are doubled because this dialect has no look-around, so
     that one can end a term and the other start the next."""

@@ -41,6 +41,8 @@ def salted_join(
     loss produces the same rows. ``small`` is repeated once per salt. No broadcast is forced.
     """
     spread = list(spread or big.columns)
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    # never null, so that no null filter is pushed below a shuffle others could share
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"), F.lit(0))
+    left = big.withColumn("_salt", salt)
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

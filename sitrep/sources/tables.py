@@ -6,6 +6,8 @@ leaves the previous version in place, and a version being read is never overwrit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -56,32 +58,46 @@ class VersionedTable:
 
 
 class BatchLog:
-    """An append-only table with one folder per micro-batch; a repeated batch replaces its own
-    folder, so nothing is written twice."""
+    """An append-only table with one folder per batch; a repeated batch replaces its own folder,
+    so nothing is written twice. ``compact`` keeps the number of folders to read small."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def batches(self) -> list[int]:
-        return [int(n[6:]) for n in _list(self.spark, self.path) if n.startswith("batch=")]
+        return self._numbers("batch=")
 
     def append(self, df: DataFrame, batch: int) -> None:
-        ordered = df.select(*[df[f.name].cast(f.dataType) for f in self.schema.fields])
-        ordered.write.mode("overwrite").parquet(self._dir(batch))
-
-    def read(self, before: int | None = None, after: int | None = None) -> DataFrame:
-        """Rows of all batches, or of those numbered below ``before`` and above ``after``."""
-        wanted = [
-            b
-            for b in self.batches()
-            if (before is None or b < before) and (after is None or b > after)
-        ]
-        if not wanted:
+        self._write(df, "batch=", batch)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """Rows of all batches, or of those numbered below ``before``."""
+        def wanted(numbers: list[int]) -> list[int]:
+            return [n for n in numbers if before is None or n < before]
+
+        bases = wanted(self._numbers("base="))
+        start = bases[-1] if bases else -1
+        paths = [self._dir("base=", start)] if bases else []
+        paths += [self._dir("batch=", b) for b in wanted(self.batches()) if b > start]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[self._dir(b) for b in wanted])
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
     def read_batch(self, batch: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self._dir(batch))
+        return self.spark.read.schema(self.schema).parquet(self._dir("batch=", batch))
+
+    def compact(
+        self, through: int, merge: Callable[[DataFrame], DataFrame] = lambda df: df
+    ) -> None:
+        """Write all rows up to a finished batch to one base; later reads start there."""
+        self._write(merge(self.read(before=through + 1)), "base=", through)
+
+    def _numbers(self, prefix: str) -> list[int]:
+        return [int(n.removeprefix(prefix)) for n in _list(self.spark, self.path) if n.startswith(prefix)]
+
+    def _write(self, df: DataFrame, prefix: str, number: int) -> None:
+        ordered = df.select(*[df[f.name].cast(f.dataType) for f in self.schema.fields])
+        ordered.write.mode("overwrite").parquet(self._dir(prefix, number))
 
-    def _dir(self, batch: int) -> str:
-        return f"{self.path}/batch={batch:012d}"
+    def _dir(self, prefix: str, number: int) -> str:
+        return f"{self.path}/{prefix}{number:012d}"

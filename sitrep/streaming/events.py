@@ -18,7 +18,7 @@ from sitrep import schemas
 from sitrep.operators import alerts
 from sitrep.operators import consolidate as C
 from sitrep.skew import one_per_key
-from sitrep.sources.tables import BatchLog, VersionedTable
+from sitrep.sources.tables import BatchLog
 
 KEYED = (
     "post_id string, classification_type string, location_district string, slice bigint, "
@@ -62,27 +62,15 @@ class EventStore:
         self.changes = log("changes", CHANGES)
         self.alert_log = log("alert_log", ALERT_LOG)
         self.outbox = log("outbox", OUTBOX)
-        self.base = VersionedTable(
-            self.spark, f"{self.root}/slices_base", schemas.struct(SLICES)
-        )
 
     # --- reading ---------------------------------------------------------------------
-    def parts(self, before: int | None = None) -> DataFrame:
-        """Partial slices of all batches below ``before``: the compacted base and later ones."""
-        bases = [v for v in self.base.versions() if before is None or v < before]
-        if not bases:
-            return self.slices.read(before=before)
-        return self.base.read(bases[-1]).unionByName(
-            self.slices.read(before=before, after=bases[-1])
-        )
-
     def events(self) -> DataFrame:
         """The current event table."""
-        return C.events_from_slices(C.merge_slices(self.parts()), self.gap_hours)
+        return C.events_from_slices(C.merge_slices(self.slices.read()), self.gap_hours)
 
     def event_posts(self) -> DataFrame:
         """The current link table of events and posts."""
-        lookup = C.slice_events(C.merge_slices(self.parts()), self.gap_hours)
+        lookup = C.slice_events(C.merge_slices(self.slices.read()), self.gap_hours)
         rows = self.posts.read().select("post_id", *C.SLICE_KEYS)
         return C.salted_join(rows, lookup, C.SLICE_KEYS, spread=["post_id"]).select(
             "event_id", "post_id"
@@ -108,7 +96,7 @@ class EventStore:
         """Events of the (type, district) keys this batch touched, before and after it."""
         fresh = self.slices.read_batch(batch)
         touched = fresh.select(*C.EVENT_KEYS).distinct()
-        old = self.parts(before=batch).join(touched, C.EVENT_KEYS, "left_semi")
+        old = self.slices.read(before=batch).join(touched, C.EVENT_KEYS, "left_semi")
         return (
             C.events_from_slices(C.merge_slices(old), self.gap_hours),
             C.events_from_slices(C.merge_slices(old.unionByName(fresh)), self.gap_hours),
@@ -124,7 +112,7 @@ class EventStore:
         """
         changed = self.changes.read_batch(batch).where(~F.col("is_deleted")).drop("is_deleted")
         keys = changed.select(*C.EVENT_KEYS).distinct()
-        parts = self.parts(before=batch + 1).join(keys, C.EVENT_KEYS, "left_semi")
+        parts = self.slices.read(before=batch + 1).join(keys, C.EVENT_KEYS, "left_semi")
         owner = C.slice_events(C.merge_slices(parts), self.gap_hours)
         last = (
             self.alert_log.read(before=batch)
@@ -149,5 +137,7 @@ class EventStore:
         )
 
     def compact(self, through: int) -> None:
-        """Merge the slice log up to a finished batch into one base; later reads start there."""
-        self.base.write(C.merge_slices(self.parts(before=through + 1)), version=through)
+        """Shorten the logs up to a finished batch; slices are merged, the rest is copied."""
+        self.slices.compact(through, C.merge_slices)
+        self.posts.compact(through)
+        self.alert_log.compact(through)
