@@ -144,6 +144,12 @@ RANKING_UNKNOWN = ["Unknown District", "unknown district", "unknown", ""]
 FILTERED_RANKING_UNKNOWN = ["Unknown District", "Unknown", "unknown district", ""]
 NO_TERM = ["null", "", "none"]
 
+# --- fixed values: how a place was found ---------------------------------------
+FOUND_BY_BOTH = "gps_verified_by_ai"
+FOUND_BY_TEXT = "ai_opencage_rescue"
+FOUND_BY_GPS = "gps_only"
+NOT_FOUND = "none"
+
 # --- fixed values: limits -----------------------------------------------------
 EVENT_GAP_HOURS = 24
 ALERT_COOLDOWN_MINUTES = 60

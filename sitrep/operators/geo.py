@@ -246,22 +246,22 @@ def resolve_geo(posts: DataFrame, polygons: DataFrame, text_column: str = "postT
     decision = (
         F.when(
             confirmed,
-            result(gps["state"], gps["district"], lat, lon, F.lit(True), 1.0, "gps_verified_by_ai"),
+            result(gps["state"], gps["district"], lat, lon, F.lit(True), 1.0, K.FOUND_BY_BOTH),
         )
         .when(
             at.isNotNull(),
             result(
                 intent["state"], at["district"], at["lat"], at["lon"], F.lit(True), 0.8,
-                "ai_opencage_rescue",
+                K.FOUND_BY_TEXT,
             ),
         )
         .when(
             gps.isNotNull(),
-            result(gps["state"], gps["district"], lat, lon, F.lit(True), 0.6, "gps_only"),
+            result(gps["state"], gps["district"], lat, lon, F.lit(True), 0.6, K.FOUND_BY_GPS),
         )
         .otherwise(
             result(
-                F.lit(K.UNKNOWN_STATE), F.lit(K.UNKNOWN_DISTRICT), lat, lon, inside, 0.0, "none"
+                F.lit(K.UNKNOWN_STATE), F.lit(K.UNKNOWN_DISTRICT), lat, lon, inside, 0.0, K.NOT_FOUND
             )
         )
     )

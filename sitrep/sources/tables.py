@@ -12,20 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _list(spark: SparkSession, path: str) -> list[str]:
-    """Names of the finished folders below a path, on any file system Spark can reach."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    done = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        marker = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if status.isDirectory() and fs.exists(marker):
-            done.append(name)
-    return sorted(done)
+class _Folder:
+    """Numbered folders below a path, on any file system Spark can reach."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._root = self._path(path)
+        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self, prefix: str, above: int = -1) -> list[int]:
+        """Numbers of the finished folders with a prefix. Only those above a limit are looked
+        into, so a long history costs one listing."""
+        if not self._fs.exists(self._root):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
+        listed = [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)]
+        return sorted(n for n in listed if n > above and self._finished(prefix, n))
+
+    def _finished(self, prefix: str, number: int) -> bool:
+        return self._fs.exists(self._path(self._root, f"{prefix}{number:012d}/_SUCCESS"))
 
 
 class VersionedTable:
@@ -35,7 +40,7 @@ class VersionedTable:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def versions(self) -> list[int]:
-        return [int(n[1:]) for n in _list(self.spark, self.path) if n.startswith("v")]
+        return _Folder(self.spark, self.path).numbers("v")
 
     def read(self, version: int | None = None) -> DataFrame:
         """The given or the latest version; an unwritten table is empty."""
@@ -65,20 +70,19 @@ class BatchLog:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def batches(self) -> list[int]:
-        return self._numbers("batch=")
+        return _Folder(self.spark, self.path).numbers("batch=")
 
     def append(self, df: DataFrame, batch: int) -> None:
         self._write(df, "batch=", batch)
 
     def read(self, before: int | None = None) -> DataFrame:
         """Rows of all batches, or of those numbered below ``before``."""
-        def wanted(numbers: list[int]) -> list[int]:
-            return [n for n in numbers if before is None or n < before]
-
-        bases = wanted(self._numbers("base="))
+        folder = _Folder(self.spark, self.path)
+        bases = [n for n in folder.numbers("base=") if before is None or n < before]
         start = bases[-1] if bases else -1
+        later = [n for n in folder.numbers("batch=", start) if before is None or n < before]
         paths = [self._dir("base=", start)] if bases else []
-        paths += [self._dir("batch=", b) for b in wanted(self.batches()) if b > start]
+        paths += [self._dir("batch=", n) for n in later]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
@@ -92,9 +96,6 @@ class BatchLog:
         """Write all rows up to a finished batch to one base; later reads start there."""
         self._write(merge(self.read(before=through + 1)), "base=", through)
 
-    def _numbers(self, prefix: str) -> list[int]:
-        return [int(n.removeprefix(prefix)) for n in _list(self.spark, self.path) if n.startswith(prefix)]
-
     def _write(self, df: DataFrame, prefix: str, number: int) -> None:
         ordered = df.select(*[df[f.name].cast(f.dataType) for f in self.schema.fields])
         ordered.write.mode("overwrite").parquet(self._dir(prefix, number))
