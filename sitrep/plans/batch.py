@@ -99,10 +99,13 @@ class Batch:
         ddl: str,
         rule: Callable[[DataFrame], DataFrame],
     ) -> tuple[int, int, int]:
-        """Label the posts the table has no row for, in one set-based pass."""
+        """Label the posts of the batches this table has not seen, in one pass.
+
+        A label batch covers every post up to its number, so finished work is recognised by
+        folder; no id of an older post is read.
+        """
         out = self.log(name, ddl)
-        todo = tables.pending(self.posts.read(), out.read(before=self.number), "postId", "post_id")
-        out.append(rule(todo), self.number)
+        out.append(rule(self.posts.read(after=out.last())), self.number)
         added = out.read_batch(self.number).count()
         return added, added, 0
 
@@ -140,20 +143,33 @@ class Batch:
         )
 
     def assemble(self) -> tuple[int, int, int]:
-        """Posts that became complete are appended; the incomplete ones are counted."""
+        """Posts of the batches that all label tables have covered are put together.
+
+        Posts whose labelling failed wait for the run that catches up.
+        """
         out = self.disaster_posts
-        done = out.read(before=self.number)
-        waiting = tables.pending(self.posts.read(), done, "postId", "post_id")
-        place = self.log("geo", GEO).read().withColumnRenamed("post_id", "postId")
-        topic = self.log("topics", TOPICS).read().select(
-            F.col("post_id").alias("postId"), F.col("topic").alias("keywords")
+        place, topic = self.log("geo", GEO), self.log("topics", TOPICS)
+        incident, severity = self.log("incidents", INCIDENTS), self.log("severities", SEVERITIES)
+        done = out.last()
+        through = min(log.last() for log in (place, topic, incident, severity))
+        if through <= done:
+            return 0, 0, 0
+        span = {"after": done, "before": through + 1}
+        complete = (
+            self.posts.read(**span)
+            .join(place.read(**span).withColumnRenamed("post_id", "postId"), "postId", "left")
+            .join(
+                topic.read(**span).select(
+                    F.col("post_id").alias("postId"), F.col("topic").alias("keywords")
+                ),
+                "postId",
+                "left",
+            )
         )
-        complete = waiting.join(place, "postId", "left").join(topic, "postId", "left")
-        incidents = tables.pending(self.log("incidents", INCIDENTS).read(), done, "post_id")
-        severities = self.log("severities", SEVERITIES).read()
+        incidents, severities = incident.read(**span), severity.read(**span)
         now = F.lit(self.now).cast("timestamp")
-        out.append(assemble.assemble(complete, incidents, severities, now), self.number)
-        made = out.read_batch(self.number).count()
+        out.append(assemble.assemble(complete, incidents, severities, now), through)
+        made = out.read_batch(through).count()
         gaps = assemble.assembly_gaps(complete, incidents, severities).count()
         return made + gaps, made, gaps
 
@@ -195,8 +211,7 @@ class Batch:
             ("figures", self.figures),
             ("trends", self.trends),
         ]
-        written = self.posts.batches()
-        self.number = written[-1] + 1 if written else 0
+        self.number = self.posts.last() + 1
         report = []
         for name, stage in stages:
             try:

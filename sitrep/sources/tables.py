@@ -75,13 +75,22 @@ class BatchLog:
     def append(self, df: DataFrame, batch: int) -> None:
         self._write(df, "batch=", batch)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """Rows of all batches, or of those numbered below ``before``."""
+    def last(self) -> int:
+        """Number of the newest finished batch, -1 when there is none."""
+        return max(self.batches(), default=-1)
+
+    def read(self, before: int | None = None, after: int | None = None) -> DataFrame:
+        """Rows of all batches, or of those numbered below ``before`` and above ``after``.
+
+        Without ``after`` reading starts at the newest usable base.
+        """
         folder = _Folder(self.spark, self.path)
-        bases = [n for n in folder.numbers("base=") if before is None or n < before]
-        start = bases[-1] if bases else -1
-        later = [n for n in folder.numbers("batch=", start) if before is None or n < before]
-        paths = [self._dir("base=", start)] if bases else []
+        paths = []
+        if after is None:
+            bases = [n for n in folder.numbers("base=") if before is None or n < before]
+            after = bases[-1] if bases else -1
+            paths = [self._dir("base=", after)] if bases else []
+        later = [n for n in folder.numbers("batch=", after) if before is None or n < before]
         paths += [self._dir("batch=", n) for n in later]
         if not paths:
             return self.spark.createDataFrame([], self.schema)

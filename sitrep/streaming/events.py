@@ -47,7 +47,11 @@ OUTBOX = (
 
 @dataclass
 class EventStore:
-    """The tables of one running consolidation, below one shared folder."""
+    """The tables of one running consolidation, below one shared folder.
+
+    ``disaster_posts`` holds every post once, for the figures over posts; ``posts`` its event
+    keys; ``slices`` the state; ``changes``, ``outbox`` and ``alert_log`` what was published.
+    """
 
     spark: SparkSession
     root: str
@@ -57,6 +61,8 @@ class EventStore:
         def log(name: str, ddl: str) -> BatchLog:
             return BatchLog(self.spark, f"{self.root}/{name}", schemas.struct(ddl))
 
+        self.arrivals = log("arrivals", schemas.DISASTER_POSTS)
+        self.disaster_posts = log("disaster_posts", schemas.DISASTER_POSTS)
         self.posts = log("posts", KEYED)
         self.slices = log("slices", SLICES)
         self.changes = log("changes", CHANGES)
@@ -78,17 +84,27 @@ class EventStore:
 
     # --- writing ---------------------------------------------------------------------
     def add(self, disaster_posts: DataFrame, batch: int) -> None:
-        """Take in one micro-batch of disaster posts and publish what changed."""
-        rows = one_per_key(
-            C.keyed_posts(disaster_posts, self.gap_hours),
-            ["post_id"],
-            ["start_time", "classification_type", "location_district"],
-        )
+        """Take in one micro-batch of disaster posts and publish what changed.
+
+        The batch is computed once, when it is written as it arrived; all that follows reads
+        that folder, which may be removed when the batch is done.
+        """
+        self.arrivals.append(disaster_posts, batch)
+        arrived = self.arrivals.read_batch(batch)
+        order = ["start_time", "classification_type", "location_district"]
+        rows = one_per_key(C.keyed_posts(arrived, self.gap_hours), ["post_id"], order)
         # the log is only scanned (one column); it meets the ids of this batch, not the reverse
         known = self.posts.read(before=batch).select("post_id")
         repeats = known.join(rows.select("post_id"), "post_id", "left_semi").distinct()
         self.posts.append(rows.join(repeats, "post_id", "left_anti"), batch)
-        self.slices.append(C.slices(self.posts.read_batch(batch)), batch)
+        fresh = self.posts.read_batch(batch)
+        once = one_per_key(
+            arrived, ["post_id"], ["start_time", "disaster_type", F.lower("location.district")]
+        )
+        self.disaster_posts.append(
+            once.join(fresh.select("post_id"), "post_id", "left_semi"), batch
+        )
+        self.slices.append(C.slices(fresh), batch)
         before, after = self._touched_events(batch)
         self.changes.append(C.event_changes(before, after), batch)
 

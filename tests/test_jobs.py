@@ -111,6 +111,12 @@ def test_failed_stage_is_reported(spark, tmp_path):
     report = {r.stage: r for r in run.run(raw).collect()}
     assert report["places"].status == "failed" and report["places"].message
     assert report["severities"].status == "ok" and report["ingest"].inserted == 4
+    assert (report["assemble"].processed, report["consolidate"].inserted) == (0, 0)
+    # the next run catches up, although it brings no new posts
+    again = B.Batch(spark, str(tmp_path), polygons(spark, SQUARE, OVERLAP), NOW)
+    report = {r.stage: r for r in again.run(raw).collect()}
+    assert (report["ingest"].inserted, report["places"].inserted) == (0, 4)
+    assert report["assemble"].inserted == 4 and report["consolidate"].inserted == 3
 
 
 def test_feeds_to_raw_rows(spark):
@@ -138,6 +144,8 @@ def test_stream_equals_batch(spark, tmp_path, batch_events):
     run, _ = batch_events
     want = sorted(map(key, run.table("events", B.EVENTS).read().collect()))
     assert sorted(map(key, c.store.events().collect())) == want
+    kept = sorted(r.post_id for r in c.store.disaster_posts.read().collect())
+    assert kept == sorted(r.post_id for r in run.disaster_posts.read().collect())
     # the flood got an earlier first post, hence another id, but stays on cooldown
     assert c.store.outbox.read().count() == sent
     deleted = c.store.changes.read().where("is_deleted").collect()

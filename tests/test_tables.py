@@ -119,6 +119,7 @@ def test_batch_log(spark, tmp_path):
         log.append(spark.createDataFrame([(batch,)], "k int"), batch)
     assert sorted(r.k for r in log.read().collect()) == [0, 1, 2]
     assert sorted(r.k for r in log.read(before=2).collect()) == [0, 1]
+    assert [r.k for r in log.read(before=2, after=0).collect()] == [1] and log.last() == 2
     log.compact(through=1, merge=lambda df: df.selectExpr("max(k) AS k"))
     assert sorted(r.k for r in log.read().collect()) == [1, 2]
     assert [r.k for r in log.read(before=1).collect()] == [0]
