@@ -176,8 +176,19 @@ def has_term(c: Column, terms: Iterable[str], prefix: bool = False) -> Column:
     return F.lower(c).rlike(word_pattern(terms, prefix))
 
 
+def quoted(value: str | None) -> str:
+    """A SQL string literal."""
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_array(values: Iterable[str | None]) -> Column:
+    return F.expr("array(" + ", ".join(quoted(v) for v in values) + ")")
+
+
 def literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.expr("map(" + ", ".join(quoted(x) for kv in pairs.items() for x in kv) + ")")
 
 
 def normalise_terms(c: Column) -> Column:

@@ -23,7 +23,7 @@ def with_place_intent(posts: DataFrame, column: str, out: str = "intent") -> Dat
     gazetteer, a constant of about a hundred rows, which is why it may be broadcast.
     """
     rows = K.gazetteer_rows()
-    district_names = F.array(*[F.lit(n) for n, _, d in rows if d != K.UNKNOWN_DISTRICT])
+    district_names = text.literal_array(n for n, _, d in rows if d != K.UNKNOWN_DISTRICT)
     found = posts.withColumn("_found", text.term_matches(F.col(column), [n for n, _, _ in rows]))
     is_district = F.filter("_found", lambda m: F.array_contains(district_names, m))
     named = found.withColumn(

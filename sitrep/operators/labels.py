@@ -134,7 +134,7 @@ def topic_phrase(posts: DataFrame, column: str) -> DataFrame:
 
 def topic_key(topic: Column) -> Column:
     """Order-free form of a topic: its distinct words without fillers and bare numbers."""
-    fillers = F.array(*[F.lit(w) for w in K.TOPIC_FILLERS])
+    fillers = text.literal_array(K.TOPIC_FILLERS)
     words = F.split(F.lower(topic), f"[^{text.WORD}]+")
     kept = F.filter(words, lambda w: (w != "") & ~F.array_contains(fillers, w))
     return F.array_join(F.array_sort(F.array_distinct(kept)), " ")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitrep import constants as K
+from sitrep.functions.text import literal_array
+from sitrep.operators.ingest import as_raw_topic
 from sitrep.session import tune
 
 # places an event may name: every (state, district) pair, then unusable ones
@@ -54,7 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(values: list, index: Column) -> Column:
     """The value at a zero-based index of a short constant list."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    return F.get(literal_array(values), index.cast("int"))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,8 +197,6 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed raw topic: English documents as one platform, the rest as the other."""
-    from sitrep.operators.ingest import as_raw_topic
-
     d = table(spark, sf_dir, "documents")
     key = F.col("doc_id").cast("string")
     first = d.where(F.col("lang") == "en").select(

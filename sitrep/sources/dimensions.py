@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from sitrep import constants as K
 from sitrep import schemas
-from sitrep.functions.text import split_camel
+from sitrep.functions.text import literal_array, quoted, split_camel
 
 
 def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
-    """A constant table made of literals: no Python worker, no file, known size."""
-    packed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
-    return spark.range(1).select(F.explode(packed).alias("r")).select("r.*")
+    """A constant table inside the plan: no Python worker, no file, known size."""
+    values = ", ".join("(" + ", ".join(quoted(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def gazetteer(spark: SparkSession) -> DataFrame:
@@ -30,7 +30,7 @@ def search_queries(
     places: DataFrame, place: str, terms: list[str] = K.SEARCH_TERMS
 ) -> DataFrame:
     """Every term with every place: '<term> <place>'. Each place row unfolds the short list."""
-    words = F.array(*[F.lit(t) for t in terms])
+    words = literal_array(terms)
     tidy = F.trim(F.regexp_replace(F.col(place), "[\\r\\n]", ""))
     return (
         places.select(tidy.alias("place"))

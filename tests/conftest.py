@@ -12,7 +12,7 @@ from sitrep.session import local_session  # noqa: E402
 
 # started on import: column expressions in test modules need a session
 SESSION = local_session("tests", 8, memory="6g")
-SESSION.conf.set("spark.sql.shuffle.partitions", "4")
+SESSION.conf.set("spark.sql.shuffle.partitions", "2")
 
 
 @pytest.fixture(scope="session")
