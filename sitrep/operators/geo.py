@@ -12,6 +12,7 @@ from sitrep.skew import DEFAULT_SALTS, salted_join
 from sitrep.sources.dimensions import gazetteer
 
 CELL = 0.5
+NO_CELL = -1_000_000_000
 
 
 # --- gazetteer -------------------------------------------------------------------------
@@ -166,13 +167,16 @@ def locate_points(
     """
     grid = polygon_grid(polygons, cell)
     usable = places.in_bounding_box(F.col(lat), F.col(lon))
+    spread = [lat, lon] + [c for c in ("post_id", "event_id", "postId") if c in points.columns]
+    # points without a usable coordinate may be the majority: they get keys of their own that
+    # no cell has, instead of one null key that would gather them in a few tasks
+    own = F.coalesce(-1 - F.pmod(F.xxhash64(*spread), F.lit(1_000_003)), F.lit(-1)).cast("bigint")
     keyed = points.withColumns(
         {
-            "cell_x": F.when(usable, places.grid_cell(F.col(lon), cell)),
-            "cell_y": F.when(usable, places.grid_cell(F.col(lat), cell)),
+            "cell_x": F.when(usable, places.grid_cell(F.col(lon), cell)).otherwise(own),
+            "cell_y": F.when(usable, places.grid_cell(F.col(lat), cell)).otherwise(NO_CELL),
         }
     )
-    spread = [lat, lon] + [c for c in ("post_id", "event_id") if c in points.columns]
     joined = salted_join(keyed, grid, ["cell_x", "cell_y"], "left", spread=spread, salts=salts)
     hit = F.try_element_at(
         F.filter("candidates", lambda p: _inside(p["edges"], F.col(lon), F.col(lat))), F.lit(1)
