@@ -6,16 +6,21 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitrep.session import importable
+
 #: One character that ends a word in the contracts: blank, or tab to carriage return.
 BLANK = "[\\x20\\x09-\\x0D]"
 NOT_BLANK = "[^\\x20\\x09-\\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,3 +66,37 @@ def words_of(text: Column) -> Column:
 
 def n_words_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(NOT_BLANK + "+")).cast("long")
+
+
+_IS_WORD = np.ones(256, dtype=np.int8)
+_IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow string column and its ``n + 1`` offsets; null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[
+        texts.offset : texts.offset + len(texts) + 1
+    ]
+    if not len(texts) or offsets[-1] == offsets[0]:
+        return np.zeros(0, dtype=np.uint8), np.zeros(len(texts) + 1, dtype=np.int64)
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def count_words(texts: pa.Array) -> np.ndarray:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of every text of an Arrow column."""
+    data, offsets = utf8(texts)
+    inside = _IS_WORD[data]
+    starts = inside.copy()
+    starts[1:] &= 1 - inside[:-1]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    starts[first] = inside[first]
+    total = np.concatenate([[0], np.cumsum(starts, dtype=np.int64)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that very long texts do not gather in one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitrep.llm import quality_rules
+from sitrep.llm import mixing, quality_rules
 from sitrep.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,3 +22,8 @@ def query(fn: Query) -> Query:
 def op2_quality_rules(spark, d):
     out = quality_rules.apply_rules(table(spark, d, "documents"))
     return out.drop(*[r.name for r in quality_rules.RULES])
+
+
+@query
+def op8_mix_sources(spark, d):
+    return mixing.mix(table(spark, d, "documents"))
