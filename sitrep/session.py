@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings: UTC dates, and adaptive plans that split skewed partitions."""
@@ -36,3 +40,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         raise ValueError("spark.checkpoint.dir is not set; pass an explicit shared folder")
     return f"{root.rstrip('/')}/{name}"
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let the Python workers of this session import the library from where the driver has it.
+
+    Enough where executors see the driver's folders; elsewhere install it or pass ``--py-files``.
+    """
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in known:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *known])
+    return spark
