@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitrep.llm import mixing, quality_rules
+from sitrep.llm import mixing, packing, quality_rules
 from sitrep.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +28,9 @@ def op2_quality_rules(spark, d):
 @query
 def op8_mix_sources(spark, d):
     return mixing.mix(table(spark, d, "documents"))
+
+
+@query
+def op9_pack_sequences(spark, d):
+    encoder = packing.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, d, "documents"), encoder, with_ids=False)
