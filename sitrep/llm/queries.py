@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitrep.llm import mixing, packing, quality_rules
+from sitrep.llm import language_id, mixing, packing, quality_rules, token_counts
 from sitrep.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +35,21 @@ def op8_mix_sources(spark, d):
 def op9_pack_sequences(spark, d):
     encoder = packing.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(table(spark, d, "documents"), encoder, with_ids=False)
+
+
+def _fold(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@query
+def op6_token_counts(spark, d):
+    scores = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, d, "documents"), scores)
+
+
+@query
+def op7_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    model = language_id.fit(docs.where(_fold(3) != 1))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
