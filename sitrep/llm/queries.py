@@ -8,7 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitrep.llm import language_id, mixing, packing, quality_rules, token_counts
+from sitrep.llm import (
+    language_id,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+)
 from sitrep.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +60,23 @@ def op7_language_id(spark, d):
     model = language_id.fit(docs.where(_fold(3) != 1))
     found = language_id.identify(docs, model)
     return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def quality_machine(docs: DataFrame, labels: DataFrame) -> quality_classifier.Machine:
+    """Fitted on the labelled rows outside the held-out fold."""
+    known = labels.where("quality is not null").select("doc_id", "quality")
+    text = docs.where(_fold(4) != 2).select("doc_id", "text", "n_chars")
+    return quality_classifier.fit(text.join(known, "doc_id"))
+
+
+@query
+def op4_quality_classifier(spark, d):
+    docs = table(spark, d, "documents")
+    machine = quality_machine(docs, table(spark, d, "labels"))
+    found = quality_classifier.score(docs, machine)
+    return found.select(
+        "doc_id",
+        (_fold(4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality_classifier.CUT).cast("int").alias("predicted"),
+    )
