@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sitrep.llm import (
     language_id,
+    licenses,
     mixing,
     packing,
     quality_classifier,
@@ -80,3 +81,8 @@ def op4_quality_classifier(spark, d):
         "score",
         (F.col("score") >= quality_classifier.CUT).cast("int").alias("predicted"),
     )
+
+
+@query
+def op1_license_scan(spark, d):
+    return licenses.scan(table(spark, d, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sitrep.llm import licenses as L
 from sitrep.llm import quality_rules as Q
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -53,5 +54,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v"""
 
 
+def license_scan() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in L.known_sentences().items())
+    rules = ", ".join(f"({k}, '{n}', '{','.join(r)}')" for k, (n, r) in enumerate(L.RULES))
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}), rules(place, license, ids) AS (VALUES {rules}),
+s AS (
+  SELECT doc_id, pos, trim(regexp_replace(translate(piece, '{L.UPPER}', '{L.LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence
+  FROM (SELECT doc_id, unnest(ls) AS piece, generate_subscripts(ls, 1) AS pos FROM (
+    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ 	-]+', '' || chr(10), 'g'), chr(10)) AS ls
+    FROM documents))
+), f AS (
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM s JOIN known USING (sentence) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, license, min(place) AS place FROM f JOIN rules ON contains(',' || f.ids || ',', ',' || rules.ids || ',')
+  GROUP BY ALL
+), l AS (
+  SELECT doc_id, string_agg(license, ',' ORDER BY place) AS licenses, count(*) AS n FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(f.n, 0) AS n_known, coalesce(f.ids, '') AS sentence_ids,
+       coalesce(l.licenses, '') AS licenses, coalesce(l.n, 0) AS n_licenses
+FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules()}
+    return {"op1_license_scan": license_scan(), "op2_quality_rules": quality_rules()}
