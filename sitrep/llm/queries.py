@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitrep.llm import (
+    embedding_dedup,
     language_id,
     licenses,
     mixing,
@@ -86,3 +87,8 @@ def op4_quality_classifier(spark, d):
 @query
 def op1_license_scan(spark, d):
     return licenses.scan(table(spark, d, "documents"))
+
+
+@query
+def op5_embedding_dedup(spark, d):
+    return embedding_dedup.near_duplicates(table(spark, d, "embeddings"))
