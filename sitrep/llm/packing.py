@@ -15,11 +15,13 @@ not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,13 +34,16 @@ END_ID = 2
 #: Remainders shorter than ``capacity / CLASSES`` share the last class.
 CLASSES = 64
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long"
 )
 
+#: From texts to their ids as little-endian unsigned 32-bit bytes.
+Encoder = Callable[[list[str]], list[bytes]]
+
 _WORD = re.compile(r"[^ \t\n\r\v\f]+")
 
 
@@ -50,33 +55,30 @@ class WordIds:
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
+        # one thread per task; must be set before the library starts its pool
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cached = cached
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        words = _WORD.findall(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = [_WORD.findall(t) for t in texts]
+        distinct = set().union(*words)
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(new) > self.cached:
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update(zip(some, (_bytes_of(e.ids) for e in found), strict=True))
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > self.cached:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(
-                some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True
-            ):
-                known[w] = _bytes_of(e.ids)
-        return b"".join([known[w] for w in words])
+        return [b"".join([known[w] for w in ws]) for ws in words]
 
 
 def _bytes_of(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 class Packer:
@@ -155,7 +157,7 @@ class Packer:
 
 def pack(
     docs: DataFrame,
-    make_encoder: Callable[[], Callable[[str], bytes]],
+    make_encoder: Callable[[], Encoder],
     capacity: int = CAPACITY,
     classes: int = CLASSES,
     end_id: int = END_ID,
@@ -163,7 +165,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``PIECES``, and with ``with_ids`` its ``ids`` themselves.
 
-    ``make_encoder`` gives, once per task, a function from a text to its ids as bytes. Sequence
+    ``make_encoder`` gives, once per task, a function from texts to their ids as bytes. Sequence
     ids are unique: the number of the task above a count. A task that is run again packs all of
     its documents again, so no piece is lost or doubled.
     """
@@ -188,8 +190,9 @@ def pack(
         end = end_id.to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, classes)
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                packer.add(doc_id, encode(text.as_py() or "") + end)
+            encoded = encode([t or "" for t in b["text"].to_pylist()])
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoded, strict=True):
+                packer.add(doc_id, ids + end)
                 if len(packer.rows) >= 2000:
                     yield rows_of(packer.rows)
                     packer.rows = []
@@ -203,10 +206,10 @@ def pack(
     return kept.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def word_encoder(path: str) -> Callable[[], Callable[[str], bytes]]:
+def word_encoder(path: str) -> Callable[[], Encoder]:
     """For ``pack``: ids by a tokenizers file; a worker keeps its cache from task to task."""
 
-    def make() -> Callable[[str], bytes]:
+    def make() -> Encoder:
         if path not in _ENCODERS:
             _ENCODERS[path] = WordIds(path)
         return _ENCODERS[path].encode
