@@ -16,6 +16,7 @@ from sitrep.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    suffix_dedup,
     token_counts,
 )
 from sitrep.llm.common import table
@@ -92,3 +93,8 @@ def op1_license_scan(spark, d):
 @query
 def op5_embedding_dedup(spark, d):
     return embedding_dedup.near_duplicates(table(spark, d, "embeddings"))
+
+
+@query
+def op10_suffix_dedup(spark, d):
+    return suffix_dedup.deduplicate(table(spark, d, "documents"), with_text=False)
