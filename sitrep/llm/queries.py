@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sitrep.llm import (
     embedding_dedup,
+    jaccard_join,
     language_id,
     licenses,
     mixing,
@@ -98,3 +99,8 @@ def op5_embedding_dedup(spark, d):
 @query
 def op10_suffix_dedup(spark, d):
     return suffix_dedup.deduplicate(table(spark, d, "documents"), with_text=False)
+
+
+@query
+def op3_jaccard_join(spark, d):
+    return jaccard_join.join(table(spark, d, "documents"))

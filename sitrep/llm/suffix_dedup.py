@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitrep.llm.common import small_batches, stored, utf8
+from sitrep.llm.heavy import contained, heavy_keys
 
 LENGTH = 100
 GRAM = 32
@@ -226,41 +227,15 @@ def _mod(x: np.ndarray, groups: int) -> np.ndarray:
     return (mixed(x.astype(U)) % U(groups)).astype(np.int64)
 
 
-def _isin(h: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    if not len(heavy):
-        return np.zeros(len(h), dtype=bool)
-    return heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
-
-
 def heavy_anchors(docs: DataFrame, share: float = HEAVY_SHARE) -> np.ndarray:
-    """Hashes of anchors with over twice ``share`` of all records, and at most ``1 / share``.
-
-    Every batch reports the anchors that have this share of its own records. What is left out of
-    a batch is less than the share of it, so an anchor with twice the share overall reports at
-    least the share; no more than ``1 / share`` anchors can.
-    """
+    """Anchors with a large share of the records that differ inside their batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = utf8(b["text"])
-            parts = [r[["h", "c"]] for r in records_of(data, offsets, np.zeros(b.num_rows, np.int64))]
-            if not parts:
-                continue
-            both = np.unique(np.concatenate(parts))
-            h, n = np.unique(both["h"], return_counts=True)
-            top = n > share * n.sum()
-            h = np.append(h[top], U(0)).view(np.int64)
-            n = np.append(n[top], n.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(n), pa.array(np.append(np.zeros(top.sum(), bool), True))],
-                ["h", "n", "whole"],
-            )
+    def keys_of(b: pa.RecordBatch) -> np.ndarray:
+        data, offsets = utf8(b["text"])
+        parts = [r[["h", "c"]] for r in records_of(data, offsets, np.zeros(b.num_rows, np.int64))]
+        return np.unique(np.concatenate(parts))["h"] if parts else np.zeros(0, U)
 
-    counts = docs.select("text").mapInArrow(run, "h long, n long, whole boolean")
-    counts = stored(counts.groupBy("h", "whole").agg(F.sum("n").alias("n")), "anchor-counts")
-    total = counts.where("whole").agg(F.sum("n")).first()[0] or 0
-    found = counts.where(~F.col("whole") & (F.col("n") > share * total)).select("h").toPandas()
-    return np.sort(found["h"].to_numpy(np.int64).view(U))
+    return heavy_keys(docs.select("text"), keys_of, share)
 
 
 def marked(docs: DataFrame, groups: int, heavy: np.ndarray) -> tuple[DataFrame, DataFrame]:
@@ -277,7 +252,7 @@ def marked(docs: DataFrame, groups: int, heavy: np.ndarray) -> tuple[DataFrame,
             # of equal records of a batch one travels on; the others are marked already
             r, again = repeats(np.concatenate(parts))
             known, r = marks_of(r[again]), r[~again]
-            far = _isin(r["h"], held.value)
+            far = contained(r["h"], held.value)
             rows = _packed(_mod(r["h"] + np.where(far, r["c"], U(0)), groups), r, RECORDS)
             rows += _packed(_mod(known["doc"], groups), known, MARKS)
             yield from _wired(rows).to_batches()
@@ -290,7 +265,7 @@ def marked(docs: DataFrame, groups: int, heavy: np.ndarray) -> tuple[DataFrame,
         same = first["h"][1:] == first["h"][:-1]
         lone[1:] &= ~same
         lone[:-1] &= ~same
-        edges = first[~lone | _isin(first["h"], held.value)]
+        edges = first[~lone | contained(first["h"], held.value)]
         opened = np.empty(len(edges), OPEN)
         for f in OPEN.names:
             opened[f] = edges[f]
@@ -314,7 +289,7 @@ def marked(docs: DataFrame, groups: int, heavy: np.ndarray) -> tuple[DataFrame,
                 continue
             text = np.frombuffer(packed(), np.uint8)
             own = own[own["lo"] + own["n"] + LENGTH - 1 <= len(text)]
-            far = _isin(own["h"], held.value)
+            far = contained(own["h"], held.value)
             for x in own[~far]:
                 spans.append(text[x["lo"] : x["lo"] + x["n"] + LENGTH - 1])
             kept.append(own[~far])
