@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitrep.llm.common import count_words, small_batches, stored
+from sitrep.llm.common import count_words, small_batches, stored, words_of
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -159,3 +159,24 @@ def mix(
     """``doc_id, size, source_size, target, taken`` for every document."""
     sizes = stored(sizes_of(docs), "sizes")
     return mix_sizes(sizes, targets_of(sizes, weights, share, max_repeats), block)
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: rows of ``docs``, whole as often as they are taken, the rest in part.
+
+    A document of ``size`` words of which ``taken`` are mixed gives ``taken // size`` whole rows
+    and, for what remains, one row with its first words. ``text`` and ``n_chars`` are of the rows.
+    """
+    shares = mix(docs, **settings).select("doc_id", "size", "taken").where("taken > 0")
+    joined = docs.join(shares, "doc_id")
+    part = F.expr("taken % size").cast("int")
+    texts = F.concat(
+        F.array_repeat("text", F.expr("taken div size").cast("int")),
+        F.when(
+            part > 0, F.array(F.array_join(F.slice(words_of(F.col("text")), F.lit(1), part), " "))
+        ).otherwise(F.array().cast("array<string>")),
+    )
+    rows = joined.withColumn("text", F.explode(texts)).withColumn(
+        "n_chars", F.char_length("text").cast("long")
+    )
+    return rows.select(*docs.columns)

@@ -249,3 +249,22 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         F.col("n_chars").cast("long").alias("n_chars"),
     )
     return kept.mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``cut`` or more."""
+    small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(machine)  # fixed size: BUCKETS x RANK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(held.value.buckets)
+        for b in batches:
+            if b.num_rows:
+                items = [
+                    features.of(t.as_py(), n.as_py())
+                    for t, n in zip(b["text"], b["n_chars"], strict=True)
+                ]
+                good = _logistic(held.value.raw(*_joined(held.value, items))) >= cut
+                yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

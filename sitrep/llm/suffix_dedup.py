@@ -36,6 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitrep.llm.common import small_batches, stored, utf8
 from sitrep.llm.heavy import contained, heavy_keys
@@ -418,7 +419,9 @@ def grouped_texts(docs: DataFrame, groups: int) -> DataFrame:
                 [pa.array(key), b["row"], b["id"], pa.array(z, pa.binary())], ["key", "row", "id", "z"]
             )
 
-    return docs.select("id", "row", "text").mapInArrow(run, "key long, row long, id long, z binary")
+    kept = docs.select("row", "id", "text")
+    schema = T.StructType().add("key", "long").add(kept.schema["row"]).add("id", "long").add("z", "binary")
+    return kept.mapInArrow(run, schema)
 
 
 def _texts(t: pa.Table):
@@ -434,10 +437,24 @@ def spans_of(size: int, m: np.ndarray) -> list[tuple[int, int]]:
     return [(int(x["lo"]), min(size, int(x["lo"] + x["n"]))) for x in joined_marks(covered)]
 
 
+def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What is left when only whole UTF-8 characters inside the runs are removed."""
+    at, kept = 0, []
+    for x, y in spans:
+        while x < y and data[x] & 0xC0 == 0x80:
+            x += 1
+        while y > x and y < len(data) and data[y] & 0xC0 == 0x80:
+            y -= 1
+        kept.append(data[at:x])
+        at = max(at, y)
+    return b"".join([*kept, data[at:]])
+
+
 def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``doc_id, text``.
 
-    With ``with_text`` also ``spans``, the removed runs, and ``kept``, the remaining bytes.
+    With ``with_text`` also ``spans``, the removed runs, ``kept_text``, the text without the whole
+    characters inside them, and ``row``, the columns of the input row.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -446,44 +463,54 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     groups = 2 * (size // GROUP_BYTES // 2) + 13
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
-        F.col("doc_id").cast("long").alias("row"),
+        F.struct(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            *([F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] if with_text else []),
+        ).alias("row"),
         F.col("text").cast("string").alias("text"),
     )
     first, second = marked(keyed, groups, heavy_anchors(keyed))
-    fields = [
-        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-        ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
-    ]
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    out = (
+        T.StructType()
+        .add("doc_id", "long")
+        .add("n_bytes", "long")
+        .add("n_removed", "long")
+        .add("n_spans", "long")
+        .add("kept_sha256", "string")
+    )
     if with_text:
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        fields += [("spans", pa.list_(span)), ("kept", pa.binary())]
-        ddl += ", spans array<struct<start: long, end: long>>, kept binary"
-    schema = pa.schema(fields)
+        span = T.StructType().add("start", "long").add("end", "long")
+        out = out.add("spans", T.ArrayType(span)).add("kept_text", "string")
+        out = out.add("row", keyed.schema["row"].dataType)
 
     def drop(texts: pa.Table, wires: pa.Table) -> pa.Table:
         m = joined_marks(_unpacked(_of(wires, MARKS), MARK))
-        rows = []
-        for (doc_id, text), row in zip(_texts(texts), texts["row"].to_pylist(), strict=True):
+        columns: list[list] = [[] for _ in range(6)]
+        for doc_id, text in _texts(texts):
             data = text()
             a, b = np.searchsorted(m["doc"], doc_id, "left"), np.searchsorted(m["doc"], doc_id, "right")
             spans = spans_of(len(data), m[a:b])
-            at, kept = 0, []
-            for x, y in spans:
-                kept.append(data[at:x])
+            at, digest, left = 0, hashlib.sha256(), 0
+            for x, y in [*spans, (len(data), len(data))]:
+                digest.update(data[at:x])
+                left += x - at
                 at = y
-            rest = b"".join([*kept, data[at:]])
-            found = [row, len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()]
+            found = [len(data), len(data) - left, len(spans), digest.hexdigest()]
             if with_text:
-                found += [[{"start": x, "end": y} for x, y in spans], rest]
-            rows.append(found)
-        columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
-        arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
-        return pa.Table.from_arrays(arrays, schema=schema)
+                found += [[{"start": x, "end": y} for x, y in spans], whole_characters(data, spans).decode()]
+            for column, value in zip(columns, found, strict=False):
+                column.append(value)
+        row = texts["row"].combine_chunks()
+        arrays = [row.field("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3])]
+        arrays.append(pa.array(columns[3], pa.string()))
+        if with_text:
+            span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+            arrays += [pa.array(columns[4], pa.list_(span)), pa.array(columns[5], pa.string()), row]
+        return pa.table(arrays, names=out.fieldNames())
 
     return (
         grouped_texts(keyed, groups)
         .groupBy("key")
         .cogroup(first.unionAll(second).groupBy("key"))
-        .applyInArrow(drop, ddl)
+        .applyInArrow(drop, out)
     )
