@@ -45,9 +45,10 @@ LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text worked on at a time; longer documents are cut with an overlap.
-CHUNK = 4 << 20
-#: Bytes of text for each group of documents and each group of records.
-GROUP_BYTES = 1 << 20
+CHUNK = 2 << 20
+#: Bytes of text for each group of documents and each group of records. Records of one group that
+#: go to the same group share a row; with small groups few would.
+GROUP_BYTES = 2 << 20
 #: Anchors with a larger share of all records are dealt by more than their hash.
 HEAVY_SHARE = 1e-4
 NO_ID = -(1 << 63)
