@@ -42,7 +42,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    marked = f" {word} "
+    """Character n-grams with blanks around the word; single characters are its own."""
+    marked = f" {word} " if n > 1 else word
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 

@@ -168,15 +168,15 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     and, for what remains, one row with its first words. ``text`` and ``n_chars`` are of the rows.
     """
     shares = mix(docs, **settings).select("doc_id", "size", "taken").where("taken > 0")
-    joined = docs.join(shares, "doc_id")
-    part = F.expr("taken % size").cast("int")
+    # the input's row stays in a column of its own, whatever its columns are called
+    joined = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(shares, "doc_id")
+    text, part = F.col("row.text"), F.expr("taken % size").cast("int")
     texts = F.concat(
-        F.array_repeat("text", F.expr("taken div size").cast("int")),
+        F.array_repeat(text, F.expr("taken div size").cast("int")),
         F.when(
-            part > 0, F.array(F.array_join(F.slice(words_of(F.col("text")), F.lit(1), part), " "))
+            part > 0, F.array(F.array_join(F.slice(words_of(text), F.lit(1), part), " "))
         ).otherwise(F.array().cast("array<string>")),
     )
-    rows = joined.withColumn("text", F.explode(texts)).withColumn(
-        "n_chars", F.char_length("text").cast("long")
-    )
-    return rows.select(*docs.columns)
+    rows = joined.select("row", F.explode(texts).alias("text"))
+    own = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
