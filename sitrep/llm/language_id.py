@@ -34,7 +34,9 @@ LONGEST_GRAM = 5
 #: Added to every count.
 SMOOTHING = 0.5
 #: Words outside the model that a task remembers.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
+#: Distinct words of a text that are looked up together.
+PART = 50_000
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -65,30 +67,58 @@ class Model:
                 return self.gram_logs[known].mean(axis=0)
         return None
 
-    def score(self, text: str | None, cache: dict) -> tuple[str, float]:
-        if not self.langs or not text or not _LETTER.search(text):
+
+class Scorer:
+    """Scores texts with a model; unseen words of earlier texts are remembered, up to a bound."""
+
+    def __init__(self, model: Model, cached: int = CACHED_WORDS):
+        self.model = model
+        self.known = len(model.words)
+        # rows of words, then of remembered unseen words; the last row is for nothing known
+        self.logs = np.zeros((self.known + cached + 1, len(model.langs)))
+        self.logs[: self.known] = model.word_logs
+        self.clear()
+
+    def clear(self) -> None:
+        self.row = dict(self.model.words)
+        self.next = self.known
+
+    def _unseen(self, word: str) -> int:
+        if self.next == len(self.logs) - 1:
+            self.clear()
+        found = self.model.unseen(word)
+        if found is None:
+            at = len(self.logs) - 1
+        else:
+            at, self.next = self.next, self.next + 1
+            self.logs[at] = found
+            self.row[word] = at
+        return at
+
+    def score(self, text: str | None) -> tuple[str, float]:
+        langs = self.model.langs
+        if not langs or not text or not _LETTER.search(text):
             return UNKNOWN, 0.0
-        total = self.prior.copy()
-        rows, times = [], []
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            row = self.words.get(word)
-            if row is not None:
-                rows.append(row)
-                times.append(n)
-                continue
-            if word in cache:
-                found = cache[word]
-            else:
-                if len(cache) >= CACHED_WORDS:
-                    cache.clear()
-                found = cache[word] = self.unseen(word)
-            if found is not None:
-                total += n * found
-        if rows:
-            total += np.asarray(times, dtype=float) @ self.word_logs[rows]
+        counts = Counter(_WORD.findall(text.lower()))
+        total = self.model.prior.copy()
+        words = list(counts)
+        times = np.fromiter(counts.values(), float, len(words))
+        # a text of more distinct words than are remembered is scored in parts
+        for at in range(0, len(words), PART):
+            get = self.row.get
+            rows = [get(w) for w in words[at : at + PART]]
+            if None in rows:
+                if self.next + PART >= len(self.logs):
+                    self.clear()
+                    get = self.row.get
+                    rows = [get(w) for w in words[at : at + PART]]
+                for i, r in enumerate(rows):
+                    if r is None:
+                        rows[i] = self._unseen(words[at + i])
+            total += times[at : at + PART] @ self.logs[rows]
         odds = np.exp(total - total.max())
         best = int(np.argmax(odds))
-        return self.langs[best], float(odds[best] / odds.sum())
+        return langs[best], float(odds[best] / odds.sum())
 
 
 def sampled(docs: DataFrame, max_docs: int) -> DataFrame:
@@ -168,9 +198,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see MAX_WORDS, MAX_GRAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
+        scorer = Scorer(held.value)
         for b in batches:
-            found = [held.value.score(t.as_py(), cache) for t in b["text"]]
+            found = [scorer.score(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 ["doc_id", "lang_pred", "score"],

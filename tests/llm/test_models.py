@@ -29,15 +29,28 @@ def test_language_words_first_then_shorter_grams(spark):
     )
     model = language_id.fit(train)
     assert model.langs == ["de", "en"]
-    assert model.score("THE cat", {})[0] == "en"
-    assert model.score("katzen", {})[0] == "de"  # unseen: its longest known n-grams decide
+    score_of = language_id.Scorer(model).score
+    assert score_of("THE cat")[0] == "en"
+    assert score_of("katzen")[0] == "de"  # unseen: its longest known n-grams decide
     assert model.unseen("qqqq") is None
-    assert model.score("12 34!", {}) == ("und", 0.0)
-    assert model.score("", {}) == model.score(None, {}) == ("und", 0.0)
-    lang, score = model.score("qq", {})
+    assert score_of("12 34!") == ("und", 0.0)
+    assert score_of("") == score_of(None) == ("und", 0.0)
+    lang, score = score_of("qq")
     assert lang == "de" and score == pytest.approx(0.5)  # nothing known: shares, first name
 
 
+def test_language_scores_do_not_depend_on_what_is_remembered(spark, monkeypatch):
+    texts = [r.text for r in table(spark, SMALL, "documents").limit(40).collect()]
+    model = language_id.fit(table(spark, SMALL, "documents"), max_words=50)
+    plain = language_id.Scorer(model)
+    want = [plain.score(t) for t in texts]
+    monkeypatch.setattr(language_id, "PART", 7)
+    small = language_id.Scorer(model, cached=10)
+    for t, (lang, score) in zip(texts, want, strict=True):
+        got = small.score(t)
+        assert got[0] == lang and got[1] == pytest.approx(score)
+
+
 def test_language_awkward(spark, awkward, empty):
     model = language_id.fit(awkward)
     rows = language_id.identify(awkward, model).collect()
