@@ -10,9 +10,9 @@ hold all intersections. Size-derived bounds keep it sparse:
   last (a bounded, broadcast set) and follows a hash otherwise;
 * pairs whose sizes or column positions cannot reach the overlap they need are discarded, and
   after all blocks of columns are summed, so are pairs whose overlap is below its bound;
-* rows known to be connected need no product. A first round links every node to one fixed node
-  of each of its smallest column hashes, where the link holds, so that a group of thousands of
-  near copies is one component before pairs are formed.
+* rows known to be connected need no product. A first round links every node to one hub of each
+  of its smallest column hashes, where the link holds, so that a group of thousands of near
+  copies is one component before pairs are formed.
 
 Every remaining pair is verified on its whole texts; no pair is dropped otherwise. Intersections
 count 64-bit hashes of n-grams, and nodes are named by a 64-bit hash of their row.
@@ -47,7 +47,9 @@ GROUP_BYTES = 1 << 20
 
 U = np.uint64
 ENTRY = np.dtype([("g", "<u8"), ("node", "<i8"), ("part", "<i8"), ("n", "<i4"), ("at", "<i4")])
-PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4"), ("c", "<i4")])
+PAIR = np.dtype(
+    [("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4"), ("ia", "<i4"), ("ib", "<i4"), ("c", "<i4")]
+)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -115,8 +117,10 @@ def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (na + nb) // (100 + PERCENT))
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node, keys``: size, name and smallest column hashes of every row."""
+def sketched(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """``doc_id, n_shingles, node, rare, keys``: size, name, share of columns that are not heavy,
+    and smallest column hashes of every row."""
+    held = docs.sparkSession.sparkContext.broadcast(heavy)  # at most 1 / HEAVY_SHARE hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,27 +130,31 @@ def sketched(docs: DataFrame) -> DataFrame:
                     b["doc_id"],
                     pa.array([len(r) for r in rows], pa.int64()),
                     pa.array([node_of(r) if len(r) else None for r in rows], pa.int64()),
+                    pa.array([1 - contained(r, held.value).sum() / max(1, len(r)) for r in rows], pa.float64()),
                     pa.array([r[:SKETCH].view(np.int64) for r in rows], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "node", "keys"],
+                ["doc_id", "n_shingles", "node", "rare", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+    schema = "doc_id long, n_shingles long, node long, rare double, keys array<long>"
+    return docs.mapInArrow(run, schema)
 
 
 def star_pairs(nodes: DataFrame) -> DataFrame:
-    """``a, b``: every node with the smallest node of each of its sketch columns, if sizes allow.
+    """``a, b``: every node with one hub of each of its sketch columns, if sizes allow.
 
-    Once among all nodes of a column and once among those of about its size.
+    The hub is the node with the smallest share of rare columns: in a large group of near copies
+    edits are rare, so it is the text that the others were made from, or close to it. Once among
+    all nodes of a column and once among those of about its size.
     """
     step = -F.log(F.lit(PERCENT / 100))
-    rows = nodes.select("node", "n", F.explode("keys").alias("g"))
+    rows = nodes.select("node", "n", "rare", F.explode("keys").alias("g"))
     keyed = rows.withColumn("size_class", F.floor(F.log("n") / step)).unionAll(
         rows.withColumn("size_class", F.lit(-1).cast("long"))
     )
     smallest = (
         keyed.groupBy("g", "size_class")
-        .agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("m"))
+        .agg(F.min(F.struct("rare", "node", "n")).alias("hub"), F.count("*").alias("m"))
         .where("m > 1")
     )
     met = keyed.join(smallest, ["g", "size_class"]).select(
@@ -257,7 +265,8 @@ def _unpacked(t: pa.Table, dtype: np.dtype) -> np.ndarray:
 
 
 def _products(e: np.ndarray) -> np.ndarray:
-    """Partial overlaps of all pairs of unconnected rows that meet in some columns."""
+    """Partial overlaps of all pairs of unconnected rows that meet in some columns, and the last
+    positions at which they meet."""
     e = e[np.lexsort((e["n"], e["g"]))]
     found = []
     cut = _cut([e["g"]])
@@ -284,7 +293,7 @@ def _products(e: np.ndarray) -> np.ndarray:
                 continue
             p = np.empty(len(y), PAIR)
             first = x["node"][i] < y["node"]
-            for name, other, own in (("a", "b", "node"), ("na", "nb", "n")):
+            for name, other, own in (("a", "b", "node"), ("na", "nb", "n"), ("ia", "ib", "at")):
                 p[name] = np.where(first, x[own][i], y[own])
                 p[other] = np.where(first, y[own], x[own][i])
             p["c"] = 1
@@ -298,6 +307,8 @@ def _summed(p: np.ndarray) -> np.ndarray:
     out = p[cut[:-1]].copy()
     if len(out):
         out["c"] = np.add.reduceat(p["c"], cut[:-1])
+        for last in ("ia", "ib"):
+            out[last] = np.maximum.reduceat(p[last], cut[:-1])
     return out
 
 
@@ -332,8 +343,8 @@ def candidate_pairs(docs: DataFrame, nodes: DataFrame, heavy: np.ndarray, groups
     def accumulate(t: pa.Table) -> pa.Table:
         p = _summed(_unpacked(t, PAIR))
         na, nb = p["na"].astype(np.int64), p["nb"].astype(np.int64)
-        # beyond the prefix that ends first, no more can be shared than that row still has
-        rest = np.maximum(na - prefix(na), nb - prefix(nb))
+        # what is not counted here follows the last column that is, in both rows
+        rest = np.minimum(na - 1 - p["ia"], nb - 1 - p["ib"])
         p = p[p["c"] + rest >= needed(na, nb)]
         return pa.table({"a": p["a"], "b": p["b"]})
 
@@ -355,12 +366,18 @@ def join(docs: DataFrame) -> DataFrame:
     )
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = size // GROUP_BYTES + 13
-    sketches = stored(sketched(docs), "sketches")
+    heavy = heavy_keys(
+        docs.select("text"),
+        lambda b: np.concatenate([np.zeros(0, U), *rows_of(*utf8(b["text"]))]),
+        HEAVY_SHARE,
+    )
+    sketches = stored(sketched(docs, heavy), "sketches")
     with_words = sketches.where("node is not null and doc_id is not null")
     nodes = stored(
         with_words.groupBy("node").agg(
             F.min("doc_id").alias("doc_id"),
             F.first("n_shingles").alias("n"),
+            F.first("rare").alias("rare"),
             F.first("keys").alias("keys"),
         ),
         "nodes",
@@ -375,12 +392,7 @@ def join(docs: DataFrame) -> DataFrame:
     stars = verified(docs, with_texts(star_pairs(nodes)), groups)
     ids = nodes.select(F.col("node").alias("id"))
     parts = components(ids, stars).select(F.col("id").alias("node"), F.col("component_id").alias("part"))
-    labelled = stored(nodes.drop("keys").join(parts, "node"), "parts")
-    heavy = heavy_keys(
-        docs.select("text"),
-        lambda b: np.concatenate([np.zeros(0, U), *rows_of(*utf8(b["text"]))]),
-        HEAVY_SHARE,
-    )
+    labelled = stored(nodes.drop("keys", "rare").join(parts, "node"), "parts")
     rest = verified(docs, with_texts(stored(candidate_pairs(docs, labelled, heavy, groups), "candidates")), groups)
     whole = components(ids, stars.unionAll(rest)).select(
         F.col("id").alias("node"), F.col("component_id").alias("part")
