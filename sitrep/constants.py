@@ -166,27 +166,46 @@ GEO_MIN_CONFIDENCE = 0.3
 HAZARD_LEXICON = {
     "banjir kilat": "flood",
     "banjir": "flood",
+    "kebanjiran": "flood",
     "flash flood": "flood",
+    "flash floods": "flood",
+    "flash flooding": "flood",
     "flood": "flood",
+    "floods": "flood",
+    "flooded": "flood",
+    "flooding": "flood",
+    "floodwater": "flood",
+    "floodwaters": "flood",
     "rising water": "flood",
     "tanah runtuh": "landslide",
     "landslide": "landslide",
+    "landslides": "landslide",
     "ribut": "storm",
     "taufan": "storm",
     "kilat": "storm",
     "lightning": "storm",
     "thunder": "storm",
+    "thunderstorm": "storm",
+    "thunderstorms": "storm",
     "storm": "storm",
+    "storms": "storm",
+    "stormy": "storm",
+    "rainstorm": "storm",
     "jerebu": "haze",
     "haze": "haze",
     "kebakaran hutan": "forest fire",
     "forest fire": "forest fire",
+    "forest fires": "forest fire",
     "gempa bumi": "earthquake",
     "earthquake": "earthquake",
+    "earthquakes": "earthquake",
     "lohong benam": "sinkhole",
     "mendapan tanah": "sinkhole",
     "sinkhole": "sinkhole",
+    "sinkholes": "sinkhole",
+    "hazy": "haze",
     "tsunami": "tsunami",
+    "tsunamis": "tsunami",
 }
 # the Malay half, used to translate hazard terms inside a text
 MALAY_TERMS = {

@@ -14,9 +14,9 @@ PRESETS = ["this-week", "last-week", "this-month", "last-30-days", "this-year"]
 
 
 def parse_post_date(c: Column, now: Column) -> Column:
-    """'Fri Apr 11 13:57:55 +0000 2025', then ISO 8601, else ``now``."""
-    platform = F.try_to_timestamp(F.substring(c, 5, 100), F.lit("MMM d HH:mm:ss Z yyyy"))
-    iso = F.try_to_timestamp(c)
+    """'Fri Apr 11 13:57:55 +0000 2025', then ISO 8601 with a whole date, else ``now``."""
+    platform = F.try_to_timestamp(F.substr(c, F.lit(5)), F.lit("MMM d HH:mm:ss Z yyyy"))
+    iso = F.when(c.rlike(r"^\s*\d{4}-\d{2}-\d{2}([T ].*)?$"), F.try_to_timestamp(c))
     return F.coalesce(platform, iso, now)
 
 
@@ -26,7 +26,11 @@ def epoch_to_timestamp(c: Column) -> Column:
 
 
 def iso_string(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO 8601; fractions of a second are written, all six digits, where there are any."""
+    at = c.cast("timestamp")
+    return F.when(
+        F.pmod(F.unix_micros(at), F.lit(1_000_000)) == 0, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    ).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
 def epoch_micros(c: Column) -> Column:

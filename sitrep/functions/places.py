@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -61,7 +62,10 @@ def fuzzy_place(cols: Iterable[Column], wanted: str | None) -> Column | None:
     """Some word of ``wanted`` is close to some word of a column. 'malaysia' means anywhere."""
     if not wanted or wanted.strip().lower() == "malaysia":
         return None
-    terms = [t for t in wanted.lower().replace(",", " ").split() if t]
+    # one rule splits both sides, so 'port-dickson' is 'port dickson'; without words no filter
+    terms = re.findall(r"[^\W_]+", wanted.lower())
+    if not terms:
+        return None
 
     def near(words: Column, term: str) -> Column:
         k = fuzzy_limit(term)

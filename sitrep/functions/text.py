@@ -192,8 +192,14 @@ def literal_map(pairs: dict[str, str]) -> Column:
 
 
 def normalise_terms(c: Column) -> Column:
-    """Malay hazard terms replaced by their English type, longest first; text lower-cased."""
+    """Malay hazard terms, as whole words, replaced by their English type; text lower-cased.
+
+    One pattern for each type. Terms that begin a longer term of another type come after it.
+    """
+    by_type: dict[str, list[str]] = {}
+    for malay, kind in K.MALAY_TERMS.items():
+        by_type.setdefault(kind, []).append(malay)
     out = F.lower(c)
-    for malay in sorted(K.MALAY_TERMS, key=lambda t: (-len(t), t)):
-        out = F.replace(out, F.lit(malay), F.lit(K.MALAY_TERMS[malay]))
+    for kind in sorted(by_type, key=lambda k: (-max(map(len, by_type[k])), k)):
+        out = F.regexp_replace(out, word_pattern(by_type[kind]), kind)
     return out

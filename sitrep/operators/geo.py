@@ -16,9 +16,11 @@ NO_CELL = -1_000_000_000
 
 
 # --- gazetteer -------------------------------------------------------------------------
-def with_place_intent(posts: DataFrame, column: str, out: str = "intent") -> DataFrame:
+def with_place_intent(
+    posts: DataFrame, column: str, out: str = "intent", extra: DataFrame | None = None
+) -> DataFrame:
     """Adds ``struct<state, district>`` named in a text: the first district, else the first
-    state, else null.
+    state, else null; and the columns of ``extra``, which has one row per gazetteer ``name``.
 
     One pattern finds all names in one pass over the text. Only the found name meets the
     gazetteer, a constant of about a hundred rows, which is why it may be broadcast.
@@ -36,6 +38,8 @@ def with_place_intent(posts: DataFrame, column: str, out: str = "intent") -> Dat
     names = gazetteer(posts.sparkSession).select(
         "name", F.struct("state", "district").alias(out)
     )
+    if extra is not None:
+        names = names.join(extra, "name", "left")
     return named.join(F.broadcast(names), "name", "left").drop("name")
 
 
@@ -81,6 +85,17 @@ def place_names_in(posts: DataFrame, column: str, names: DataFrame, name: str) -
 
 
 # --- polygons ----------------------------------------------------------------------------
+def ring_edges(ring: Column) -> Column:
+    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(
+        ring,
+        following,
+        lambda a, b: F.struct(
+            a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
+        ),
+    )
+
+
 def polygon_grid(polygons: DataFrame, cell: float = CELL) -> DataFrame:
     """Polygons cut to a grid: one row per cell with the polygons that may cover it.
 
@@ -88,15 +103,6 @@ def polygon_grid(polygons: DataFrame, cell: float = CELL) -> DataFrame:
     test touches a few edges of even a very detailed outline. Entries are ordered by polygon
     id. The table grows with the outlines, not with the points.
     """
-    def ring_edges(ring: Column) -> Column:
-        following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-        return F.zip_with(
-            ring,
-            following,
-            lambda a, b: F.struct(
-                a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
-            ),
-        )
 
     outline = polygons.select(
         "polygon_id",
@@ -194,19 +200,39 @@ def locate_points(
     )
 
 
+def _same_state(c: Column) -> Column:
+    """One spelling for all names of a state."""
+    return F.lower(places.canonical_state(c))
+
+
 def place_points(polygons: DataFrame) -> DataFrame:
-    """A coordinate per (state, district), and per state with a null district: the middle of
-    the outline of the lowest polygon id."""
+    """A coordinate per (state, district), and per state under the unknown district: the middle
+    of the outline of the lowest polygon id, or its first corner where the middle lies outside.
+
+    States are in one spelling, so that a place named either way finds its outline.
+    """
     outline = polygons.select(
-        "polygon_id", "state", "district", F.flatten("rings").alias("_points")
+        "polygon_id",
+        _same_state(F.col("state")).alias("state"),
+        "district",
+        F.flatten("rings").alias("_points"),
+        F.flatten(F.transform("rings", ring_edges)).alias("_edges"),
     )
     xs, ys = F.transform("_points", lambda p: p["x"]), F.transform("_points", lambda p: p["y"])
-    centre = outline.select(
+    centre = outline.withColumns(
+        {
+            "_lon": (F.array_min(xs) + F.array_max(xs)) / 2,
+            "_lat": (F.array_min(ys) + F.array_max(ys)) / 2,
+        }
+    )
+    inside = _inside(F.col("_edges"), F.col("_lon"), F.col("_lat"))
+    corner = F.get("_points", F.lit(0))
+    centre = centre.select(
         "polygon_id",
         "state",
         "district",
-        ((F.array_min(xs) + F.array_max(xs)) / 2).alias("lon"),
-        ((F.array_min(ys) + F.array_max(ys)) / 2).alias("lat"),
+        F.when(inside, F.col("_lon")).otherwise(corner["x"]).alias("lon"),
+        F.when(inside, F.col("_lat")).otherwise(corner["y"]).alias("lat"),
     )
     best = F.min_by(F.struct("district", "lat", "lon"), "polygon_id").alias("at")
     by_district = centre.groupBy("state", F.col("district").alias("named")).agg(best)
@@ -214,6 +240,22 @@ def place_points(polygons: DataFrame) -> DataFrame:
     return by_district.unionByName(by_state)
 
 
+def rescue_points(polygons: DataFrame) -> DataFrame:
+    """``name, at``: for every gazetteer name a point of its district, else of its state.
+
+    At most one row per gazetteer name, so it may be broadcast however many outlines there are.
+    """
+    points = place_points(polygons)
+    names = gazetteer(polygons.sparkSession).select(
+        "name", _same_state(F.col("state")).alias("state"), F.col("district").alias("named")
+    )
+    near = names.join(points, ["state", "named"], "left")
+    anywhere = points.where(F.col("named") == K.UNKNOWN_DISTRICT).select(
+        "state", F.col("at").alias("_at")
+    )
+    return near.join(anywhere, "state", "left").select("name", F.coalesce("at", "_at").alias("at"))
+
+
 # --- decision ------------------------------------------------------------------------------
 def resolve_geo(posts: DataFrame, polygons: DataFrame, text_column: str = "postText") -> DataFrame:
     """Adds ``geo_data``: where a post is, how sure that is, and how it was found.
@@ -221,18 +263,11 @@ def resolve_geo(posts: DataFrame, polygons: DataFrame, text_column: str = "postT
     Coordinates confirmed by the text 1.0; text against or without coordinates 0.8; coordinates
     alone 0.6; nothing 0.0.
     """
-    named = with_place_intent(posts, text_column)
+    # the point of a named place comes with the name: posts are not joined again by place
+    named = with_place_intent(posts, text_column, extra=rescue_points(polygons))
     located = locate_points(named, polygons, "latitude", "longitude", "gps")
-    rescue = place_points(polygons).select(
-        F.col("state").alias("_s"), F.col("named").alias("_d"), "at"
-    )
-    joined = located.join(
-        rescue,
-        (F.col("intent.state") == F.col("_s")) & (F.col("intent.district") == F.col("_d")),
-        "left",
-    )
     gps, intent, at = F.col("gps"), F.col("intent"), F.col("at")
-    confirmed = gps.isNotNull() & (F.lower(gps["state"]) == F.lower(intent["state"]))
+    confirmed = gps.isNotNull() & (_same_state(gps["state"]) == _same_state(intent["state"]))
     inside = places.in_bounding_box(F.col("latitude"), F.col("longitude"))
 
     def result(state, district, lat, lon, known, score, how) -> Column:
@@ -269,7 +304,7 @@ def resolve_geo(posts: DataFrame, polygons: DataFrame, text_column: str = "postT
             )
         )
     )
-    return joined.withColumn("geo_data", decision).drop("gps", "intent", "_s", "_d", "at")
+    return located.withColumn("geo_data", decision).drop("gps", "intent", "at")
 
 
 # --- map roll-ups ---------------------------------------------------------------------------

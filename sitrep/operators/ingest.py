@@ -76,10 +76,20 @@ def clean_timeline_posts(posts: DataFrame) -> DataFrame:
     return one_per_key(kept, ["tweet_id"], ["tweet_created_at", "raw_text"])
 
 
+def _items_of(feed: DataFrame, column: str) -> DataFrame:
+    """``text`` and ``is_object`` of every item, each taken from its document as it stands."""
+    text_of = F.from_json(F.col(column), schemas.ITEM_LIST)["data"]["items"]
+    item = feed.select(F.explode(text_of).alias("text")).where(F.col("text").isNotNull())
+    return item.withColumn("is_object", F.coalesce(F.col("text").startswith("{"), F.lit(False)))
+
+
 def flatten_items(feed: DataFrame, column: str = "value") -> DataFrame:
-    """Item documents (JSON text) to one flat row per item; null items are skipped."""
-    doc = feed.select(F.from_json(F.col(column), schemas.ITEM_FEED).alias("d"))
-    item = doc.select(F.explode("d.data.items").alias("i")).where(F.col("i").isNotNull())
+    """Item documents (JSON text) to one flat row per item.
+
+    Items are parsed one by one, so one that is no object costs only itself.
+    """
+    objects = _items_of(feed, column).where("is_object")
+    item = objects.select(F.from_json("text", schemas.ITEM).alias("i"))
     return item.select(
         F.col("i.id").alias("ig_post_id"),
         F.col("i.taken_at").alias("created_at"),
@@ -105,6 +115,17 @@ def flatten_items(feed: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def rejects(feed: DataFrame, column: str = "value") -> DataFrame:
+    """``reason, text`` of what a feed's parsers pass over: documents that are no JSON, and items
+    that are no objects."""
+    whole = F.try_parse_json(F.col(column)).isNotNull()
+    documents = feed.where(F.col(column).isNotNull() & ~whole).select(
+        F.lit("document").alias("reason"), F.col(column).alias("text")
+    )
+    items = _items_of(feed, column).where("not is_object").select(F.lit("item").alias("reason"), "text")
+    return documents.unionAll(items)
+
+
 def clean_item_posts(posts: DataFrame) -> DataFrame:
     """Personal accounts with a text and a known place, cleaned, one row per post id."""
     kept = posts.where(
@@ -171,7 +192,7 @@ def unify(raw: DataFrame, processed_at: float | Column) -> DataFrame:
         .alias("processedAt"),
         F.when(platform.isNull() | (platform == ""), "Unknown")
         .otherwise(
-            F.concat(F.upper(F.substring(platform, 1, 1)), F.lower(F.substring(platform, 2, 100)))
+            F.concat(F.upper(F.substring(platform, 1, 1)), F.lower(F.substr(platform, F.lit(2))))
         )
         .alias("source"),
     )

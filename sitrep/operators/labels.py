@@ -18,6 +18,7 @@ from sitrep import constants as K
 from sitrep.functions import predicates as P
 from sitrep.functions import text
 from sitrep.operators.geo import with_place_intent
+from sitrep.session import importable
 
 
 def label_incident(posts: DataFrame, column: str, min_length: int = 5) -> DataFrame:
@@ -32,7 +33,7 @@ def label_incident(posts: DataFrame, column: str, min_length: int = 5) -> DataFr
         F.when(
             P.min_text(F.col(column), min_length),
             F.transform(
-                text.term_matches(F.col(column), K.HAZARD_LEXICON, prefix=True),
+                text.term_matches(F.col(column), K.HAZARD_LEXICON),
                 lambda m: F.element_at(to_type, m),
             ),
         ),
@@ -133,11 +134,13 @@ def topic_phrase(posts: DataFrame, column: str) -> DataFrame:
 
 
 def topic_key(topic: Column) -> Column:
-    """Order-free form of a topic: its distinct words without fillers and bare numbers."""
+    """Order-free form of a topic: its distinct words without fillers; a topic of nothing else
+    stands for itself."""
     fillers = text.literal_array(K.TOPIC_FILLERS)
     words = F.split(F.lower(topic), f"[^{text.WORD}]+")
     kept = F.filter(words, lambda w: (w != "") & ~F.array_contains(fillers, w))
-    return F.array_join(F.array_sort(F.array_distinct(kept)), " ")
+    key = F.array_join(F.array_sort(F.array_distinct(kept)), " ")
+    return F.when(key != "", key).otherwise(F.concat(F.lit("="), topic))
 
 
 def canonical_topics(topics: DataFrame, column: str = "topic") -> DataFrame:
@@ -163,6 +166,9 @@ class RateLimited(Exception):
     """Raised by a labeller that wants the batch to be tried again later."""
 
 
+LIMITED = "rate limited"
+
+
 def label_posts(
     posts: DataFrame,
     labeller: Callable[[pd.DataFrame], pd.DataFrame],
@@ -173,10 +179,12 @@ def label_posts(
 ) -> DataFrame:
     """Run any labeller over batches of rows: ``key``, the label columns, and ``error``.
 
-    A batch is tried again while the labeller reports a rate limit; any other failure rejects
-    the batch at once. Rejected rows stay in the result with their error. Concurrency is the
-    number of partitions. Select the needed columns and filter before calling.
+    A batch is tried again while the labeller reports a rate limit. A batch that fails in any
+    other way is halved until the rows that fail stand alone. Rejected rows, and rows that the
+    labeller does not return, stay in the result with their error. Concurrency is the number of
+    partitions. Select the needed columns and filter before calling.
     """
+    importable(posts.sparkSession)
     names = [f.name for f in labels.fields]
     key_type = posts.schema[key].dataType
     schema = T.StructType(
@@ -185,26 +193,44 @@ def label_posts(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            error = None
-            for attempt in range(attempts):
-                try:
-                    done = labeller(batch)
+            waiting = [batch]
+            while waiting:
+                part = waiting.pop()
+                done, error = _tried(labeller, part, attempts, backoff)
+                if done is not None:
                     yield done[[key, *names]].assign(error=None)
-                    break
-                except RateLimited as limited:
-                    error = f"rate limited: {limited}"
-                    if attempt + 1 < attempts:
-                        time.sleep(backoff(attempt))
-                except Exception as failed:  # a labeller may fail in any way
-                    error = f"{type(failed).__name__}: {failed}"
-                    yield _rejected(batch, key, names, error)
-                    break
-            else:
-                yield _rejected(batch, key, names, error)
+                    missing = part[~part[key].isin(done[key])]
+                    if len(missing):
+                        yield _rejected(missing, key, names, "not returned")
+                elif len(part) == 1 or error.startswith(LIMITED):
+                    yield _rejected(part, key, names, error)
+                else:
+                    middle = len(part) // 2
+                    waiting += [part.iloc[middle:], part.iloc[:middle]]
 
     return posts.mapInPandas(run, schema)
 
 
+def _tried(
+    labeller: Callable[[pd.DataFrame], pd.DataFrame],
+    batch: pd.DataFrame,
+    attempts: int,
+    backoff: Callable[[int], float],
+) -> tuple[pd.DataFrame | None, str]:
+    """The labeller's rows, or none and what went wrong."""
+    error = ""
+    for attempt in range(attempts):
+        try:
+            return labeller(batch), ""
+        except RateLimited as limited:
+            error = f"{LIMITED}: {limited}"
+            if attempt + 1 < attempts:
+                time.sleep(backoff(attempt))
+        except Exception as failed:  # a labeller may fail in any way
+            return None, f"{type(failed).__name__}: {failed}"
+    return None, error
+
+
 def _rejected(batch: pd.DataFrame, key: str, names: list[str], error: str | None) -> pd.DataFrame:
     out = pd.DataFrame({key: batch[key]})
     for name in names:

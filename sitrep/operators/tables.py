@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,11 +15,20 @@ from sitrep.skew import one_per_key
 def absent_rows(
     source: DataFrame, target: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]
 ) -> DataFrame:
-    """Source rows to append: one per key, only for keys the target does not have."""
-    fresh = one_per_key(source, keys, order_by)
+    """Source rows to append: one per key, only for keys the target does not have.
+
+    Rows without a whole key are left out; ``keyless_rows`` has them.
+    """
+    whole = source.where(functools.reduce(operator.and_, [F.col(k).isNotNull() for k in keys]))
+    fresh = one_per_key(whole, keys, order_by)
     return fresh.join(target.select(*keys), list(keys), "left_anti")
 
 
+def keyless_rows(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Source rows that lack a key and cannot be stored under one."""
+    return source.where(functools.reduce(operator.or_, [F.col(k).isNull() for k in keys]))
+
+
 def insert_counts(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(inserted, skipped)`` of an insert-if-absent.
 
@@ -57,12 +68,19 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
     return joined.select(*out)
 
 
-def upsert_subscriptions(subscribers: DataFrame, requests: DataFrame, now: float) -> DataFrame:
+def upsert_subscriptions(
+    subscribers: DataFrame,
+    requests: DataFrame,
+    now: float,
+    order_by: Sequence[str | Column] = ("locations",),
+) -> DataFrame:
     """New or changed subscriptions: ``createdAt`` is set once, ``updatedAt`` every time.
 
-    Requests without locations are rejected.
+    Requests without locations or an e-mail are rejected. Of several requests for one e-mail the
+    last in ``order_by`` counts.
     """
-    valid = requests.where(F.size("locations") > 0).select(
+    asked = requests.where((F.size("locations") > 0) & F.col("email").isNotNull())
+    valid = one_per_key(asked, ["email"], order_by, keep="last").select(
         "email", F.col("locations").alias("_new_locations"), F.lit(True).alias("_hit")
     )
     joined = subscribers.join(valid, "email", "full_outer")
@@ -78,7 +96,9 @@ def upsert_subscriptions(subscribers: DataFrame, requests: DataFrame, now: float
 
 
 def rejected_subscriptions(requests: DataFrame) -> DataFrame:
-    return requests.where(F.col("locations").isNull() | (F.size("locations") == 0))
+    return requests.where(
+        F.col("locations").isNull() | (F.size("locations") == 0) | F.col("email").isNull()
+    )
 
 
 def delete_keys(target: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -102,11 +102,15 @@ class Batch:
         """Label the posts of the batches this table has not seen, in one pass.
 
         A label batch covers every post up to its number, so finished work is recognised by
-        folder; no id of an older post is read.
+        folder; no id of an older post is read. It is never numbered above the posts there are:
+        when posts fail to land, the run that lands them later uses the same number.
         """
         out = self.log(name, ddl)
-        out.append(rule(self.posts.read(after=out.last())), self.number)
-        added = out.read_batch(self.number).count()
+        done, through = out.last(), self.posts.last()
+        if through <= done:
+            return 0, 0, 0
+        out.append(rule(self.posts.read(after=done, before=through + 1)), through)
+        added = out.read_batch(through).count()
         return added, added, 0
 
     def topics(self) -> tuple[int, int, int]:

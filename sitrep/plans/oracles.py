@@ -255,7 +255,7 @@ ALL_TIME = f"""alltime AS (SELECT * FROM ev WHERE location_district IS NOT NULL
   AND location_district NOT IN {within(K.RANKING_UNKNOWN)}
   AND classification_type IS DISTINCT FROM 'none')"""
 
-HAZARD_N = f"""terms AS (SELECT post_id, unnest({found('post_text', K.HAZARD_LEXICON, prefix=True)}) AS m
+HAZARD_N = f"""terms AS (SELECT post_id, unnest({found('post_text', K.HAZARD_LEXICON)}) AS m
   FROM docs WHERE length(post_text) >= 5),
 lexicon(m, type, pos) AS (VALUES {rows([(t, k, K.INCIDENT_TYPES.index(k)) for t, k in K.HAZARD_LEXICON.items()])}),
 per_type AS (SELECT post_id, type, pos, count(*) AS n, sum(count(*)) OVER (PARTITION BY post_id) AS total
@@ -284,10 +284,13 @@ CLEAN_CAPTION = squeeze(
 
 
 def translated(c: str) -> str:
-    out = f"lower({c})"
+    """Whole words, longest terms first; doubled separators stand in for look-around."""
+    out = f"regexp_replace(lower({c}), '([^{WORD}])', '\\1\\1', 'g')"
     for malay in sorted(K.MALAY_TERMS, key=lambda t: (-len(t), t)):
-        out = f"replace({out}, {lit(malay)}, {lit(K.MALAY_TERMS[malay])})"
-    return out
+        term = malay.replace(" ", "  ")
+        kind = K.MALAY_TERMS[malay].replace(" ", "  ")
+        out = f"regexp_replace({out}, '(^|[^{WORD}]){term}($|[^{WORD}])', '\\1{kind}\\2', 'g')"
+    return f"regexp_replace({out}, '([^{WORD}])[^{WORD}]', '\\1', 'g')"
 
 
 def mentions(c: str, names) -> str:
@@ -418,15 +421,15 @@ WHERE coalesce(lower(classification_type), '') NOT IN ('none', '')
   AND coalesce(lower(location_district), '') NOT IN ('unknown district', '')
   AND coalesce(lower(location_state), '') NOT IN ('unknown state', '')"""
     q["events_by_ids"] = f"""WITH {EVENTS} SELECT event_id,
-  strftime(start_time, '%Y-%m-%dT%H:%M:%S') AS start_time, total_posts_count FROM ev
+  strftime(start_time, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(start_time) % 1000000 = 0 THEN '' ELSE strftime(start_time, '.%f') END AS start_time, total_posts_count FROM ev
 WHERE event_id IN (SELECT 'EV-' || CAST(l_orderkey AS VARCHAR) FROM lineitem
   WHERE l_returnflag = 'R' AND l_quantity >= 49)"""
     q["event_index_projection"] = f"""WITH {EVENTS} SELECT event_id, classification_type,
-  location_district, location_state, strftime(start_time, '%Y-%m-%dT%H:%M:%S') AS start_time,
+  location_district, location_state, strftime(start_time, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(start_time) % 1000000 = 0 THEN '' ELSE strftime(start_time, '.%f') END AS start_time,
   lon, lat, total_posts_count FROM ev"""
     q["post_index_projection"] = f"""WITH {POSTS} SELECT post_id, disaster_type, post_text,
   state AS location_state, district AS location_district,
-  strftime(start_time, '%Y-%m-%dT%H:%M:%S') AS start_time, label AS sentiment FROM texts"""
+  strftime(start_time, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(start_time) % 1000000 = 0 THEN '' ELSE strftime(start_time, '.%f') END AS start_time, label AS sentiment FROM texts"""
     q["search_posts"] = f"""WITH {POSTS} SELECT post_id FROM texts
 WHERE start_time >= TIMESTAMP '2024-01-02' AND start_time < TIMESTAMP '2024-01-29'
   AND (state ILIKE '%nation\\_1%' ESCAPE '\\' OR district ILIKE '%nation\\_1%' ESCAPE '\\'
@@ -438,7 +441,7 @@ WHERE start_time >= TIMESTAMP '2024-01-02' AND start_time < TIMESTAMP '2024-01-2
 WHERE regexp_matches(post_text, '(?i)report [0-9]*7 level')
   OR regexp_matches(keywords, '(?i)report [0-9]*7 level')"""
     q["export_flat_posts"] = f"""WITH {POSTS} SELECT post_id AS id, post_id, 'Confirmed' AS status,
-  disaster_type, strftime(start_time, '%Y-%m-%dT%H:%M:%S') AS start_time, post_text, state, district,
+  disaster_type, strftime(start_time, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(start_time) % 1000000 = 0 THEN '' ELSE strftime(start_time, '.%f') END AS start_time, post_text, state, district,
   lon AS longitude, lat AS latitude, coalesce(label, '') AS sentiment_label,
   CASE WHEN label IS NOT NULL THEN round(value / 500, 4) END AS sentiment_confidence,
   CASE WHEN label IS NOT NULL THEN 'value' ELSE '' END AS sentiment_reasoning, keywords
@@ -508,6 +511,8 @@ SELECT CAST(c_custkey AS VARCHAR) AS ig_post_id,
   regexp_replace('Banjir!!! ' || c_name, '#[0-9]+', '') AS cleaned_description,
   'banjir, ' || lower(c_mktsegment) AS cleaned_hashtags_str
 FROM c WHERE c_nationkey % 3 <> 2 AND c_acctbal > 0 AND c_nationkey > 4 AND city <> 'elsewhere'"""
+    q["ingest_rejects"] = """SELECT 'item' AS reason, unnest(['5', 'x']) AS text FROM customer
+UNION ALL SELECT 'document', '{"data": ' || c_custkey FROM customer WHERE c_custkey % 7 = 0"""
     q["unify_posts"] = f"""SELECT CAST(doc_id AS VARCHAR) AS "postId", nullif(text, '') AS "postText",
   CASE WHEN lang = 'en' THEN 'Fri Apr 11 13:57:55 +0000 2025' ELSE '2025-04-11T13:57:55Z' END AS "createdAt",
   CASE WHEN lang = 'en' AND doc_id % 3 <> 0 THEN 'Flood,#Help' ELSE '' END AS hashtags,
@@ -600,21 +605,26 @@ SELECT post_id, t_state AS state, t_district AS district FROM intent"""
     q["point_in_polygon"] = f"""WITH {POSTS}, {POLYGONS}, {hits('posts')}
 SELECT post_id, hits.polygon_id, boxes.state, boxes.district FROM posts
 LEFT JOIN hits USING (post_id) LEFT JOIN boxes ON boxes.polygon_id = hits.polygon_id"""
-    q["resolve_geo"] = f"""WITH {DOCS}, {GAZETTEER}, {INTENT}, {POLYGONS},
+    q["resolve_geo"] = f"""WITH {DOCS}, {STATES}, {GAZETTEER}, {INTENT}, {POLYGONS},
 points AS (SELECT post_id, latitude AS lat, longitude AS lon FROM docs), {hits('points')},
-middles AS (SELECT polygon_id, state, district, (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM corners),
+middles AS (SELECT polygon_id, lower(coalesce(display, state)) AS state, district,
+  (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM corners LEFT JOIN states ON alias = lower(trim(state))),
 rescue AS (
   SELECT state, district AS named, arg_min(district, polygon_id) AS district,
     arg_min(lat, polygon_id) AS lat, arg_min(lon, polygon_id) AS lon FROM middles GROUP BY 1, 2
   UNION ALL SELECT state, 'Unknown District', arg_min(district, polygon_id),
     arg_min(lat, polygon_id), arg_min(lon, polygon_id) FROM middles GROUP BY 1),
 facts AS (SELECT i.post_id, i.latitude, i.longitude, i.t_state, b.state AS g_state,
-    b.district AS g_district, r.district AS r_district, r.lat AS r_lat, r.lon AS r_lon,
-    CASE WHEN b.state = t_state THEN 1 WHEN r.lat IS NOT NULL THEN 2
+    b.district AS g_district, coalesce(r.district, w.district) AS r_district,
+    coalesce(r.lat, w.lat) AS r_lat, coalesce(r.lon, w.lon) AS r_lon,
+    CASE WHEN lower(coalesce(gs.display, b.state)) = lower(coalesce(ts.display, t_state)) THEN 1
+      WHEN coalesce(r.lat, w.lat) IS NOT NULL THEN 2
       WHEN b.state IS NOT NULL THEN 3 ELSE 4 END AS how
   FROM intent i LEFT JOIN hits ON hits.post_id = i.post_id
   LEFT JOIN boxes b ON b.polygon_id = hits.polygon_id
-  LEFT JOIN rescue r ON r.state = t_state AND r.named = t_district)
+  LEFT JOIN states gs ON gs.alias = lower(trim(b.state)) LEFT JOIN states ts ON ts.alias = lower(trim(t_state))
+  LEFT JOIN rescue r ON r.state = lower(coalesce(ts.display, t_state)) AND r.named = t_district
+  LEFT JOIN rescue w ON w.state = lower(coalesce(ts.display, t_state)) AND w.named = 'Unknown District')
 SELECT post_id, CASE how WHEN 2 THEN t_state WHEN 4 THEN 'Unknown State' ELSE g_state END AS state,
   CASE how WHEN 2 THEN r_district WHEN 4 THEN 'Unknown District' ELSE g_district END AS district,
   round(CASE how WHEN 2 THEN r_lat ELSE latitude END, 6) AS lat,
@@ -672,6 +682,13 @@ SELECT topic, {capitalised('best')} AS canonical FROM v JOIN w USING (key)"""
   CASE WHEN contains(post_text, '!') THEN 1e0 ELSE 0.5e0 END AS score,
   CAST(NULL AS VARCHAR) AS error FROM docs"""
 
+    kept = "CAST(post_id AS BIGINT) % 97 <> 7 AND CAST(post_id AS BIGINT) % 10 <> 3"
+    q["label_hook_rejects"] = f"""WITH {DOCS} SELECT post_id,
+  CASE WHEN {kept} THEN CASE WHEN contains(post_text, '!') THEN 'Urgent' ELSE 'Informational' END END AS label,
+  CASE WHEN {kept} THEN CASE WHEN contains(post_text, '!') THEN 1e0 ELSE 0.5e0 END END AS score,
+  CASE WHEN CAST(post_id AS BIGINT) % 97 = 7 THEN 'ValueError: refused'
+    WHEN CAST(post_id AS BIGINT) % 10 = 3 THEN 'not returned' END AS error FROM docs"""
+
     # --- alerts
     q["alerts_due"] = f"WITH {EVENTS}, {DUE} SELECT event_id, location_state, start_time FROM due"
     reach = f"""WITH {EVENTS}, {DUE}, {SUBS}, {STATES}, {SUBSCRIBED},
@@ -690,13 +707,13 @@ LEFT JOIN subscribed ON subscribed.state = lower(coalesce(display, location_stat
     q["alert_marks"] = f"""{reach} SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM reach)
   THEN TIMESTAMP '{ALERT_NOW}' ELSE last_alert_sent END AS last_alert_sent FROM ev"""
     q["alert_cooldown"] = """WITH RECURSIVE
-t AS (SELECT DISTINCT event_type AS event_id, epoch_us(ts) // 60000000 AS m FROM events),
+t AS (SELECT DISTINCT event_type AS event_id, epoch_us(ts) AS m FROM events),
 nx AS (SELECT event_id, m, min(m) OVER (PARTITION BY event_id ORDER BY m
-  RANGE BETWEEN 60 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM t),
+  RANGE BETWEEN 3600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM t),
 a AS (SELECT event_id, min(m) AS m FROM t GROUP BY 1
   UNION ALL SELECT nx.event_id, nx.nxt FROM a JOIN nx ON nx.event_id = a.event_id AND nx.m = a.m
     WHERE nxt IS NOT NULL)
-SELECT event_id, make_timestamp(m * 60000000) AS alert_at FROM a"""
+SELECT event_id, make_timestamp(m) AS alert_at FROM a"""
     places = [*X.SUBSCRIBER_STATES, "Kota", "Pi", "shah alam"]
     q["substring_location_join"] = f"""WITH {EVENTS},
 spots AS (SELECT DISTINCT lower(concat_ws(', ', location_district, location_state)) AS location FROM ev),

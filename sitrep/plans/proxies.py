@@ -41,6 +41,8 @@ PHRASES = [
     "See http://bit.ly/123 and www.example.com @Lim123 \U0001f525 1️⃣ #banjir now!",
     "gempa bumi felt in Ranau, Sabah. tsunami warning for Langkawi",
     "floods and flooding in Sarawak; donations welcome",
+    "hazel likes stormtroopers and Thunderbolt laptops",
+    "contributions and distribution of ribut-proof tents, banjir-kilat and kilat",
     "",
 ]
 

@@ -529,7 +529,7 @@ def ingest_timeline_feed(spark, d):
 
 
 def _items(spark, d) -> DataFrame:
-    """One item document per customer, with one valid and one null item."""
+    """One item document per customer: two items that are no objects, a valid and a null one."""
     c = X.table(spark, d, "customer")
     item = F.struct(
         F.col("c_custkey").cast("string").alias("id"),
@@ -551,7 +551,15 @@ def _items(spark, d) -> DataFrame:
         ).alias("location"),
     )
     doc = F.struct(F.struct(F.array(item, F.lit(None)).alias("items")).alias("data"))
-    return c.select(F.to_json(doc).alias("value"))
+    odd = F.replace(F.to_json(doc), F.lit('"items":['), F.lit('"items":[5,"x",'))
+    return c.select(odd.alias("value"))
+
+
+@query
+def ingest_rejects(spark, d):
+    c = X.table(spark, d, "customer").where("c_custkey % 7 = 0")
+    broken = c.select(F.concat(F.lit('{"data": '), F.col("c_custkey").cast("string")).alias("value"))
+    return ingest.rejects(_items(spark, d).unionAll(broken))
 
 
 @query
@@ -691,7 +699,12 @@ def subscription_upsert(spark, d):
         .otherwise(F.array(F.lit("Perlis")))
         .alias("locations"),
     )
-    out = tables.upsert_subscriptions(target, requests, now=2000.0)
+    # e-mails that ask validly have asked before; the later request counts
+    earlier = requests.where(F.size("locations") > 0).select(
+        "email", F.array(F.lit("Kedah")).alias("locations"), F.lit(1).alias("at")
+    )
+    asked = requests.withColumn("at", F.lit(2)).unionByName(earlier)
+    out = tables.upsert_subscriptions(target, asked, now=2000.0, order_by=["at"])
     return out.withColumn("locations", F.array_join("locations", ","))
 
 
@@ -902,6 +915,23 @@ def label_hook(spark, d):
     return labels.label_posts(rows, shout_labeller, out)
 
 
+def choosy_labeller(batch: pd.DataFrame) -> pd.DataFrame:
+    """Refuses some rows, with everything that comes beside them, and leaves others out."""
+    ids = batch["post_id"].astype("int64")
+    if (ids % 97 == 7).any():
+        raise ValueError("refused")
+    return shout_labeller(batch)[ids % 10 != 3]
+
+
+@query
+def label_hook_rejects(spark, d):
+    out = T.StructType(
+        [T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]
+    )
+    rows = X.docs(spark, d).select("post_id", "post_text")
+    return labels.label_posts(rows, choosy_labeller, out)
+
+
 # --- alerts ------------------------------------------------------------------------------------------
 @query
 def alerts_due(spark, d):

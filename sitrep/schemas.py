@@ -31,14 +31,17 @@ TIMELINE_FEED = f"""struct<result: struct<timeline: struct<instructions: array<s
     entries: array<{TIMELINE_ITEM}>,
     addEntries: array<{TIMELINE_ITEM}>>>>>>"""
 
-ITEM_FEED = """struct<data: struct<items: array<struct<
+ITEM = """struct<
     id: string, taken_at: string,
     caption: struct<id: string, text: string, hashtags: array<string>, did_report_as_spam: boolean>,
     user: struct<id: string, username: string, full_name: string, account_type: int, is_verified: boolean>,
     location: struct<name: string, short_name: string, address: string, city: string, lat: double, lng: double>,
     gen_ai_detection_method: struct<detection_method: string>,
     has_high_risk_gen_ai_inform_treatment: boolean,
-    integrity_review_decision: string>>>>"""
+    integrity_review_decision: string>"""
+ITEM_FEED = f"struct<data: struct<items: array<{ITEM}>>>"
+# items as their JSON text
+ITEM_LIST = "struct<data: struct<items: array<string>>>"
 
 # --- topics ---------------------------------------------------------------------
 RAW_TOPIC = (

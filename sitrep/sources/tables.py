@@ -27,12 +27,22 @@ class _Folder:
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
         listed = [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)]
-        return sorted(n for n in listed if n > above and self._finished(prefix, n))
+        finished = sorted(n for n in listed if n > above and self._finished(prefix, n))
+        if not finished and any(self._unmarked(prefix, n) for n in listed if n > above):
+            raise ValueError(f"{self._root}: folders with data but without _SUCCESS; turn the marker on")
+        return finished
 
     def _finished(self, prefix: str, number: int) -> bool:
         return self._fs.exists(self._path(self._root, f"{prefix}{number:012d}/_SUCCESS"))
 
 
+    def _unmarked(self, prefix: str, number: int) -> bool:
+        """Committed data without a marker; a write that broke off leaves none, or _temporary."""
+        folder = self._path(self._root, f"{prefix}{number:012d}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return "_temporary" not in names and any(n.startswith("part-") for n in names)
+
+
 class VersionedTable:
     """A table replaced as a whole by each write."""
 

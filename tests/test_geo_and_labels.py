@@ -86,6 +86,14 @@ def test_decision(spark):
         "sea": (*unknown, True),
         "unresolved": ("selangor", "klang", 0.6, "gps_only", True),
     }
+    # states in two spellings, and a district without an outline of its own
+    states = spark.createDataFrame(
+        [("both", "flood in Penang", 2.0, 100.5), ("state", "flood in George Town", None, None)],
+        "post_id string, postText string, latitude double, longitude double",
+    )
+    pulau = polygons(spark, SQUARE).withColumn("state", F.lit("pulau pinang"))
+    found = {r.post_id: r.geo_data for r in geo.resolve_geo(states, pulau).collect()}
+    assert found["both"].confidence_score == 1.0 and found["state"].confidence_score == 0.8
     rescued = geo.resolve_geo(posts, polygons(spark, SQUARE, OVERLAP)).where("post_id = 'text'").first()
     assert (rescued.geo_data.lat, rescued.geo_data.lon) == (3.0, 102.5)
 
@@ -181,6 +189,19 @@ def test_topics(spark):
     assert [g[0] for g in got] == ["flood in johor", "earthquake", None, None, "landslide in ipoh"]
 
 
+def test_incident_needs_whole_words(spark):
+    texts = ["hazel likes stormtroopers and Thunderbolt laptops", "Thunderstorms tonight"]
+    assert labelled(spark, labels.label_incident, texts, "classification_type") in (
+        ["none", "storm"], [("none",), ("storm",)],
+    )
+
+
+def test_topics_of_fillers_stand_for_themselves(spark):
+    df = spark.createDataFrame([("in",), ("!!!",), ("At Road",)], "topic string")
+    got = {r.topic: r.canonical for r in labels.canonical_topics(df).collect()}
+    assert got == {"in": "In", "!!!": "!!!", "At Road": "At Road"}
+
+
 def test_canonical_topics(spark):
     topics = ["landslide sibu", "Landslide in Sibu Road", "sibu landslide", "flood kl", None, ""]
     df = spark.createDataFrame([(t,) for t in topics], "topic string")
@@ -224,7 +245,17 @@ def test_hook(spark, tmp_path):
             f.write("x")
         raise ValueError("no")
 
-    assert hook(spark, broken)["2"] == (None, "ValueError: no") and open(tries).read() == "x"
+    # the batch, then each of its halves
+    assert hook(spark, broken)["2"] == (None, "ValueError: no") and open(tries).read() == "xxx"
+
+    def choosy(batch):
+        if (batch.post_id == "1").any():
+            raise ValueError("not this one")
+        return pd.DataFrame({"post_id": batch.post_id, "label": "ok"})
+
+    assert hook(spark, choosy) == {"1": (None, "ValueError: not this one"), "2": ("ok", None)}
+    got = hook(spark, lambda b: pd.DataFrame({"post_id": ["2"], "label": ["ok"]}))
+    assert got == {"1": (None, "not returned"), "2": ("ok", None)}
 
 
 def test_split_valid(spark):

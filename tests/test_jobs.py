@@ -171,3 +171,40 @@ def test_alerts_after_cooldown(spark, tmp_path):
     land(tmp_path / "topics" / "raw", "c.json", [{**rows[1], "tweet_id": "77"}])
     chain(spark, tmp_path, "2025-04-20 01:00:00").run_available()
     assert c.store.outbox.read().count() == 2
+
+
+@pytest.mark.parametrize("stage", ["ingest", "topics", "assemble"])
+def test_a_stage_that_fails_once_loses_nothing(spark, tmp_path, stage):
+    class Failing(B.Batch):
+        broken = False
+
+    def stage_of(self, *args):
+        if self.broken:
+            raise RuntimeError("lost")
+        return getattr(B.Batch, stage)(self, *args)
+
+    setattr(Failing, stage, stage_of)
+    run = Failing(spark, str(tmp_path), polygons(spark, SQUARE, OVERLAP), NOW)
+    rows = raw_rows()
+    for part, broken in ((rows[:1], False), (rows[1:2], True), (rows[1:2], False), (rows[4:5], False)):
+        run.broken = broken
+        raw = spark.createDataFrame([json_row(r) for r in part], schemas.struct(schemas.RAW_TOPIC))
+        report = {r.stage: r.status for r in run.run(raw).collect()}
+        assert report[stage] == ("failed" if broken else "ok")
+    assert sorted(r.post_id for r in run.disaster_posts.read().collect()) == ["1", "2", "5"]
+    events = run.table("events", B.EVENTS).read().collect()
+    assert sorted(e.total_posts_count for e in events) == [1, 2]
+
+
+def test_committed_data_without_marker_is_not_taken_for_an_empty_table(spark, tmp_path):
+    log = B.BatchLog(spark, str(tmp_path / "log"), schemas.struct("a int"))
+    log.append(spark.createDataFrame([(1,)], "a int"), 0)
+    folder = tmp_path / "log" / "batch=000000000000"
+    kept = folder.rename(tmp_path / "kept")
+    folder.mkdir(parents=True)
+    for part in kept.glob("part-*"):
+        (folder / part.name).write_bytes(part.read_bytes())
+    with pytest.raises(ValueError, match="_SUCCESS"):
+        log.read()
+    (folder / "_temporary").mkdir()
+    assert log.read().count() == 0

@@ -46,7 +46,7 @@ def test_events_by_ids(spark):
     df = spark.createDataFrame([event(1), event(2)], EVENT)
     wanted = spark.createDataFrame([("2",), ("2",), ("9",)], "event_id string")
     (row,) = search.events_by_ids(df, wanted).collect()
-    assert (row.event_id, row.start_time) == ("2", "2025-03-31T23:59:59")
+    assert (row.event_id, row.start_time) == ("2", "2025-03-31T23:59:59.900000")
 
 
 @pytest.mark.parametrize(
@@ -195,6 +195,11 @@ def test_cooldown_is_a_fold(spark):
     for r in alerts.cooldown_alerts(df, 60).collect():
         got.setdefault(r.event_id, []).append(int((r.alert_at - NOW).total_seconds() / 60))
     assert {k: sorted(v) for k, v in got.items()} == {"e": [0, 60, 120], "f": [0, 100, 160]}
+    # 59 minutes and 2 seconds lie between these: the second is too early
+    rows = [("g", NOW + timedelta(seconds=s)) for s in (59, 59 + 3542, 59 + 3600)] + [("h", None)]
+    df = spark.createDataFrame(rows, "event_id string, reported_at timestamp")
+    sent = [r.alert_at for r in alerts.cooldown_alerts(df, 60).orderBy("alert_at").collect()]
+    assert sent == [NOW + timedelta(seconds=s) for s in (59, 3659)]
 
 
 def test_substring_join_equals_brute_force(spark):

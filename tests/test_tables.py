@@ -42,6 +42,19 @@ def test_subscriptions(spark):
         "a@x": (["perak"], 1.0, 9.0), "b@x": (["kedah"], 1.0, 1.0), "c@x": (["sabah"], 9.0, 9.0),
     }
     assert [r.email for r in tables.rejected_subscriptions(asks).collect()] == ["d@x"]
+    twice = spark.createDataFrame(
+        [("a@x", ["perak"], 2), ("a@x", ["sabah"], 1), (None, ["sabah"], 1)],
+        "email string, locations array<string>, at int",
+    )
+    got = tables.upsert_subscriptions(subs, twice, 9.0, order_by=["at"]).collect()
+    assert [r.locations for r in got if r.email == "a@x"] == [["perak"]] and len(got) == 2
+
+
+def test_rows_without_a_key_are_not_stored(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
+    none = spark.createDataFrame([], "k string, v int")
+    assert as_set(tables.absent_rows(df, none, ["k"], ["v"])) == {("a", 2)}
+    assert as_set(tables.keyless_rows(df, ["k"])) == {(None, 1)}
 
 
 def test_delete(spark):

@@ -50,6 +50,8 @@ def test_tokens(values):
 def test_terms(values):
     got = values(text.normalise_terms(C), ["Banjir kilat di Ipoh", "kilat dan tanah runtuh"])
     assert got == ["flood di ipoh", "storm dan landslide"]
+    inside = ["Contributions and distribution", "ribut-proof"]
+    assert values(text.normalise_terms(C), inside) == ["contributions and distribution", "storm-proof"]
     found = values(text.term_matches(C, ["kilat", "banjir kilat"]), ["banjir kilat, kilat; akilat"])
     assert found == [["banjir kilat", "kilat"]]
 
