@@ -62,7 +62,8 @@ WITH known(sentence, id) AS (VALUES {known}), rules(place, license, ids) AS (VAL
 s AS (
   SELECT doc_id, pos, trim(regexp_replace(translate(piece, '{L.UPPER}', '{L.LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence
   FROM (SELECT doc_id, unnest(ls) AS piece, generate_subscripts(ls, 1) AS pos FROM (
-    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ 	-]+', '' || chr(10), 'g'), chr(10)) AS ls
+    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ 	-
+]+', '' || chr(10), 'g'), chr(10)) AS ls
     FROM documents))
 ), f AS (
   SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM s JOIN known USING (sentence) GROUP BY doc_id
@@ -77,5 +78,84 @@ SELECT d.doc_id, coalesce(f.n, 0) AS n_known, coalesce(f.ids, '') AS sentence_id
 FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
 
+def jaccard_join() -> str:
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{L.UPPER}', '{L.LOWER}'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), reach(id, r) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r
+), m AS (
+  SELECT id, min(r) AS component_id FROM reach GROUP BY id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.id = d.doc_id"""
+
+
+def embedding_dedup() -> str:
+    return """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.98
+), reach(id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.r
+), m AS (
+  SELECT id, min(r) AS component_id FROM reach GROUP BY id
+), n AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
+def suffix_dedup() -> str:
+    return """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k
+  FROM (SELECT doc_id, unnest(gs) AS g, generate_subscripts(gs, 1) - 1 AS i
+        FROM (SELECT doc_id, list_transform(range(0, length(h) // 2 - 99), lambda i: md5_number(h[2 * i + 1:2 * i + 200])) AS gs FROM d))
+), f AS (
+  SELECT doc_id, i, i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 100 AS fresh FROM s WHERE k > 1
+), r AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi
+  FROM (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f) GROUP BY doc_id, run
+), p AS (
+  SELECT doc_id, lo, hi, substr(h, 2 * prev + 1, 2 * (lo - prev)) AS piece
+  FROM (SELECT r.*, h, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS prev FROM r JOIN d USING (doc_id))
+), c AS (
+  SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last,
+         string_agg(piece, '' ORDER BY lo) AS head
+  FROM p GROUP BY doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE coalesce(head, '') || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan(), "op2_quality_rules": quality_rules()}
+    """Queries that train a model, draw at random or call a tokenizer have none."""
+    return {
+        "op1_license_scan": license_scan(),
+        "op2_quality_rules": quality_rules(),
+        "op3_jaccard_join": jaccard_join(),
+        "op5_embedding_dedup": embedding_dedup(),
+        "op10_suffix_dedup": suffix_dedup(),
+    }
