@@ -3,9 +3,9 @@
 Distinct pre-tokens (words with a leading word mark) go into a trie. A node holds the best score
 of the prefix that leads to it and the number of tokens of that segmentation. Both follow from the
 nodes above it: the best over all vocabulary pieces that end there. So a prefix that many words
-share is scored once, and a word's count is read at its last node. A task keeps its trie between
-rows and starts a new one when it has grown to ``max_nodes``, so its memory is bounded; counts do
-not depend on that.
+share is scored once, and a word's count is stored where the word ends. A worker keeps its trie
+from row to row and from task to task and starts a new one when it has grown to ``max_nodes``, so
+its memory is bounded; counts do not depend on that.
 
 A character that no piece covers counts as its UTF-8 bytes, as byte fallback has it. Of equal
 scores the longer last piece wins. Null and empty texts have no tokens. Repeated rows count alike;
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sitrep.llm.common import small_batches
 
 MARK = "▁"
-MAX_NODES = 1_500_000
+MAX_NODES = 1_200_000
 #: Distance of an uncovered character's score below the lowest score of a piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -58,22 +58,29 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.children: dict[tuple[int, str], int] = {}
+        # the child of a node by a character is found under node * 2^21 + code point
+        self.children: dict[int, int] = {}
         self.best = [0.0]
         self.tokens = [0]
+        #: counts of the words that end in the trie
+        self.ends: dict[str, int] = {}
 
     def count(self, word: str) -> int:
         """Tokens of the best segmentation of ``word``; new prefixes are scored on the way."""
+        known = self.ends.get(word)
+        if known is not None:
+            return known
         if len(self.best) > self.max_nodes:
             self.clear()
-        node, path = 0, [0]
+        node, path, children = 0, [0], self.children
         for end, char in enumerate(word, 1):
-            child = self.children.get((node, char))
+            key = node << 21 | ord(char)
+            child = children.get(key)
             if child is None:
-                child = self._scored(word, end, path)
-                self.children[node, char] = child
+                child = children[key] = self._scored(word, end, path)
             node = child
             path.append(node)
+        self.ends[word] = self.tokens[node]
         return self.tokens[node]
 
     def _scored(self, word: str, end: int, path: list[int]) -> int:
@@ -94,24 +101,34 @@ class Trie:
         return len(self.best) - 1
 
 
+_TRIES: dict[tuple, Trie] = {}
+
+
+def _kept(scores: dict[str, float], max_nodes: int) -> Trie:
+    """This worker's trie for a vocabulary."""
+    key = (hash(frozenset(scores.items())), max_nodes)
+    if key not in _TRIES:
+        _TRIES.clear()
+        _TRIES[key] = Trie(scores, max_nodes)
+    return _TRIES[key]
+
+
 def count_tokens(docs: DataFrame, scores: dict[str, float], max_nodes: int = MAX_NODES) -> DataFrame:
     """``doc_id``, ``n_pretokens``, ``n_distinct`` pre-tokens and ``n_tokens`` of every whole text."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(scores)  # one vocabulary, tens of thousands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(held.value, max_nodes)
+        trie = _kept(held.value, max_nodes)
         for b in batches:
-            # a batch's pre-tokens in order: words that share a prefix meet while it is in cache
-            docs_words = [Counter((t.as_py() or "").split()) for t in b["text"]]
-            distinct = sorted(set().union(*docs_words)) if docs_words else []
-            counts = {w: trie.count(MARK + w) for w in distinct}
+            docs_words = [Counter((t or "").split()) for t in b["text"].to_pylist()]
+            totals = [sum([trie.count(MARK + w) * n for w, n in c.items()]) for c in docs_words]
             yield pa.RecordBatch.from_arrays(
                 [
                     b["doc_id"],
                     pa.array([sum(c.values()) for c in docs_words], pa.int64()),
                     pa.array([len(c) for c in docs_words], pa.int64()),
-                    pa.array([sum(counts[w] * n for w, n in c.items()) for c in docs_words], pa.int64()),
+                    pa.array(totals, pa.int64()),
                 ],
                 ["doc_id", "n_pretokens", "n_distinct", "n_tokens"],
             )
