@@ -319,6 +319,7 @@ def oracle_sql() -> dict[str, str]:
 
     # --- events
     q["consolidate_events"] = f"WITH {POSTS}, {sessions('posts')} {CONSOLIDATED}"
+    q["consolidate_incremental"] = q["consolidate_events"]
     q["consolidate_hot_districts"] = f"WITH {HOT}, {sessions('hot')} {CONSOLIDATED}"
     q["event_posts"] = f"WITH {POSTS}, {sessions('posts')} SELECT event_id, post_id FROM members"
     q["event_post_pages"] = f"""WITH {HOT}, {sessions('hot')},

@@ -60,6 +60,21 @@ def consolidate_events(spark, d):
     return _flat_events(consolidate.consolidate(X.posts(spark, d)))
 
 
+@query
+def consolidate_incremental(spark, d):
+    """Slices of three parts of the posts, merged: what streams and batches do over time."""
+    posts = X.posts(spark, d)
+    part = F.pmod(F.xxhash64("post_id"), F.lit(3))
+    parts = [
+        consolidate.slices(
+            consolidate.keyed_posts(one_per_key(posts.where(part == i), ["post_id"], ["start_time"]))
+        )
+        for i in range(3)
+    ]
+    merged = consolidate.merge_slices(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return _flat_events(consolidate.events_from_slices(merged))
+
+
 @query
 def consolidate_hot_districts(spark, d):
     return _flat_events(consolidate.consolidate(X.hot_posts(spark, d)))
