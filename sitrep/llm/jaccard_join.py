@@ -45,6 +45,9 @@ HEAVY_SHARE = 3e-6
 #: Bytes of text for each group of texts or columns.
 GROUP_BYTES = 1 << 20
 
+#: Bytes of text whose words are hashed at a time; a longer text is one piece.
+CHUNK = 1 << 20
+
 U = np.uint64
 ENTRY = np.dtype([("g", "<u8"), ("node", "<i8"), ("part", "<i8"), ("n", "<i4"), ("at", "<i4")])
 PAIR = np.dtype(
@@ -82,7 +85,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def rows_of(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct n-gram hashes of every row."""
+    """The sorted distinct n-gram hashes of every row, some texts at a time."""
+    out: list[np.ndarray] = []
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, side="right")) - 1)
+        out += _rows_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
+        lo = hi
+    return out
+
+
+def _rows_of(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     w, bounds = word_hashes(data, offsets)
     grams = np.zeros(max(0, len(w) - n + 1), U)
     for k in range(n):
@@ -343,8 +356,10 @@ def candidate_pairs(docs: DataFrame, nodes: DataFrame, heavy: np.ndarray, groups
     def accumulate(t: pa.Table) -> pa.Table:
         p = _summed(_unpacked(t, PAIR))
         na, nb = p["na"].astype(np.int64), p["nb"].astype(np.int64)
-        # what is not counted here follows the last column that is, in both rows
+        # what is not counted here follows the last column that is, in both rows; and it lies
+        # beyond the prefix of one of them
         rest = np.minimum(na - 1 - p["ia"], nb - 1 - p["ib"])
+        rest = np.minimum(rest, np.maximum(na - prefix(na), nb - prefix(nb)))
         p = p[p["c"] + rest >= needed(na, nb)]
         return pa.table({"a": p["a"], "b": p["b"]})
 
