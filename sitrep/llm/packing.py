@@ -16,7 +16,6 @@ not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -41,10 +40,8 @@ PIECES = (
     "sequence_id long, offset long"
 )
 
-#: From texts to their ids as little-endian unsigned 32-bit bytes.
-Encoder = Callable[[list[str]], list[bytes]]
-
-_WORD = re.compile(r"[^ \t\n\r\v\f]+")
+#: From UTF-8 texts to their ids as little-endian unsigned 32-bit bytes.
+Encoder = Callable[[list[bytes]], list[bytes]]
 
 
 class WordIds:
@@ -61,17 +58,18 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cached = cached
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [_WORD.findall(t) for t in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]  # at ASCII white space, which no id reaches across
         distinct = set().union(*words)
         new = [w for w in distinct if w not in self.known]
         if len(self.known) + len(new) > self.cached:
             self.known = {w: self.known[w] for w in distinct if w in self.known}
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            plain = [w.decode("utf-8", "replace") for w in some]
+            found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
             self.known.update(zip(some, (_bytes_of(e.ids) for e in found), strict=True))
         known = self.known
         return [b"".join([known[w] for w in ws]) for ws in words]
@@ -190,7 +188,7 @@ def pack(
         end = end_id.to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, classes)
         for b in batches:
-            encoded = encode([t or "" for t in b["text"].to_pylist()])
+            encoded = encode([t or b"" for t in b["text"].cast(pa.binary()).to_pylist()])
             for doc_id, ids in zip(b["doc_id"].to_pylist(), encoded, strict=True):
                 packer.add(doc_id, ids + end)
                 if len(packer.rows) >= 2000:
