@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitrep.functions import dates, text
 from sitrep.operators import geo, ingest, labels
@@ -93,5 +94,29 @@ def disaster_posts(finished: DataFrame, now: Column) -> DataFrame:
 
 
 def keyword_column(df: DataFrame, column: str) -> DataFrame:
-    """A list of keywords as the comma-joined text the tables store."""
-    return df.withColumn(column, text.keyword_text(F.col(column)))
+    """Keywords as the comma-joined text the tables store, whatever form they come in.
+
+    A list loses empty items, a string its outer blanks. Of a struct or a map the topic counts, or
+    without one all values. Missing keywords are the empty text.
+    """
+    value, kind = F.col(column), df.schema[column].dataType
+    if isinstance(kind, T.ArrayType):
+        out = text.keyword_text(value.cast("array<string>"))
+    elif isinstance(kind, T.MapType):
+        values = F.map_values(value).cast("array<string>")
+        out = F.coalesce(_topic(F.try_element_at(value, F.lit("topic")), kind.valueType), text.keyword_text(values))
+    elif isinstance(kind, T.StructType):
+        parts = [F.col(f"{column}.`{f.name}`").cast("string") for f in kind if f.name != "topic"]
+        out = text.keyword_text(F.array(*parts)) if parts else F.lit("")
+        if "topic" in kind.fieldNames():
+            out = F.coalesce(_topic(F.col(f"{column}.topic"), kind["topic"].dataType), out)
+    else:
+        out = F.trim(value.cast("string"))
+    return df.withColumn(column, F.coalesce(out, F.lit("")))
+
+
+def _topic(value: Column, kind: T.DataType) -> Column:
+    """The topic's text, or null for none."""
+    if isinstance(kind, T.ArrayType):
+        return F.nullif(text.keyword_text(value.cast("array<string>")), F.lit(""))
+    return F.nullif(F.trim(value.cast("string")), F.lit(""))

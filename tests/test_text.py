@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sitrep.functions import dates, places, text
 from sitrep.functions import predicates as P
+from sitrep.operators import enrich
 
 C = F.col("c")
 
@@ -56,6 +57,19 @@ def test_terms(values):
     assert found == [["banjir kilat", "kilat"]]
 
 
+def test_keywords_of_any_form(spark):
+    cases = [
+        ("k string", " a, b ", "a, b"), ("k array<int>", [1, None, 2], "1, 2"),
+        ("k map<string,string>", {"topic": " flood ", "x": "y"}, "flood"),
+        ("k map<string,string>", {"x": "y", "z": None}, "y"),
+        ("k struct<topic: array<string>, x: string>", (["a", ""], "b"), "a"),
+        ("k struct<topic: string, x: string>", (None, "b"), "b"), ("k string", None, ""),
+    ]
+    for ddl, value, want in cases:
+        df = spark.createDataFrame([(value,)], ddl)
+        assert enrich.keyword_column(df, "k").first()[0] == want, ddl
+
+
 def test_topic_and_keywords(values, spark):
     assert values(text.tidy_topic(C), ["Flood, in KL."]) == ["flood in kl"]
     df = spark.createDataFrame([(["a", None, "", "b"],)], "k array<string>")
