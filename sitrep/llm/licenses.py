@@ -1,8 +1,11 @@
 """Licence scans: sentences to known identifiers, identifier sequences to ordered rules.
 
-A text is cut into sentences at line ends and after ``. ! ? ;``, each is normalised (letters and
+A text is cut into sentences after ``. ! ? ;`` and at blank lines, each is normalised (letters and
 digits in lower case, everything else one blank), and sentences that licences consist of become
-identifiers. The identifiers of a text, in order, are matched against the rules: a rule matches
+identifiers. A sentence may be wrapped over lines, with comment marks before each; it may also
+begin or end at a line end, as headings have no full stop. Where several known sentences fit, the
+longest counts. One that the table ends with a colon may end there inside a line, and the next
+one follow. The identifiers of a text, in order, are matched against the rules: a rule matches
 where its identifiers stand one after another, with any unknown sentences between them. Rules are
 tried in their order, longer forms first; a shorter form of a licence that a longer rule has found
 is not reported again. Built-in functions only, one pass, no shuffle.
@@ -98,6 +101,10 @@ RULES = (
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SENTENCE_END = r"([.!?;])[\x20\x09-\x0D]+"
+#: Stands for the end of a sentence that no line continues; taken out of texts before.
+END = "\x01"
+#: A line's start: marks, and the words that open comments in some languages.
+LINE_START = r"\n[^a-z0-9\n]*+(?:(?:rem|dnl|c(?=[\x20\t]))(?![a-z0-9])[^a-z0-9\n]*+)?"
 
 
 def normalised(sentence: str) -> str:
@@ -116,15 +123,25 @@ def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     return {parts(s)[0]: name for name, s in sentences.items()}
 
 
-def _identifiers(text: Column, known: dict[str, str]) -> Column:
-    lines = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
-    plain = F.transform(
-        lines, lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))
-    )
-    # only known sentences reach the lookup, which is a short scan of a constant map
-    found = F.filter(plain, lambda s: s.isin(*known))
+def known_pattern(known: dict[str, str], colon: set[str]) -> str:
+    """A pattern for the known sentences, between line or sentence ends, wrapped or not."""
+    gap, rest = f"[^a-z0-9{END}]++", f"[^a-z0-9\\n{END}]*+"
+    forms = []
+    for sentence in sorted(known, key=len, reverse=True):
+        own_end = f"(?=[^a-z0-9{END}:]*+:)|" if sentence in colon else ""
+        forms.append(gap.join(sentence.split(" ")) + f"(?:{own_end}(?={rest}[\\n{END}]))")
+    return f"(?:[\\n{END}]|\\G[^a-z0-9{END}:]*+:){rest}({'|'.join(forms)})"
+
+
+def _identifiers(text: Column, sentences: dict[str, str]) -> Column:
+    known = known_sentences(sentences)
+    colon = {parts(s)[0] for s in sentences.values() if s.rstrip().endswith(":")}
+    lower = F.translate(text, UPPER + END, LOWER + " ")
+    lines = F.regexp_replace(F.concat(F.lit("\n"), lower, F.lit("\n")), LINE_START, "\n")
+    ends = F.regexp_replace(lines, SENTENCE_END + r"|\n\n+", END)
+    found = F.regexp_extract_all(ends, F.lit(known_pattern(known, colon)), F.lit(1))
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.transform(found, lambda s: F.element_at(table, s))
+    return F.transform(found, lambda s: F.element_at(table, F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
 def scan(
@@ -137,9 +154,8 @@ def scan(
     ``sentence_ids`` and ``licenses`` are joined by commas, in text order and rule order.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = known_sentences(sentences)
     ids = docs.select(
-        "doc_id", let(_identifiers(text, known), lambda x: F.struct(F.size(x).alias("n"), F.array_join(x, ",").alias("ids"))).alias("c")
+        "doc_id", let(_identifiers(text, sentences), lambda x: F.struct(F.size(x).alias("n"), F.array_join(x, ",").alias("ids"))).alias("c")
     )
     row = F.concat(F.lit(","), F.col("c.ids"), F.lit(","))
     hits = [

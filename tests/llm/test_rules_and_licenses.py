@@ -1,6 +1,7 @@
 """Quality rules and licence scans against plain Python."""
 
 import re
+import textwrap
 
 from sitrep.llm import licenses, quality_rules
 
@@ -97,3 +98,36 @@ def test_every_rule_is_found_in_its_own_sentences(spark):
     got = {r.doc_id: r.licenses.split(",") for r in licenses.scan(docs).collect()}
     for i, (name, _) in enumerate(licenses.RULES):
         assert name in got[i]
+
+
+def test_wrapped_and_commented_sentences_are_those_of_one_line(spark):
+    marks = [
+        ("", ""), ("// ", ""), (" * ", ""), ("# ", " #"), (";; ", ""), ("-- ", ""), ("dnl ", ""), ("REM ", ""),
+        ("C     ", ""), ("> ", "\r"),
+    ]
+    rows, want = [], []
+    for _, ids in licenses.RULES:
+        own = [licenses.SENTENCES[x] for x in ids]
+        for width in (20, 40, 75):
+            for mark, tail in marks:
+                for blank in ("\n", "\n\n"):
+                    lines = blank.join(textwrap.fill(s, width) for s in own).split("\n")
+                    rows.append("\n".join(mark + x + tail for x in ["A heading", *lines, "and more"]))
+                    want.append(",".join(ids))
+        rows.append("/* " + textwrap.fill("Some words. " + " ".join(own) + " Bye.", 75) + " */")
+        # in one paragraph, "at" does not end a sentence
+        want.append(",".join(x for x in ids if x != "apache-obtain"))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan(docs).collect()}
+    for i, text in enumerate(rows):
+        assert got[i] == want[i], text
+
+
+def test_sentences_do_not_join_over_their_ends(spark):
+    rows = [
+        "Licensed under the\n\nMIT License.", "Licensed under the. MIT License.", "This is not\nlicensed under CC BY 4.0 at all",
+        "Not: licensed under the MIT License.", "Licensed under the MIT License\x01", "Licensed under the\nMIT License\nHeading",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [r.licenses for r in licenses.scan(docs).orderBy("doc_id").collect()]
+    assert got == ["", "", "", "", "MIT", "MIT"]
