@@ -7,8 +7,8 @@ begin or end at a line end, as headings have no full stop. Where several known s
 longest counts. One that the table ends with a colon may end there inside a line, and the next
 one follow. The identifiers of a text, in order, are matched against the rules: a rule matches
 where its identifiers stand one after another, with any unknown sentences between them. Rules are
-tried in their order, longer forms first; a shorter form of a licence that a longer rule has found
-is not reported again. Built-in functions only, one pass, no shuffle.
+tried in their order, longer forms first; identifiers that a rule has matched are taken, so a
+shorter form does not match them again, and nothing matches across them. Built-in functions only, one pass, no shuffle.
 
 Null and empty texts have no sentence and no licence. Repeated sentences stay repeated in
 ``sentence_ids``. Repeated rows are scanned alike; empty tables give no rows; extra columns are
@@ -157,11 +157,25 @@ def scan(
     ids = docs.select(
         "doc_id", let(_identifiers(text, sentences), lambda x: F.struct(F.size(x).alias("n"), F.array_join(x, ",").alias("ids"))).alias("c")
     )
-    row = F.concat(F.lit(","), F.col("c.ids"), F.lit(","))
-    hits = [
-        F.when(row.contains("," + ",".join(sequence) + ","), F.lit(name)) for name, sequence in rules
-    ]
-    licenses = F.array_distinct(F.array_compact(F.array(*hits)))
+    tried = F.array(
+        *[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{x}>" for x in sequence)).alias("ids")) for name, sequence in rules]
+    )
+    none = F.array().cast("array<string>")
+    # a taken identifier leaves a gap that is no identifier
+    left = F.aggregate(
+        tried,
+        F.struct(F.concat(F.lit("<"), F.replace(F.col("c.ids"), F.lit(","), F.lit("><")), F.lit(">")).alias("row"), none.alias("names")),
+        lambda s, r: F.struct(
+            F.replace(s["row"], r["ids"], F.lit("<>")).alias("row"),
+            F.when(s["row"].contains(r["ids"]), F.array_append(s["names"], r["name"]))
+            .otherwise(s["names"])
+            .alias("names"),
+        ),
+        lambda s: F.array_distinct(s["names"]),
+    )
+    named = F.when(F.col("c.n") > 0, left).otherwise(none) if rules else none
+    ids = ids.select("doc_id", "c", named.alias("licenses"))
+    licenses = F.col("licenses")
     return ids.select(
         "doc_id",
         F.col("c.n").cast("long").alias("n_known"),

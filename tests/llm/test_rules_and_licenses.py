@@ -131,3 +131,23 @@ def test_sentences_do_not_join_over_their_ends(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = [r.licenses for r in licenses.scan(docs).orderBy("doc_id").collect()]
     assert got == ["", "", "", "", "MIT", "MIT"]
+
+
+def test_matched_identifiers_are_taken(spark):
+    rows = [ids for _, ids in licenses.RULES] + [
+        ("bsd-redistribution", "bsd-source", "bsd-endorse", "bsd-redistribution", "bsd-source"),
+        ("bsd-redistribution", "bsd-source", "bsd-redistribution", "bsd-source"),
+        ("mit-grant", "mit-grant", "mit-notice"),
+        ("bsd-redistribution", "cc0", "bsd-source"),
+    ]
+    want = [name for name, _ in licenses.RULES] + ["BSD-3-Clause,BSD-2-Clause", "BSD-2-Clause", "MIT", "CC0-1.0"]
+    docs = spark.createDataFrame(
+        [(i, "\n".join(licenses.SENTENCES[x] for x in ids)) for i, ids in enumerate(rows)], "doc_id long, text string"
+    )
+    got = licenses.scan(docs).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == want
+    assert [r.n_licenses for r in got] == [len(x.split(",")) for x in want]
+    # what stood on both sides of taken identifiers does not meet
+    rules = (("B", ("cc0",)), ("A", ("bsd-redistribution", "bsd-source")))
+    assert [r.licenses for r in licenses.scan(docs, rules=rules).where(f"doc_id = {len(rows) - 1}").collect()] == ["B"]
+    assert {r.licenses for r in licenses.scan(docs, rules=()).collect()} == {""}
