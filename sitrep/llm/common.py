@@ -45,6 +45,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``key, row``: every row under a key of its own, in the order of ``doc_id``.
+
+    Where no ``doc_id`` is null or repeated, it is the key. Otherwise rows are numbered by
+    ``doc_id`` (nulls last) and text, and written once so that their numbers stay.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    unfit = docs.groupBy(doc_id.alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if unfit.isEmpty():
+        return docs.select(doc_id.alias("key"), row)
+    # exact copies of one row, however many, are spread by their place in the input
+    rows = docs.select(row, F.monotonically_increasing_id().alias("place"))
+    order = F.col("row.doc_id").cast("long").asc_nulls_last(), F.xxhash64("row.text"), "place"
+    return stored(rows.orderBy(*order).select(F.monotonically_increasing_id().alias("key"), "row"), "rows")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` for small, iterated tables; Spark's cleaner removes the files."""
     shared_dir(df.sparkSession)

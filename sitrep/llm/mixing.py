@@ -8,7 +8,7 @@ are dealt by a hash, so a source with a third of all rows is as many blocks as i
 leaves at most two documents between zero and one, which are taken in part: that is its landing.
 
 Null texts have size 0 and nothing is taken from them. A null source is a source, the last one.
-Repeated rows are documents of their own. Empty tables give no rows. Only ``doc_id``, ``text``
+Repeated rows, and rows with a null ``doc_id``, are documents of their own. Empty tables give no rows. Only ``doc_id``, ``text``
 and ``source`` are read, so extra columns do not matter. Reruns agree: the hash and the order
 inside a block depend on the rows alone.
 """
@@ -20,10 +20,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitrep.llm.common import count_words, small_batches, stored, words_of
+from sitrep.llm.common import count_words, keyed_rows, small_batches, stored, words_of
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -38,23 +38,31 @@ BLOCK = 2000
 NEAR = 1e-9
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and ``size``, the number of words of the whole text."""
+def sizes_of(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """``key``, ``doc_id``, ``source``, ``text_hash`` and ``size``, the words of the whole text.
+
+    ``key`` names the row for who asks for it; the mix does not depend on it.
+    """
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["source"], pa.array(count_words(b["text"]), pa.int64())],
-                ["doc_id", "source", "size"],
+                [
+                    *(b[c] for c in ("key", "doc_id", "source", "text_hash")),
+                    pa.array(count_words(b["text"]), pa.int64()),
+                ],
+                ["key", "doc_id", "source", "text_hash", "size"],
             )
 
     kept = docs.select(
+        (F.lit(0) if key is None else key).cast("long").alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
         F.col("text").cast("string").alias("text"),
     )
-    return kept.mapInArrow(count, "doc_id long, source string, size long")
+    return kept.mapInArrow(count, "key long, doc_id long, source string, text_hash long, size long")
 
 
 def targets_of(
@@ -125,7 +133,7 @@ def fly(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _balance(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values(["order", "doc_id", "size"], kind="stable")
+    block = block.sort_values(["order", "doc_id", "size", "text_hash"], kind="stable")
     rate = np.where(
         block["source_size"] > 0, block["target"] / np.maximum(block["source_size"], 1), 0.0
     )
@@ -133,19 +141,20 @@ def _balance(block: pd.DataFrame) -> pd.DataFrame:
     p = fly(rate - whole, block["size"].to_numpy())
     # landing: what is still between zero and one is taken in part
     taken = np.rint((whole + p) * block["size"].to_numpy()).astype("int64")
-    return block[["doc_id", "size", "source_size", "target"]].assign(taken=taken)
+    return block[["key", "doc_id", "size", "source_size", "target"]].assign(taken=taken)
 
 
 def mix_sizes(sizes: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
     """``taken`` words for every row of ``sizes`` so that each source comes to its target."""
     joined = sizes.alias("d").join(
         targets.alias("t"), F.expr("d.source <=> t.source"), "inner"
-    ).select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.n_docs")
-    dealt = joined.withColumn("order", F.xxhash64("doc_id", "size")).withColumn(
+    ).select("d.*", "t.source_size", "t.target", "t.n_docs")
+    named = F.coalesce("doc_id", "text_hash")
+    dealt = joined.withColumn("order", F.xxhash64(named, "size")).withColumn(
         "block", F.pmod(F.xxhash64("order"), F.ceil(F.col("n_docs") / block).cast("long"))
     )
     return dealt.groupBy("source", "block").applyInPandas(
-        _balance, "doc_id long, size long, source_size long, target double, taken long"
+        _balance, "key long, doc_id long, size long, source_size long, target double, taken long"
     )
 
 
@@ -158,18 +167,28 @@ def mix(
 ) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every document."""
     sizes = stored(sizes_of(docs), "sizes")
-    return mix_sizes(sizes, targets_of(sizes, weights, share, max_repeats), block)
+    return mix_sizes(sizes, targets_of(sizes, weights, share, max_repeats), block).drop("key")
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    max_repeats: float = MAX_REPEATS,
+    block: int = BLOCK,
+) -> DataFrame:
     """The mix itself: rows of ``docs``, whole as often as they are taken, the rest in part.
 
     A document of ``size`` words of which ``taken`` are mixed gives ``taken // size`` whole rows
     and, for what remains, one row with its first words. ``text`` and ``n_chars`` are of the rows.
+    Shares find their rows by a key of the row, so repeated and null ids are mixed as they count.
     """
-    shares = mix(docs, **settings).select("doc_id", "size", "taken").where("taken > 0")
     # the input's row stays in a column of its own, whatever its columns are called
-    joined = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(shares, "doc_id")
+    rows = keyed_rows(docs)
+    own_columns = [F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text")]
+    sizes = stored(sizes_of(rows.select("key", *own_columns), F.col("key")), "sizes")
+    shares = mix_sizes(sizes, targets_of(sizes, weights, share, max_repeats), block)
+    joined = rows.join(shares.select("key", "size", "taken").where("taken > 0"), "key")
     text, part = F.col("row.text"), F.expr("taken % size").cast("int")
     texts = F.concat(
         F.array_repeat(text, F.expr("taken div size").cast("int")),

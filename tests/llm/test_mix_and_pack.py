@@ -153,3 +153,25 @@ def test_classes_fill_by_count(capacity):
     assert whole == dict(enumerate(sizes))
     short = [n for n in length.values() if n < capacity]
     assert all(n & (n - 1) == 0 for n in short) and len(short) <= capacity.bit_length()
+
+
+def test_mixed_rows_come_to_their_targets_with_repeated_and_null_ids(spark):
+    rows = [(1, f"a{i % 3} b c d", "x") for i in range(30)] + [(None, "n " * (1 + i % 5), "y") for i in range(40)]
+    rows += [(2, "one two three", "z"), (2, "four", "z"), (2, None, "z"), (3, "five six", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want = targets({s: sum(len(mixing_words(t)) for _, t, x in rows if x == s) for s in "xyz"})
+    got = mixing.mixed_documents(docs).collect()
+    for s in "xyz":
+        assert abs(sum(len(mixing_words(r.text)) for r in got if r.source == s) - want[s]) <= 2
+    given = {(d, s, t[:1]) for d, t, s in rows if t}
+    assert all((r.doc_id, r.source, r.text[:1]) in given for r in got)
+    again = mixing.mixed_documents(docs.repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_mixed_awkward_rows_are_those_of_the_mix(spark, awkward):
+    shares, rows = mixing.mix(awkward).collect(), mixing.mixed_documents(awkward).collect()
+    for d in {r.doc_id for r in shares}:
+        mixed = sum(len(mixing_words(r.text)) for r in rows if r.doc_id == d)
+        assert mixed == sum(r.taken for r in shares if r.doc_id == d), d
+    assert any(r.doc_id is None for r in rows)
