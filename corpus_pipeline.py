@@ -6,6 +6,10 @@ result is written as Parquet and read again as the next stage's input. Null and
 repeated rows and empty tables are handled as the operators' docstrings say: an empty text is
 rejected or kept by its score, is no near duplicate of anything, and leaves with the mix, which
 takes no words from it.
+
+No stage joins rows by ``doc_id``: rows with a null or repeated ``doc_id`` are documents of their
+own, ordered by ``doc_id`` (nulls last), then text. So of exact copies under one id, or under none,
+one row stays, and different texts under one id all stay.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitrep.llm import jaccard_join, mixing, packing, quality_classifier, suffix_dedup
-from sitrep.llm.common import stored, table
+from sitrep.llm.common import keyed_rows, stored, table
 from sitrep.llm.queries import quality_machine
 
 
@@ -26,15 +30,18 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates."""
-    found = jaccard_join.join(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """The row with the smallest id of every group of near duplicates; texts without words all stay."""
+    rows = keyed_rows(docs)
+    found = jaccard_join.join(rows.select(F.col("key").alias("doc_id"), "row.text"))
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("key"))
+    return rows.join(stay, "key", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that start earlier; those left without any text go."""
-    found = suffix_dedup.deduplicate(docs)
+    others = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text"])
+    keyed = keyed_rows(docs).select(F.col("key").alias("doc_id"), "row.text", others.alias("own"))
+    found = suffix_dedup.deduplicate(keyed).withColumn("row", F.col("row.own"))
     left = found.where("n_removed = 0 or kept_text <> ''")
     columns = {
         "text": F.col("kept_text"),
