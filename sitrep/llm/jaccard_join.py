@@ -227,10 +227,10 @@ def verified(docs: DataFrame, pairs: DataFrame, groups: int) -> DataFrame:
         return out.select(["task", "doc_id", "z"])
 
     def check(got: pa.Table, asked: pa.Table) -> pa.Table:
-        ids = got["doc_id"].to_pylist()
-        row = dict(zip(ids, _rows(got["z"].to_pylist()), strict=True))
+        # a document with several texts gives the text of the node
+        row = {node_of(r): r for r in _rows(got["z"].to_pylist()) if len(r)}
         keep = []
-        for a, b in zip(asked["doc_a"].to_pylist(), asked["doc_b"].to_pylist(), strict=True):
+        for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True):
             x, y = row[a], row[b]
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))

@@ -93,6 +93,15 @@ def test_join_awkward(spark, awkward, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("last", [0, 1])
+def test_join_of_one_id_over_two_texts(spark, last):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    both = [(7, a), (7, b)]
+    rows = [*both[last:], *both[:last], (8, a + " x"), (9, b + " y"), (10, "c " + a[:40]), (6, "")]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {6: 6, 7: 7, 8: 7, 9: 7, 10: 10}
+
+
 def test_components(spark):
     draw = random.Random(4)
     ids = list(range(200))
