@@ -9,16 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitrep.llm import (
+    conversation_repair,
     embedding_dedup,
     jaccard_join,
     language_id,
     licenses,
     mixing,
     packing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     suffix_dedup,
     token_counts,
+    warc,
 )
 from sitrep.llm.common import table
 
@@ -104,3 +107,19 @@ def op10_suffix_dedup(spark, d):
 @query
 def op3_jaccard_join(spark, d):
     return jaccard_join.join(table(spark, d, "documents"))
+
+
+@query
+def op11_repair_conversations(spark, d):
+    rows = conversation_repair.damaged(table(spark, d, "conversations"))
+    return conversation_repair.report(conversation_repair.repair(rows))
+
+
+@query
+def op12_prefix_trie(spark, d):
+    return prefix_trie.nodes_of(table(spark, d, "conversations"))
+
+
+@query
+def op13_warc_round_trip(spark, d):
+    return warc.round_trip(table(spark, d, "pages")).drop("url")

@@ -150,6 +150,133 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
 FROM d LEFT JOIN c USING (doc_id)"""
 
 
+def _crc32(ascii_text: str) -> str:
+    """Unsigned CRC-32 of a text of ASCII characters, bit by bit."""
+    codes = f"list_transform(range(1, length({ascii_text}) + 1), lambda i: ascii(substr({ascii_text}, i, 1))::BIGINT)"
+    byte = "list_reduce(list_concat([xor(acc, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda acc, b: {byte}), 4294967295)"
+
+
+def repair_conversations() -> str:
+    """All edits row by row: for each conversation and state the cheapest, then least, way so far."""
+    return rf"""
+WITH RECURSIVE k0 AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations
+), k1 AS (
+  SELECT *, {_crc32("key")} % 20 AS k FROM k0
+), dam AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM k1 WHERE k <> 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         left(role, 1) AS r, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut
+  FROM dam
+), f AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+         lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair
+  FROM n
+), g AS (
+  SELECT *, NOT blank AND NOT dup AND cut AS trunc FROM f
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations
+), ins(s, s2, made) AS (
+  VALUES (0, 0, []::VARCHAR[]), (1, 1, []), (2, 2, []), (3, 3, []), (0, 2, ['user:']), (1, 2, ['user:']),
+         (3, 2, ['user:']), (2, 3, ['assistant:']), (0, 3, ['user:', 'assistant:']), (1, 3, ['user:', 'assistant:'])
+), follows(s2, r, t) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+), edits AS (
+  SELECT conv_id, i, s2, s2 AS t, 2 AS cost, 'D' AS letter, []::VARCHAR[] AS made FROM g, range(4) AS x(s2)
+  UNION ALL
+  SELECT conv_id, i, s2, t, 5 * trunc::INT, 'K', [role || ':' || text] FROM g JOIN follows USING (r) WHERE NOT blank AND NOT dup
+  UNION ALL
+  SELECT conv_id, i, s2, t, 1 + 5 * trunc::INT, 'R', [x.role || ':' || text]
+  FROM g, (VALUES (0, 2, 'user'), (1, 2, 'user'), (3, 2, 'user'), (2, 3, 'assistant')) AS x(s2, t, role)
+  WHERE NOT blank AND NOT dup
+), ways(conv_id, i, s, cost, audit, made) AS (
+  SELECT conv_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, '', []::VARCHAR[] FROM ids
+  UNION ALL
+  SELECT conv_id, i, t, b.cost, b.audit, b.made FROM (
+    SELECT w.conv_id, e.i, e.t::BIGINT AS t,
+           min({{'cost': w.cost + 5 * len(ins.made) + e.cost, 'audit': w.audit || repeat('I', len(ins.made)) || e.letter,
+                'made': w.made || ins.made || e.made}}) AS b
+    FROM ways w JOIN ins ON ins.s = w.s
+    JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.s2 = ins.s2
+    GROUP BY w.conv_id, e.i, e.t
+  )
+), c AS (
+  SELECT ids.conv_id, count(i) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+         count(*) FILTER (trunc) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM ids LEFT JOIN g ON ids.conv_id IS NOT DISTINCT FROM g.conv_id GROUP BY ids.conv_id
+), best AS (
+  SELECT w.conv_id, min({{'cost': w.cost + 5 * len(ins.made), 'audit': w.audit || repeat('I', len(ins.made)),
+                         'made': w.made || ins.made}}) AS b
+  FROM ways w JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i
+  JOIN ins ON ins.s = w.s AND ins.s2 IN (0, 3) GROUP BY w.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, blank, duplicate, truncated, illegal, b.cost::BIGINT AS cost,
+       b.audit AS audit, sha256(array_to_string(b.made, chr(10))) AS repaired_sha256
+FROM c JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id"""
+
+
+def prefix_trie() -> str:
+    return rf"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("conv_id::VARCHAR")} % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), t AS (
+  SELECT c.conv_id, 0 AS mine, n, role, text FROM c JOIN own ON own.conv_id = base AND n <= h
+  UNION ALL
+  SELECT c.conv_id, 1, n, role, text FROM c JOIN own ON own.conv_id = c.conv_id AND n > h
+), d AS (
+  SELECT conv_id, row_number() OVER w AS depth, len({WORDS}) AS words,
+         string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS path
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY mine, n ROWS UNBOUNDED PRECEDING)
+), p AS (
+  SELECT conv_id, depth, words, path FROM d UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), l AS (
+  SELECT conv_id, max(depth) AS length FROM p GROUP BY conv_id
+), e AS (
+  SELECT path, string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) AS ids
+  FROM p JOIN l ON l.conv_id = p.conv_id AND length = depth GROUP BY path
+), x AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saves
+  FROM p GROUP BY path, depth
+), k AS (
+  SELECT path[:-65] AS path, count(*) AS n_children FROM x WHERE depth > 0 GROUP BY 1
+), s AS (
+  SELECT x.path, sum(y.saves)::BIGINT AS saved_tokens, count(*) FILTER (k.path IS NULL) AS n_leaves
+  FROM x JOIN x y ON starts_with(y.path, x.path) LEFT JOIN k ON k.path = y.path GROUP BY x.path
+)
+SELECT x.conv_id, x.depth, up.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM x JOIN s USING (path) LEFT JOIN k USING (path) LEFT JOIN e USING (path)
+LEFT JOIN x up ON x.depth > 0 AND up.path = x.path[:-65]"""
+
+
+def warc_round_trip() -> str:
+    return r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries that train a model, draw at random or call a tokenizer have none."""
     return {
@@ -158,4 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_jaccard_join": jaccard_join(),
         "op5_embedding_dedup": embedding_dedup(),
         "op10_suffix_dedup": suffix_dedup(),
+        "op11_repair_conversations": repair_conversations(),
+        "op12_prefix_trie": prefix_trie(),
+        "op13_warc_round_trip": warc_round_trip(),
     }
