@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitrep.llm.common import shared_dir, small_batches, stored
@@ -163,39 +163,47 @@ def planned(pages: DataFrame) -> DataFrame:
     payloads are shuffled once, by page.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
+    page_id, url = F.col("page_id").cast("long"), F.col("url").cast("string")
+    # no key is null, so that the join below finds the rows already dealt by these keys
     rows = pages.select(
-        F.col("page_id").cast("long").alias("id"),
-        F.col("url").cast("string").alias("url"),
+        page_id.isNull().alias("no_id"),
+        F.coalesce(page_id, F.lit(0)).alias("id"),
+        url.isNull().alias("no_url"),
+        F.coalesce(url, F.lit("")).alias("url"),
         F.sha2(html.cast("binary"), 256).alias("digest"),
         html.alias("payload"),
         F.octet_length(html).cast("long").alias("bytes"),
     )
-    keys = ["id", "url", "digest"]
+    keys = ["no_id", "id", "no_url", "url", "digest"]
     copies = F.count(F.lit(1)).alias("copies")
     once = rows.groupBy(*keys).agg(F.first("payload").alias("payload"), F.first("bytes").alias("bytes"), copies)
     small = F.when(F.col("bytes") < MIN_REVISIT, F.col("payload"))
     thin = rows.groupBy(*keys).agg(F.first(small).alias("payload"), F.first("bytes").alias("bytes"), copies)
 
-    order = F.struct(F.col("id").isNull(), "id", F.col("url").isNull(), "url")
+    order = F.struct("no_id", "id", "no_url", "url")
     long = thin.where(F.col("bytes") >= MIN_REVISIT)
     least = long.groupBy("digest").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("pages"))
     later = (
         long.join(least.where("pages > 1"), "digest")
         .where(order != F.col("least"))
-        .select(*keys, F.col("least.id").alias("first_id"), F.col("least.url").alias("first_url"), F.lit(True).alias("repeat"))
+        .select(*keys, F.col("least").alias("first"))
     )
 
-    def as_records(of: DataFrame, start, copies) -> DataFrame:
-        same = [of[k].eqNullSafe(later[k]) for k in keys]
-        return of.join(later, same[0] & same[1] & same[2], "left").select(
-            *[of[k] for k in keys],
+    def known(of: str, no: str) -> Column:
+        return F.when(~F.col(no), F.col(of))
+
+    def as_records(of: DataFrame, start: Column, copies: Column) -> DataFrame:
+        return of.join(later, keys, "left").select(
+            known("id", "no_id").alias("id"),
+            known("url", "no_url").alias("url"),
+            "digest",
             "payload",
             "bytes",
             start.cast("long").alias("start"),
             copies.cast("long").alias("copies"),
-            "first_id",
-            "first_url",
-            F.coalesce("repeat", F.lit(False)).alias("repeat"),
+            known("first.id", "first.no_id").alias("first_id"),
+            known("first.url", "first.no_url").alias("first_url"),
+            F.col("first").isNotNull().alias("repeat"),
         )
 
     main = as_records(once, F.lit(0), F.least("copies", F.lit(COPIES)))
