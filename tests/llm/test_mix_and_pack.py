@@ -1,10 +1,12 @@
 """Mixing and packing."""
 
+import random
 import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -175,3 +177,17 @@ def test_mixed_awkward_rows_are_those_of_the_mix(spark, awkward):
         mixed = sum(len(mixing_words(r.text)) for r in rows if r.doc_id == d)
         assert mixed == sum(r.taken for r in shares if r.doc_id == d), d
     assert any(r.doc_id is None for r in rows)
+
+
+def test_words_are_folded_only_where_the_tokenizer_folds():
+    """Signs, accents, apostrophes, characters that compose and odd white space: the tokenizer's ids."""
+    draw = random.Random(3)
+    letters = "aAbZzéÉß×÷ÿÀ«»¿.,;:!?'’ \t\n-_ 0 1µªº't's'll İΣςé漢字\U0001f600()\"&\x85\xa0\x1c ſ"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
+    texts += ["Don't, IT'S;we'LL 'tis ''s !'s x!'S", "", None, "A<|endoftext|>B <|ENDOFTEXT|>", "<|startoftext|>"]
+    encoder = packing.WordIds(PATH, cached=500)
+    assert encoder.fold
+    ids, starts = encoder.encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        want = encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert ids[starts[k] : starts[k + 1]].tolist() == want
