@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-class _Folder:
+class Folder:
     """Numbered folders below a path, on any file system Spark can reach."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -33,8 +33,25 @@ class _Folder:
         return finished
 
     def _finished(self, prefix: str, number: int) -> bool:
-        return self._fs.exists(self._path(self._root, f"{prefix}{number:012d}/_SUCCESS"))
+        return self.finished(f"{prefix}{number:012d}")
 
+    def finished(self, name: str) -> bool:
+        return self._fs.exists(self._path(self._root, f"{name}/_SUCCESS"))
+
+    def newest(self, prefix: str) -> int | None:
+        """The highest number of a finished folder with a prefix."""
+        if not self._fs.exists(self._root):
+            return None
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
+        listed = sorted((int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)), reverse=True)
+        return next((n for n in listed if self._finished(prefix, n)), None)
+
+    def remove(self, name: str) -> None:
+        """Delete one folder below this one, if it is there."""
+        self._fs.delete(self._path(self._root, name), True)
+
+    def make(self) -> None:
+        self._fs.mkdirs(self._root)
 
     def _unmarked(self, prefix: str, number: int) -> bool:
         """Committed data without a marker; a write that broke off leaves none, or _temporary."""
@@ -50,7 +67,7 @@ class VersionedTable:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def versions(self) -> list[int]:
-        return _Folder(self.spark, self.path).numbers("v")
+        return Folder(self.spark, self.path).numbers("v")
 
     def read(self, version: int | None = None) -> DataFrame:
         """The given or the latest version; an unwritten table is empty."""
@@ -80,7 +97,7 @@ class BatchLog:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def batches(self) -> list[int]:
-        return _Folder(self.spark, self.path).numbers("batch=")
+        return Folder(self.spark, self.path).numbers("batch=")
 
     def append(self, df: DataFrame, batch: int) -> None:
         self._write(df, "batch=", batch)
@@ -94,7 +111,7 @@ class BatchLog:
 
         Without ``after`` reading starts at the newest usable base.
         """
-        folder = _Folder(self.spark, self.path)
+        folder = Folder(self.spark, self.path)
         paths = []
         if after is None:
             bases = [n for n in folder.numbers("base=") if before is None or n < before]
@@ -109,6 +126,10 @@ class BatchLog:
     def read_batch(self, batch: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self._dir("batch=", batch))
 
+    def forget(self, batch: int) -> None:
+        """Remove the folder of a batch that nothing reads any more."""
+        Folder(self.spark, self.path).remove(f"batch={batch:012d}")
+
     def compact(
         self, through: int, merge: Callable[[DataFrame], DataFrame] = lambda df: df
     ) -> None:

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from sitrep import schemas
 from sitrep.operators import enrich
 from sitrep.sources import topics
+from sitrep.sources.tables import Folder
 from sitrep.streaming.events import EventStore
 
 PROCESSED = schemas.POSTS + (
@@ -24,6 +25,10 @@ PROCESSED = schemas.POSTS + (
 )
 
 
+#: What the chain reads, and its columns.
+TOPICS = {"raw": schemas.RAW_TOPIC, "authentic": schemas.POSTS, "processed": PROCESSED}
+
+
 def utc_now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
 
@@ -48,6 +53,7 @@ class Chain:
         return f"{self.root}/checkpoints/{name}"
 
     def _read(self, name: str, ddl: str) -> DataFrame:
+        Folder(self.spark, self.topic(name)).make()  # a stage may start before anything was written
         return topics.read_topic(
             self.spark, self.topic(name), schemas.struct(ddl), self.files_per_batch
         )
@@ -58,13 +64,12 @@ class Chain:
 
     # --- stages -----------------------------------------------------------------------
     def rejected(self) -> DataStreamWriter:
-        """Lines of the raw topic that are not valid JSON, kept as text."""
-        raw = topics.read_topic(
-            self.spark, self.topic("raw"), schemas.struct(schemas.RAW_TOPIC)
-        )
-        return topics.write_topic(
-            topics.bad_rows(raw), self.topic("rejected"), self._checkpoint("rejected")
-        )
+        """Lines of any topic that do not fit its schema, with the topic's name: ``(topic, value)``."""
+        bad = None
+        for name, ddl in TOPICS.items():
+            rows = topics.bad_rows(self._read(name, ddl)).select(F.lit(name).alias("topic"), "value")
+            bad = rows if bad is None else bad.unionByName(rows)
+        return topics.write_topic(bad, self.topic("rejected"), self._checkpoint("rejected"))
 
     def gated(self) -> DataStreamWriter:
         """Raw to authentic. Repeats close in time are dropped here to save work; the event
@@ -97,20 +102,21 @@ class Chain:
 
     def take(self, processed: DataFrame, batch: int) -> None:
         """One micro-batch: finish the posts, update the events, write the messages."""
-        now = self.clock()
+        store = self.store
+        store.settle(batch)
+        now = store.moment(batch, self.clock)
         finished = enrich.locate_and_classify(processed, self.polygons)
         posts = enrich.disaster_posts(finished, F.to_timestamp(F.lit(now)))
-        store = self.store
         store.add(posts, batch)
         store.alert(self.subscribers, batch, now, self.unsubscribe_base)
 
     # --- running ----------------------------------------------------------------------
     def run_available(self) -> None:
         """Process everything that has arrived, stage by stage, then stop."""
-        for stage in (self.rejected, self.gated, self.analysed, self.consolidated):
+        for stage in (self.gated, self.analysed, self.consolidated, self.rejected):
             stage().trigger(availableNow=True).start().awaitTermination()
 
     def start(self, every: str = "1 minute") -> list[StreamingQuery]:
         """Run all stages continuously; the caller awaits or stops the queries."""
-        stages = (self.rejected, self.gated, self.analysed, self.consolidated)
+        stages = (self.gated, self.analysed, self.consolidated, self.rejected)
         return [stage().trigger(processingTime=every).start() for stage in stages]

@@ -156,19 +156,20 @@ def test_pages_hold_every_id_once(spark):
 def test_micro_batches_reach_the_batch_result(spark, tmp_path, seed):
     rows = random_posts(seed, 160)
     random.Random(seed).shuffle(rows)
-    store = EventStore(spark, str(tmp_path / "s"))
-    cuts = [0, 30, 100, 160]
+    store = EventStore(spark, str(tmp_path / "s"), fan=2)
+    cuts = [0, 30, 60, 80, 100, 160]
     for batch, (a, b) in enumerate(zip(cuts, cuts[1:])):
         # each batch repeats some posts of the batch before
+        store.settle(batch)
         store.add(frame(spark, rows[max(0, a - 10):b]), batch)
-        if batch == 1:
-            store.compact(through=1)
+    assert not (tmp_path / "s" / "arrivals" / "batch=000000000001").exists()
     whole = frame(spark, rows)
     assert table(store.events()) == table(C.consolidate(whole))
     assert sorted(map(tuple, store.event_posts().collect())) == sorted(
         map(tuple, C.event_posts(whole).collect())
     )
-    store.add(frame(spark, rows[100:160]), 2)  # the last batch is run again
+    store.settle(4)
+    store.add(frame(spark, rows[100:160]), 4)  # the last batch is run again
     assert table(store.events()) == table(C.consolidate(whole))
     # replaying the published changes gives the same set of events
     live = {}
@@ -192,3 +193,36 @@ def test_late_post_bridges_two_events(spark, tmp_path):
     assert changes == {(ids[T0], False), (ids[T0 + 40 * HOUR], True)}
     assert table(store.events()) == table(C.consolidate(frame(
         spark, [post("a", T0), post("b", T0 + 40 * HOUR), post("c", T0 + 20 * HOUR)])))
+
+
+def test_set_cooldown_stays_with_a_merged_event(spark, tmp_path):
+    """A cooldown set for an event holds after an earlier event has swallowed it."""
+    people = spark.createDataFrame(
+        [("a@x", ["Selangor"], 0.0, 0.0)], schemas.struct(schemas.SUBSCRIBERS)
+    )
+    store = EventStore(spark, str(tmp_path / "s"))
+
+    def step(rows, batch, now):
+        store.settle(batch)
+        store.add(frame(spark, rows), batch)
+        store.alert(people, batch, str(now), "https://h/u")
+        return store.outbox.read_batch(batch).count()
+
+    later = T0 + 40 * HOUR
+    assert step([post("b", later, state="Selangor")], 0, later) == 1
+    (event,) = store.events().collect()
+    own = spark.createDataFrame([(event.event_id, 300)], "event_id string, alert_cooldown_mins int")
+    store.set_cooldown(own, str(later))
+    # two hours on, the default of one hour would let it go out again
+    assert step([post("c", T0 + 20 * HOUR, state="Selangor")], 1, later + 2 * HOUR) == 0
+    assert step([post("a", T0, state="Selangor")], 2, later + 3 * HOUR) == 0
+    (event,) = store.alerted_events().collect()
+    assert (event.start_time, event.alert_cooldown_mins, event.last_alert_sent) == (T0, 300, later)
+    assert step([post("d", T0 + 21 * HOUR, state="Selangor")], 3, later + 5 * HOUR) == 1
+
+
+def test_a_repeated_batch_has_its_first_time(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "s"))
+    assert store.moment(0, lambda: "2025-01-01 00:00:00") == "2025-01-01 00:00:00"
+    assert store.moment(0, lambda: "2025-01-02 00:00:00") == "2025-01-01 00:00:00"
+    assert store.moment(1, lambda: "2025-01-02 00:00:00") == "2025-01-02 00:00:00"
