@@ -159,6 +159,8 @@ PROFESSIONAL_ACCOUNT = 2
 RETRIEVAL_SIZE = 50
 RANKING_SIZE = 5
 GEO_MIN_CONFIDENCE = 0.3
+#: Tries to locate a post, the first one included.
+GEO_TRIES = 3
 
 # --- fixed values: hazard lexicon, Malay and English -> incident type ---------
 # "banjir kilat" (flash flood) is a flood while "kilat" alone (lightning) is a storm,

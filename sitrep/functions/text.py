@@ -158,7 +158,8 @@ def word_pattern(terms: Iterable[str], prefix: bool = False) -> str:
     terms = set(terms)
     first = "".join(sorted({t[0] for t in terms}))
     tail = "" if prefix else rf"(?![\w{WORD}])"
-    return rf"(?<![\w{WORD}])(?=[{first}])({factored(terms)}){tail}"
+    # the first letter is tested first: most places in a text fail there, before the look-behind
+    return rf"(?=[{first}])(?<![\w{WORD}])({factored(terms)}){tail}"
 
 
 def term_matches(c: Column, terms: Iterable[str], prefix: bool = False) -> Column:
@@ -194,12 +195,15 @@ def literal_map(pairs: dict[str, str]) -> Column:
 def normalise_terms(c: Column) -> Column:
     """Malay hazard terms, as whole words, replaced by their English type; text lower-cased.
 
-    One pattern for each type. Terms that begin a longer term of another type come after it.
+    One pattern for all terms, the longest first. A text with terms is cut at them and joined
+    again with what each stands for.
     """
-    by_type: dict[str, list[str]] = {}
-    for malay, kind in K.MALAY_TERMS.items():
-        by_type.setdefault(kind, []).append(malay)
-    out = F.lower(c)
-    for kind in sorted(by_type, key=lambda k: (-max(map(len, by_type[k])), k)):
-        out = F.regexp_replace(out, word_pattern(by_type[kind]), kind)
-    return out
+    low, pattern = F.lower(c), word_pattern(K.MALAY_TERMS)
+    to_type = literal_map(K.MALAY_TERMS)
+    kinds = F.transform(
+        F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda m: F.element_at(to_type, m)
+    )
+    with_kinds = F.zip_with(
+        F.split(low, pattern), kinds, lambda piece, kind: F.concat(piece, F.coalesce(kind, F.lit("")))
+    )
+    return F.when(low.rlike(pattern), F.array_join(with_kinds, "")).otherwise(low)

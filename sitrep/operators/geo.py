@@ -307,6 +307,29 @@ def resolve_geo(posts: DataFrame, polygons: DataFrame, text_column: str = "postT
     return located.withColumn("geo_data", decision).drop("gps", "intent", "at")
 
 
+def retry_geo(pending: DataFrame, polygons: DataFrame, now: Column) -> DataFrame:
+    """One more try to locate posts with ``attempts``: adds ``geo_data`` and ``geo_processed``, counts
+    the try and notes its time.
+
+    A second try also reads the hashtags and the topic, a third one the place fields of the post.
+    """
+    tries = F.col("attempts")
+    words = F.concat_ws(
+        " ",
+        "postText",
+        F.when(tries >= 1, F.concat_ws(" ", F.array_join("hashtags", " "), "keywords")),
+        F.when(tries >= 2, F.concat_ws(" ", "location", "address", "city")),
+    )
+    located = resolve_geo(pending.withColumn("_words", words), polygons, "_words").drop("_words")
+    return located.withColumns(
+        {
+            "geo_processed": F.lit(True),
+            "attempts": tries + 1,
+            "last_processed_at": now.cast("timestamp"),
+        }
+    )
+
+
 # --- map roll-ups ---------------------------------------------------------------------------
 def map_extent(events: DataFrame) -> DataFrame:
     """One row: what the map should show for a selection of events."""

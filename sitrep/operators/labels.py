@@ -10,9 +10,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sitrep import constants as K
 from sitrep.functions import predicates as P
@@ -134,17 +136,16 @@ def topic_phrase(posts: DataFrame, column: str) -> DataFrame:
 
 
 def topic_key(topic: Column) -> Column:
-    """Order-free form of a topic: its distinct words without fillers; a topic of nothing else
-    stands for itself."""
+    """Order-free form of a topic: its distinct words without fillers."""
     fillers = text.literal_array(K.TOPIC_FILLERS)
     words = F.split(F.lower(topic), f"[^{text.WORD}]+")
     kept = F.filter(words, lambda w: (w != "") & ~F.array_contains(fillers, w))
-    key = F.array_join(F.array_sort(F.array_distinct(kept)), " ")
-    return F.when(key != "", key).otherwise(F.concat(F.lit("="), topic))
+    return F.array_join(F.array_sort(F.array_distinct(kept)), " ")
 
 
 def canonical_topics(topics: DataFrame, column: str = "topic") -> DataFrame:
-    """``(topic, canonical)``: variants share a key; the longest wording stands for all.
+    """``(topic, canonical)``: variants share a key; the longest wording stands for all. A topic of
+    nothing but fillers stands for itself.
 
     Reduced per key before the shuffle; the join back is over distinct topics only.
     """
@@ -152,7 +153,12 @@ def canonical_topics(topics: DataFrame, column: str = "topic") -> DataFrame:
         topics.select(F.col(column).alias("topic"))
         .where(F.col("topic").isNotNull() & (F.col("topic") != ""))
         .distinct()
-        .withColumn("_key", topic_key(F.col("topic")))
+        .withColumn("_words", topic_key(F.col("topic")))
+        .withColumn(
+            "_key",
+            F.when(F.col("_words") != "", F.col("_words")).otherwise(F.concat(F.lit("="), F.col("topic"))),
+        )
+        .drop("_words")
     )
     best = distinct.groupBy("_key").agg(
         F.max(F.struct(F.length("topic").alias("n"), F.col("topic").alias("t"))).alias("_best")
@@ -190,15 +196,16 @@ def label_posts(
     schema = T.StructType(
         [T.StructField(key, key_type), *labels.fields, T.StructField("error", T.StringType())]
     )
+    returned = to_arrow_schema(T.StructType([T.StructField(key, key_type), *labels.fields]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             waiting = [batch]
             while waiting:
                 part = waiting.pop()
-                done, error = _tried(labeller, part, attempts, backoff)
+                done, error = _tried(labeller, part, key, returned, attempts, backoff)
                 if done is not None:
-                    yield done[[key, *names]].assign(error=None)
+                    yield done.assign(error=None)
                     missing = part[~part[key].isin(done[key])]
                     if len(missing):
                         yield _rejected(missing, key, names, "not returned")
@@ -214,14 +221,26 @@ def label_posts(
 def _tried(
     labeller: Callable[[pd.DataFrame], pd.DataFrame],
     batch: pd.DataFrame,
+    key: str,
+    returned: pa.Schema,
     attempts: int,
     backoff: Callable[[int], float],
 ) -> tuple[pd.DataFrame | None, str]:
-    """The labeller's rows, or none and what went wrong."""
+    """The labeller's rows, or none and what went wrong.
+
+    A frame without one of the columns, with values of another type, with a key twice or with a key
+    that was not asked for has gone wrong as well.
+    """
     error = ""
     for attempt in range(attempts):
         try:
-            return labeller(batch), ""
+            done = labeller(batch)[returned.names]
+            pa.Table.from_pandas(done, schema=returned, preserve_index=False)
+            if done[key].duplicated().any() and not batch[key].duplicated().any():
+                raise ValueError("a key is returned twice")
+            if not done[key].isin(batch[key]).all():
+                raise ValueError("a key is returned that was not asked for")
+            return done, ""
         except RateLimited as limited:
             error = f"{LIMITED}: {limited}"
             if attempt + 1 < attempts:

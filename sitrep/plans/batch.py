@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sitrep import constants as K
 from sitrep import schemas
 from sitrep.functions import text
 from sitrep.operators import (
@@ -25,6 +26,7 @@ from sitrep.operators import (
     metrics,
     tables,
 )
+from sitrep.skew import one_per_key
 from sitrep.sources.tables import BatchLog, VersionedTable
 
 log = logging.getLogger(__name__)
@@ -39,6 +41,12 @@ GEO = (
     "post_id string, geo_data struct<state: string, district: string, lat: double, lon: double, "
     "is_malaysia: boolean, confidence_score: double, inference: string>"
 )
+PENDING = schemas.POSTS + ", keywords string, attempts int, last_processed_at timestamp"
+TRIED = PENDING + GEO.removeprefix("post_id string") + ", geo_processed boolean"
+FOUND = GEO + (
+    ", geo_processed boolean, attempts int, last_processed_at timestamp, "
+    "raw_geo struct<latitude: double, longitude: double, location: string, address: string, city: string>"
+)
 EVENTS = (
     "event_id string, classification_type string, location_district string, "
     "location_state string, start_time timestamp, most_recent_report timestamp, "
@@ -177,8 +185,71 @@ class Batch:
         gaps = assemble.assembly_gaps(complete, incidents, severities).count()
         return made + gaps, made, gaps
 
+    def resweep(self) -> tuple[int, int, int]:
+        """Posts located nowhere are tried again, with more of their text, until none is left to try.
+
+        The pending table holds them alone, so a run never reads located posts again. Each round
+        reads what the one before has written: a run that breaks off goes on where it stopped, and
+        a post that was found but not yet taken off the table is not tried twice.
+        """
+        place, topic = self.log("geo", GEO), self.log("topics", TOPICS)
+        entered, found = self.log("geo_entered", "through bigint"), self.log("geo_found", FOUND)
+        waiting, tried = self.table("pending_geo", PENDING), self.table("geo_tried", TRIED)
+        now = F.lit(self.now).cast("timestamp")
+        done, through = entered.last(), min(place.last(), topic.last())
+        left = waiting.read()
+        if through > done:
+            span = {"after": done, "before": through + 1}
+            posts = self.posts.read(**span).join(
+                topic.read(**span).select(F.col("post_id").alias("postId"), F.col("topic").alias("keywords")),
+                "postId",
+                "left",
+            )
+            swept = place.read(**span).withColumnRenamed("post_id", "postId")
+            swept = tables.needs_geo(swept.withColumn("geo_processed", F.lit(True)), K.GEO_MIN_CONFIDENCE)
+            fresh = posts.join(swept.select("postId"), "postId", "left_semi")
+            fresh = fresh.withColumns({"attempts": F.lit(1), "last_processed_at": now})
+            # posts that an earlier run has entered, but not marked as entered, are there twice
+            left = one_per_key(left.unionByName(fresh), ["postId"], ["attempts"], keep="last")
+        known = found.read().select(F.col("post_id").alias("postId"))
+        waiting.write(left.join(known, "postId", "left_anti"))
+        if through > done:
+            entered.append(self.spark.createDataFrame([(through,)], "through bigint"), through)
+        processed = located = 0
+        for _ in range(K.GEO_TRIES):
+            rows = waiting.read()
+            due = rows.where(F.col("attempts") < K.GEO_TRIES)
+            n = due.count()
+            if not n:
+                break
+            tried.write(geo.retry_geo(due, self.polygons, now))
+            missed = tables.needs_geo(tried.read(), K.GEO_MIN_CONFIDENCE)
+            hits = tried.read().join(missed.select("postId"), "postId", "left_anti")
+            number = found.last() + 1
+            found.append(tables.move_raw_geo(hits.withColumnRenamed("postId", "post_id")), number)
+            rest = missed.select(*rows.columns).unionByName(rows.where(F.col("attempts") >= K.GEO_TRIES))
+            waiting.write(rest)
+            processed += n
+            located += found.read_batch(number).count()
+        return processed, located, waiting.read().count()
+
+    def located_posts(self) -> DataFrame:
+        """Disaster posts, with the place that a later try has found."""
+        posts, found = self.disaster_posts.read(), self.log("geo_found", FOUND)
+        if found.last() < 0:
+            return posts
+        g = F.col("geo_data")
+        moved = F.struct(
+            g["state"].alias("state"),
+            g["district"].alias("district"),
+            F.array(g["lon"], g["lat"]).alias("lat_lon"),
+        )
+        places = found.read().select("post_id", moved.alias("_moved"))
+        joined = posts.join(places, "post_id", "left")
+        return joined.withColumn("location", F.coalesce("_moved", "location")).drop("_moved")
+
     def consolidate(self) -> tuple[int, int, int]:
-        posts = self.disaster_posts.read()
+        posts = self.located_posts()
         events = self.table("events", EVENTS)
         events.write(consolidate.consolidate(posts, keyed_by_post=True))
         members = self.table("event_posts", MEMBERS)
@@ -208,6 +279,7 @@ class Batch:
             ("ingest", lambda: self.ingest(raw)),
             ("topics", self.topics),
             ("places", self.places),
+            ("resweep", self.resweep),
             ("incidents", self.incidents),
             ("severities", self.severities),
             ("assemble", self.assemble),

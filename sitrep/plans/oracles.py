@@ -580,6 +580,8 @@ FROM located LEFT JOIN labels l ON CAST(l.doc_id AS VARCHAR) = post_id"""
     q["pending_batch"] = f"{waiting} ORDER BY 1 LIMIT 100"
     q["pending_geo"] = f"""WITH {LOCATED} SELECT post_id AS "postId" FROM located
 WHERE geo_processed IS DISTINCT FROM true OR state = 'Unknown State' OR confidence_score < 0.3"""
+    q["move_raw_geo"] = f"""WITH {LOCATED} SELECT post_id AS "postId", state, lon AS longitude,
+  source AS location, NULL::VARCHAR AS address, lang AS city FROM located WHERE has_geo"""
     q["stage_counts"] = f"""WITH {LOCATED} SELECT count(*) AS total,
   count(*) FILTER (geo_processed IS DISTINCT FROM true) AS pending_geo,
   count(*) FILTER (state = 'Unknown State') AS unknown_state,

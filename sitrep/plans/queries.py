@@ -767,6 +767,22 @@ def pending_geo(spark, d):
     return tables.needs_geo(X.located_docs(spark, d), K.GEO_MIN_CONFIDENCE).select("postId")
 
 
+@query
+def move_raw_geo(spark, d):
+    lat, lon = F.col("geo_data.lat"), F.col("geo_data.lon")
+    posts = X.located_docs(spark, d).where("geo_data is not null").select(
+        "postId",
+        F.col("geo_data.state").alias("state"),
+        lat.alias("latitude"),
+        lon.alias("longitude"),
+        F.element_at("hashtags", 2).alias("location"),
+        F.lit(None).cast("string").alias("address"),
+        F.element_at("hashtags", 1).alias("city"),
+    )
+    moved = tables.move_raw_geo(posts)
+    return moved.select("postId", "state", "raw_geo.longitude", "raw_geo.location", "raw_geo.address", "raw_geo.city")
+
+
 @query
 def stage_counts(spark, d):
     return tables.stage_counts(X.located_docs(spark, d))

@@ -258,6 +258,21 @@ def test_hook(spark, tmp_path):
     assert got == {"1": (None, "not returned"), "2": ("ok", None)}
 
 
+@pytest.mark.parametrize(
+    "frame, error",
+    [
+        (lambda b: b[["post_id"]], "KeyError"),
+        (lambda b: b.assign(label=[{"no": "text"}] * len(b)), "Arrow"),
+        (lambda b: pd.concat([b.assign(label="x")] * 2), "ValueError: a key is returned twice"),
+        (lambda b: b.assign(label="x", post_id="9"), "ValueError: a key is returned that"),
+        (lambda b: None, "TypeError"),
+    ],
+)
+def test_hook_checks_what_its_labeller_returns(spark, frame, error):
+    got = hook(spark, frame)
+    assert set(got) == {"1", "2"} and all(label is None and error in e for label, e in got.values())
+
+
 def test_split_valid(spark):
     df = spark.createDataFrame(
         [("1", "Urgent", None), ("2", "Odd", None), ("3", None, "x"), ("4", "Urgent", "x")],

@@ -76,7 +76,7 @@ def batch_events(spark, tmp_path_factory):
 def test_batch_report(batch_events):
     _, report = batch_events
     assert {s: r.status for s, r in report.items()} == {
-        s: "ok" for s in ["ingest", "topics", "places", "incidents", "severities", "assemble",
+        s: "ok" for s in ["ingest", "topics", "places", "resweep", "incidents", "severities", "assemble",
                           "consolidate", "figures", "trends"]
     }, [r.message for r in report.values()]
     assert (report["ingest"].processed, report["ingest"].inserted, report["ingest"].skipped) == (5, 4, 1)
@@ -208,3 +208,30 @@ def test_committed_data_without_marker_is_not_taken_for_an_empty_table(spark, tm
         log.read()
     (folder / "_temporary").mkdir()
     assert log.read().count() == 0
+
+
+def test_unlocated_posts_are_tried_again(spark, tmp_path):
+    """Found on the second try by a hashtag, on the third by a place field, or kept as pending."""
+    text = "NADMA: banjir, water level 30 cm, post {}"
+    at = "2025-04-11T10:00:00Z"
+
+    def row(i, hashtags, location):
+        return {"tweet_id": i, "cleaned_text": text.format(i), "raw_text": text.format(i), "tweet_created_at": at,
+                "tweet_hashtags": hashtags, "location": location, "platform": "twitter"}
+
+    rows = [row("1", "banjir,Klang", None), row("2", "banjir", "somewhere near Klang"), row("3", "banjir", None)]
+    run, report = batch_run(spark, tmp_path, rows)
+    report = {r.stage: r for r in report.collect()}
+    assert report["resweep"].status == "ok", report["resweep"].message
+    assert (report["resweep"].processed, report["resweep"].inserted, report["resweep"].skipped) == (5, 2, 1)
+    found = {r.post_id: r for r in run.log("geo_found", B.FOUND).read().collect()}
+    assert {i: (r.attempts, r.geo_data.district) for i, r in found.items()} == {"1": (2, "klang"), "2": (3, "klang")}
+    assert found["2"].raw_geo.location == "somewhere near Klang" and found["1"].geo_processed
+    (left,) = run.table("pending_geo", B.PENDING).read().collect()
+    assert (left.postId, left.attempts) == ("3", 3) and left.last_processed_at == datetime(2025, 4, 20)
+    events = {e.location_district: e.total_posts_count for e in run.table("events", B.EVENTS).read().collect()}
+    assert events["klang"] == 2 and sum(events.values()) == 3
+    # a run without new posts tries nothing again
+    raw = spark.createDataFrame([json_row(r) for r in rows], schemas.struct(schemas.RAW_TOPIC))
+    again = {r.stage: r for r in run.run(raw).collect()}["resweep"]
+    assert (again.status, again.processed, again.inserted, again.skipped) == ("ok", 0, 0, 1)
