@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -42,6 +43,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()``: written to the folder that ``spark.checkpoint.dir`` names, so it is computed
+    once and outlives its executors. Where the setting is missing, a local session gets a temporary
+    folder; a cluster has none that all executors reach.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = context.getConf().get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set; nothing can be kept for all executors")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="sitrep-"))
+    return df.checkpoint()
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """Let the Python workers of this session import the library from where the driver has it.
 

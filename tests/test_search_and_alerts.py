@@ -1,5 +1,6 @@
 import csv
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -218,3 +219,29 @@ def test_email_column_is_required(spark):
     subs = subscribers(spark, (None, "johor"))
     due = spark.createDataFrame([alert_event(1)], ALERT)
     assert alerts.alert_recipients(due, subs).select(F.count("*")).first()[0] == 0
+
+
+def test_cooldown_of_one_hot_event_over_many_tasks(spark):
+    """One event with most reports lies over all tasks; alerts are those of a fold over each event."""
+    draw = random.Random(11)
+    start = datetime(2025, 1, 1)
+    rows = [("hot", start + timedelta(seconds=draw.randint(0, 40 * 3600))) for _ in range(3000)]
+    rows += [("hot", start + timedelta(days=9, minutes=30 * i)) for i in range(50)]
+    rows += [(f"e{i % 40}", start + timedelta(minutes=draw.randint(0, 900))) for i in range(500)]
+    rows += [(None, start + timedelta(minutes=i)) for i in range(130)] + [("no time", None)]
+    want = []
+    for event in {r[0] for r in rows}:
+        last = None
+        for t in sorted({t for e, t in rows if e == event and t is not None}):
+            if last is None or t - last >= timedelta(minutes=60):
+                want.append((event, t))
+                last = t
+    df = spark.createDataFrame(rows, "event_id string, reported_at timestamp")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in alerts.cooldown_alerts(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(got, key=str) == sorted(want, key=str)
