@@ -221,7 +221,8 @@ def test_email_column_is_required(spark):
     assert alerts.alert_recipients(due, subs).select(F.count("*")).first()[0] == 0
 
 
-def test_cooldown_of_one_hot_event_over_many_tasks(spark):
+@pytest.mark.parametrize("hot", [0, 100, 10_000])
+def test_cooldown_of_one_hot_event_over_many_tasks(spark, hot):
     """One event with most reports lies over all tasks; alerts are those of a fold over each event."""
     draw = random.Random(11)
     start = datetime(2025, 1, 1)
@@ -240,7 +241,7 @@ def test_cooldown_of_one_hot_event_over_many_tasks(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = [tuple(r) for r in alerts.cooldown_alerts(df).collect()]
+        got = [tuple(r) for r in alerts.cooldown_alerts(df, hot=hot).collect()]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "2")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
