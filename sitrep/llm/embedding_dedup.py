@@ -13,9 +13,10 @@ A bucket larger than ``block`` is cut into blocks, and every pair of blocks is a
 its own. Nothing is capped: the tables decide which pairs meet, blocks only how they are compared.
 
 Vectors that are null, zero, or hold null or non-finite components, and vectors without a label,
-link with nothing. So do vectors of different lengths. Vector ids are taken as unique; rows that
-repeat an id together with its vector count as other vectors of the same class. Empty tables give
-no rows; extra columns are not read.
+link with nothing. So do vectors of different lengths. Rows that repeat an id together with its
+vector count as other vectors of the same class; an id over different vectors is one node of the
+links, and each of its rows counts the links of all of them. Every row has one row in the result,
+also with a null id; a vector of which no row has an id links with equal ones only. Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitrep.llm.common import small_batches, stored
@@ -112,17 +113,23 @@ def tables_for(dim: int, hashes: int, probes: int, threshold: float, recall: flo
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - met))))
 
 
+def can_link() -> Column:
+    """Whether a row of ``embedding, label`` can link: a label, and finite components, not all zero."""
+    v = F.col("embedding").cast("array<double>")
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    sound = v.isNotNull() & F.col("label").isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(sound, F.lit(False))
+
+
 def linkable(vectors: DataFrame) -> DataFrame:
     """``vec_id, label, v`` of the rows that can link; the label also names the length."""
     v = F.col("embedding").cast("array<double>")
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = vectors.where(F.col("embedding").isNotNull() & F.col("label").isNotNull()).select(
+    return vectors.where(can_link()).select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.concat_ws("/", F.size("embedding"), F.col("label").cast("string")).alias("label"),
         # adding zero turns minus zero into zero, so that equal vectors are equal bit by bit
         F.transform(v, lambda x: x + F.lit(0.0)).alias("v"),
     )
-    return rows.where(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -251,7 +258,7 @@ def near_duplicates(
                             ["label", "v", "class_id", "n", "tab", "code"],
                         )
 
-    probed = classes.mapInArrow(
+    probed = classes.where("class_id is not null").mapInArrow(
         hashed, "label string, v array<double>, class_id long, n long, tab int, code long"
     )
     place = ["label", "tab", "code"]
@@ -282,23 +289,19 @@ def near_duplicates(
         "vector-links",
     )
     linked = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "id")
-    nodes = classes.select(F.col("class_id").alias("id"))
+    nodes = classes.where("class_id is not null").select(F.col("class_id").alias("id")).distinct()
     of_class = components(nodes, found.select("a", "b")).join(linked, "id", "left")
     known = rows.join(classes, ["label", "v"]).select(
         "vec_id", F.col("class_id").alias("id"), (F.col("n") - 1).alias("copies")
     )
-    known = known.join(of_class, "id").select(
+    # every row finds its own class, so rows that share an id are not joined with each other
+    known = known.join(of_class, "id", "left").select(
         "vec_id",
-        (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links"),
-        "component_id",
+        (F.col("copies") + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        F.coalesce("component_id", "vec_id").alias("component_id"),
     )
-    return (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-        .join(known, "vec_id", "left")
-        .select(
-            "vec_id",
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component_id", "vec_id").alias("component_id"),
-        )
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    vec_id = F.col("vec_id").cast("long")
+    alone = vectors.where(~can_link()).select(
+        vec_id.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), vec_id.alias("component_id")
     )
+    return known.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -152,6 +152,21 @@ def test_embeddings(spark, block):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_vectors(rows)
 
 
+def test_embeddings_of_repeated_and_null_ids(spark):
+    """One row in the result for every row, whatever the ids."""
+    rows = [
+        (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 2.0], 1), (3, [1.0, 1.0], 1),
+        (None, [5.0, 5.1], 1), (None, [-1.0, 1.0], 1), (4, None, 1), (4, None, 1), (4, [0.0, 0.0], 1),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.near_duplicates(df).collect()
+    # ids 1 and 2 are linked by the second vector of 1
+    found = sorted([tuple(r)[:3] for r in got], key=str)
+    assert len(found) == len(rows) and [r for r in found if r[0] == 4] == [(4, 0, 4)] * 3
+    assert sum(r[0] == 1 for r in found) == 3 and {r[2] for r in found if r[0] in (1, 2)} == {1}
+    assert [r for r in found if r[0] == 2] == [(2, 1, 1)]
+
+
 def test_embeddings_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(df).count() == 0
