@@ -187,9 +187,21 @@ def event_posts(
     very many posts is spread by post id.
     """
     rows = event_rows(posts, gap_hours, keyed_by_post)
-    lookup = slice_events(slices(rows), gap_hours)
+    sliced = slices(rows)
+    return posts_of_slices(rows, sliced, gap_hours)
+
+
+def posts_of_slices(rows: DataFrame, sliced: DataFrame, gap_hours: float) -> DataFrame:
+    """``(event_id, post_id)`` of keyed posts, by the event of their slice.
+
+    A slice knows how many posts it has, so those to split are known without counting again.
+    """
     return salted_join(
-        rows.select("post_id", *SLICE_KEYS), lookup, SLICE_KEYS, spread=["post_id"]
+        rows.select("post_id", *SLICE_KEYS),
+        slice_events(sliced, gap_hours),
+        SLICE_KEYS,
+        spread=["post_id"],
+        counts=sliced.select(*SLICE_KEYS, F.col("posts").alias("n")),
     ).select("event_id", "post_id")
 
 
@@ -202,7 +214,8 @@ def event_post_pages(members: DataFrame, per_page: int = 1000) -> DataFrame:
     sizes = members.groupBy("event_id").agg(
         F.ceil(F.count("*") / F.lit(per_page)).cast("bigint").alias("pages")
     )
-    spread = salted_join(members, sizes, ["event_id"], spread=["post_id"])
+    posts = sizes.select("event_id", (F.col("pages") * F.lit(per_page)).alias("n"))
+    spread = salted_join(members, sizes, ["event_id"], spread=["post_id"], counts=posts)
     number = F.conv(F.substring(F.md5(F.col("post_id").cast("binary")), 1, 8), 16, 10)
     return (
         spread.withColumn("page", F.pmod(number.cast("bigint"), F.col("pages")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitrep import constants as K
 from sitrep.functions import places, text
 from sitrep.functions import predicates as P
-from sitrep.skew import DEFAULT_SALTS, salted_join
+from sitrep.skew import salted_join
 from sitrep.sources.dimensions import gazetteer
 
 CELL = 0.5
@@ -50,37 +50,58 @@ def lookup_places(posts: DataFrame, column: str) -> DataFrame:
     return keyed.join(F.broadcast(names), "name", "left").drop("name")
 
 
+#: Characters of the pieces that texts and names are matched by.
+PIECE = 3
+
+
+def _pieces(text: str, width: int) -> Column:
+    """Distinct pieces of a text, ``width`` characters each; none of a shorter text."""
+    last = F.length(text) - (width - 1)
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(width))))
+
+
 def place_names_in(posts: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
-    """Distinct pairs of a location text and a listed name contained in it.
+    """Distinct pairs of a location text and a listed name contained in it (``_text, _name``).
+
+    A substring join without comparing every pair. A name can only occur in texts that hold all
+    its three-character pieces, so it is looked up by the rarest of them: the pieces of the
+    distinct texts are counted, and each name takes the one that the fewest texts have. A name
+    with a piece that no text has is done there. Names below three characters are one piece.
 
-    A substring join without comparing every pair: a name can only occur where its first three
-    characters occur, so texts are indexed by their three-character pieces and joined to names
-    on the first piece; ``contains`` then decides. Names shorter than three characters meet the
-    shorter pieces. Texts and names are reduced to distinct values first. A piece that occurs
-    in a large share of the texts is spread over partitions.
+    Rows of the index are a piece and a 64-bit hash of the text, only of pieces that names chose.
+    Texts return for the pairs that are left, and ``contains`` decides, so texts that share a
+    hash cost a comparison and change nothing. Texts and names are reduced to distinct values
+    first; a piece of a large share of the texts is split by its count, which is known here.
     """
     texts = posts.select(F.lower(F.col(column)).alias("_text")).where(
         F.col("_text").isNotNull()
-    ).distinct()
+    ).distinct().withColumn("_key", F.xxhash64("_text"))
     wanted = names.select(F.lower(F.col(name)).alias("_name")).where(
         F.coalesce(F.col("_name"), F.lit("")) != ""
     ).distinct()
-    width = F.least(F.length("_name"), F.lit(3))
-    keyed_names = wanted.withColumn("_piece", F.col("_name").substr(F.lit(1), width))
-
-    def pieces(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("_text") - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.lit(n)))
-
-    keyed_texts = texts.withColumn(
-        "_piece",
-        F.explode(F.array_distinct(F.flatten(F.array(*[pieces(n) for n in (1, 2, 3)])))),
+    whole = F.array("_name")
+    named = wanted.select(
+        "_name",
+        F.explode(F.when(F.length("_name") < PIECE, whole).otherwise(_pieces("_name", PIECE))).alias("_piece"),
+    )
+    of_text = F.flatten(F.array(*[_pieces("_text", n) for n in range(1, PIECE + 1)]))
+    index = texts.select("_key", F.explode(of_text).alias("_piece")).join(
+        named.select("_piece").distinct(), "_piece", "left_semi"
+    )
+    postings = index.groupBy("_piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        named.join(postings, "_piece", "left")
+        .groupBy("_name")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_piece")).alias("_by"))
+        .where(F.col("_by.n") > 0)
+        .select("_name", "_by._piece", "_by.n")
     )
+    chosen = rarest.groupBy("_piece").agg(F.max("n").alias("n"))
+    pairs = salted_join(index, rarest.drop("n"), ["_piece"], spread=["_key"], counts=chosen)
+    # a text and a name meet at one piece only, so no pair comes twice
     return (
-        salted_join(keyed_texts, keyed_names, ["_piece"], spread=["_text"])
-        .where(F.contains("_text", "_name"))
-        .select("_text", "_name")
-        .distinct()
+        pairs.join(texts, "_key").where(F.contains("_text", "_name")).select("_text", "_name").distinct()
     )
 
 
@@ -163,7 +184,7 @@ def locate_points(
     lon: str = "lon",
     out: str = "gps",
     cell: float = CELL,
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Adds ``struct<polygon_id, state, district>`` of the polygon holding each point (lowest
     id where several do), or null. Points outside the bounding box are not tested.
@@ -183,7 +204,8 @@ def locate_points(
             "cell_y": F.when(usable, places.grid_cell(F.col(lat), cell)).otherwise(NO_CELL),
         }
     )
-    joined = salted_join(keyed, grid, ["cell_x", "cell_y"], "left", spread=spread, salts=salts)
+    cells = keyed.where(F.col("cell_y") != NO_CELL).groupBy("cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n"))
+    joined = salted_join(keyed, grid, ["cell_x", "cell_y"], "left", spread=spread, salts=salts, counts=cells)
     hit = F.try_element_at(
         F.filter("candidates", lambda p: _inside(p["edges"], F.col(lon), F.col(lat))), F.lit(1)
     )

@@ -722,4 +722,10 @@ SELECT event_id, make_timestamp(m) AS alert_at FROM a"""
 spots AS (SELECT DISTINCT lower(concat_ws(', ', location_district, location_state)) AS location FROM ev),
 wanted AS (SELECT c_name AS email, lower({pick(places, 'c_custkey % 17')}) AS place FROM customer)
 SELECT DISTINCT location, email FROM spots JOIN wanted ON contains(location, place)"""
+    q["substring_location_counts"] = f"""WITH {EVENTS},
+spots AS (SELECT DISTINCT lower(concat_ws(', ', location_district, location_state)) AS location FROM ev),
+wanted AS (SELECT c_name AS email, lower({pick(places, 'c_custkey % 17')}) AS place FROM customer
+  UNION ALL SELECT c_name, lower({pick(places, 'c_custkey % 5')}) FROM customer WHERE c_custkey % 3 = 0)
+SELECT location, count(DISTINCT email) AS emails FROM spots JOIN wanted ON contains(location, place)
+GROUP BY 1"""
     return q

@@ -1006,8 +1006,7 @@ def alert_cooldown(spark, d):
     return sent.withColumn("alert_at", F.col("alert_at").cast("timestamp_ntz"))
 
 
-@query
-def substring_location_join(spark, d):
+def _spots_and_places(spark, d) -> tuple[DataFrame, DataFrame]:
     posts = X.events(spark, d).select(
         F.concat_ws(", ", "location_district", "location_state").alias("location")
     )
@@ -1017,4 +1016,21 @@ def substring_location_join(spark, d):
             "place"
         ),
     )
+    return posts, subs
+
+
+@query
+def substring_location_join(spark, d):
+    posts, subs = _spots_and_places(spark, d)
     return alerts.subscribers_in_text(posts, "location", subs, "place")
+
+
+@query
+def substring_location_counts(spark, d):
+    """Some subscribers list a second place, often inside the same texts as the first."""
+    posts, subs = _spots_and_places(spark, d)
+    more = X.table(spark, d, "customer").where(F.col("c_custkey") % 3 == 0).select(
+        F.col("c_name").alias("email"),
+        X.pick([*X.SUBSCRIBER_STATES, "Kota", "Pi", "shah alam"], F.col("c_custkey") % 5).alias("place"),
+    )
+    return alerts.subscriber_counts_in_text(posts, "location", subs.unionByName(more), "place")

@@ -110,11 +110,8 @@ class EventStore:
 
     def event_posts(self) -> DataFrame:
         """The current link table of events and posts."""
-        lookup = C.slice_events(C.merge_slices(self.slices.read()), self.gap_hours)
-        rows = self.posts.read().select("post_id", *C.SLICE_KEYS)
-        return C.salted_join(rows, lookup, C.SLICE_KEYS, spread=["post_id"]).select(
-            "event_id", "post_id"
-        )
+        sliced = C.merge_slices(self.slices.read())
+        return C.posts_of_slices(self.posts.read(), sliced, self.gap_hours)
 
     def alerted_events(self) -> DataFrame:
         """The current events with ``last_alert_sent`` and ``alert_cooldown_mins`` (null: the default)."""

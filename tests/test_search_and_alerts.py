@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitrep import schemas
-from sitrep.operators import alerts, search
+from sitrep.operators import alerts, geo, search
 from sitrep.sources import exports
 from test_terms_and_metrics import EVENT, event
 
@@ -215,6 +215,33 @@ def test_substring_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_substring_counts_equal_brute_force(spark):
+    texts = ["Sungai Buloh, Selangor", "selangor", "KL", "x", None, "", "Kota Kinabalu, Sabah", "kota bharu", "aaaa"]
+    subs = [
+        ("a", "Selangor"), ("b", "sungai buloh"), ("b", "selangor"), ("b", "SELANGOR"), ("c", "K"), ("c", "kota"),
+        ("d", "kl"), ("e", ""), ("f", None), (None, "selangor"), ("g", "aaa"), ("g", "aa"), ("h", "kota bharu, sabah"),
+    ]
+    posts = spark.createDataFrame([(t,) for t in texts * 3], "loc string")
+    df = spark.createDataFrame(subs, "email string, place string")
+    got = {r.location: r.emails for r in alerts.subscriber_counts_in_text(posts, "loc", df, "place").collect()}
+    want = {}
+    for t in texts:
+        found = {e for e, p in subs if t and e and p and p.lower() in t.lower()}
+        if found:
+            want[t.lower()] = len(found)
+    assert got == want
+
+
+def test_names_meet_texts_by_their_rarest_piece(spark):
+    """A prefix that every text has brings no text to a name whose other pieces are rare."""
+    texts = [f"kampung {i:05d}" for i in range(2000)]
+    posts = spark.createDataFrame([(t,) for t in texts], "loc string")
+    names = spark.createDataFrame([("kampung 00017",), ("kampung baru",), ("00",)], "name string")
+    pairs = geo.place_names_in(posts, "loc", names, "name")
+    got = {(r._text, r._name) for r in pairs.collect()}
+    assert got == {(t, n) for t in texts for n in ("kampung 00017", "kampung baru", "00") if n in t}
+
+
 def test_email_column_is_required(spark):
     subs = subscribers(spark, (None, "johor"))
     due = spark.createDataFrame([alert_event(1)], ALERT)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sitrep import schemas
 from sitrep.operators import tables
-from sitrep.skew import one_per_key, salted_join
+from sitrep.skew import heavy_keys, one_per_key, salted_join
 from sitrep.sources.tables import BatchLog, VersionedTable
 
 
@@ -115,6 +115,36 @@ def test_salted_join_equals_join(spark, how):
     )
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
+def test_join_salted_by_counts_equals_join(spark, how):
+    keys = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 40)
+    big = spark.range(3000).select(keys.alias("k"), "id")
+    small = spark.createDataFrame([(7, "a"), (1, "b"), (1, "c"), (None, "d")], "k long, v string")
+    salted = salted_join(big, small, ["k"], how, spread=["id"], target=100)
+    assert sorted(map(tuple, salted.collect()), key=str) == sorted(
+        map(tuple, big.join(small, ["k"], how).collect()), key=str
+    )
+
+
+def test_only_heavy_keys_are_split(spark):
+    """Half of all rows have one key: no task holds more than twice the median."""
+    big = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 4000).alias("k"), "id")
+    small = spark.range(4000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    counts = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert [tuple(r) for r in heavy_keys(counts, ["k"], 100).collect()] == [(0, 200)]
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        joined = salted_join(big, small, ["k"], spread=["id"], target=100).select("k", "id", "v")
+        sizes = sorted(r[0] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).select("n").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 40_000 and len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
 def test_versioned_table(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"), schemas.struct("k int, v string"))
     assert table.read().count() == 0
