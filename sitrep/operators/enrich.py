@@ -35,7 +35,12 @@ def checked(raw: DataFrame) -> DataFrame:
 
 def gate(raw: DataFrame, processed_at: float | Column) -> DataFrame:
     """Authentic rows only, in the unified schema, with a named place where one is known."""
-    kept = ingest.unify(checked(raw).where(F.col("check_label") == "AUTHENTIC"), processed_at)
+    return admitted(checked(raw), processed_at)
+
+
+def admitted(judged: DataFrame, processed_at: float | Column) -> DataFrame:
+    """``gate`` of rows that carry their authenticity label already."""
+    kept = ingest.unify(judged.where(F.col("check_label") == "AUTHENTIC"), processed_at)
     named = geo.lookup_places(kept, "location")
     unlocated = F.col("latitude").isNull() | F.col("longitude").isNull()
     return named.withColumns(

@@ -6,6 +6,7 @@ claim to agree with one.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -258,6 +259,125 @@ def _rejected(batch: pd.DataFrame, key: str, names: list[str], error: str | None
     return out
 
 
+#: Calls that one task may leave behind without an answer before it stops asking.
+MAX_LEFT = 32
+NOT_ASKED = "not asked: too many calls without an answer"
+Labeller = Callable[[pd.DataFrame], pd.DataFrame]
+
+
+def gather_labels(
+    posts: DataFrame,
+    labellers: dict[str, tuple[Labeller, T.StructType]],
+    key: str = "post_id",
+    seconds: float = 30.0,
+    rows_at_once: int = 16,
+    attempts: int = 3,
+    backoff: Callable[[int], float] = lambda attempt: 2.0 ** (attempt + 1),
+) -> DataFrame:
+    """Ask several labellers about every row at the same time: ``key``, all labels, ``error``.
+
+    ``labellers`` maps a name to a labeller and its columns, which no other may return. All
+    labellers get the same ``rows_at_once`` rows together; rows that one has not answered are asked
+    again, each alone and at the same time. All or nothing: a row has every label and no error, or no label and an
+    error that names what failed: an exception, a malformed or missing answer, or none within
+    ``seconds``, repeats after a rate limit included. Write the result before ``split_gathered``
+    cuts it in two, or every labeller is asked twice.
+
+    A call cannot be ended from outside: one that is late goes on beside the next ones, and while
+    ``MAX_LEFT`` such calls are open a task rejects its rows unasked. So no more calls are open than
+    these and ``rows_at_once`` of each labeller.
+    """
+    importable(posts.sparkSession)
+    key_field = T.StructField(key, posts.schema[key].dataType)
+    fields = [f for _, kind in labellers.values() for f in kind.fields]
+    names = [f.name for f in fields]
+    if len({key, "error", *names}) != len(names) + 2:
+        raise ValueError("label columns must differ from each other, from the key and from 'error'")
+    schema = T.StructType([key_field, *fields, T.StructField("error", T.StringType())])
+    asked = {
+        name: (labeller, to_arrow_schema(T.StructType([key_field, *kind.fields])))
+        for name, (labeller, kind) in labellers.items()
+    }
+
+    def ask(name: str, rows: pd.DataFrame, answer: list) -> None:
+        labeller, returned = asked[name]
+        answer.append(_tried(labeller, rows, key, returned, attempts, backoff))
+
+    def ask_all(questions: list[tuple[str, pd.DataFrame]], late: list[threading.Thread]) -> list[tuple]:
+        """The answers that come in time, to questions asked at once; threads without one are ``late``."""
+        answers: list[list] = [[] for _ in questions]
+        calls = [
+            threading.Thread(target=ask, args=(name, rows.copy(), answer), daemon=True)
+            for (name, rows), answer in zip(questions, answers, strict=True)
+        ]
+        for thread in calls:
+            thread.start()
+        until = time.monotonic() + seconds
+        for thread in calls:
+            thread.join(max(0.0, until - time.monotonic()))
+        # an answer counts if it is there now
+        got = [answer[0] if answer else (None, f"no answer within {seconds:g} s") for answer in answers]
+        late += [thread for thread, answer in zip(calls, answers, strict=True) if not answer]
+        return got
+
+    def labels_of(some: pd.DataFrame, late: list[threading.Thread]) -> tuple[list[dict], list[dict]]:
+        """Labels, and errors by labeller, of every row."""
+        given: list[dict] = [{} for _ in range(len(some))]
+        wrong: list[dict] = [{} for _ in range(len(some))]
+        place = {value: i for i, value in enumerate(some[key])}
+        single = [(name, i) for name in asked for i in range(len(some))]
+        if len(some) > 1 and len(place) == len(some) and not some[key].isna().any():
+            single = []
+            for name, (done, error) in zip(asked, ask_all([(name, some) for name in asked], late), strict=True):
+                missing = set(range(len(some)))
+                if done is not None:
+                    columns = [c for c in asked[name][1].names if c != key]
+                    for value, *row in done[[key, *columns]].itertuples(index=False, name=None):
+                        given[place[value]].update(zip(columns, row, strict=True))
+                        missing.discard(place[value])
+                elif error.startswith(LIMITED):
+                    for i in missing:
+                        wrong[i][name] = error
+                    missing = set()
+                single += [(name, i) for i in sorted(missing)]
+        if single and len(late) < MAX_LEFT:
+            found = ask_all([(name, some.iloc[i : i + 1]) for name, i in single], late)
+        else:
+            found = [(None, NOT_ASKED)] * len(single)
+        for (name, i), (done, error) in zip(single, found, strict=True):
+            if done is not None and len(done):
+                given[i].update({c: done[c].iat[0] for c in asked[name][1].names if c != key})
+            else:
+                wrong[i][name] = error or "not returned"
+        return given, wrong
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        late: list[threading.Thread] = []
+        for batch in batches:
+            found: dict[str, list] = {name: [] for name in schema.names}
+            for at in range(0, len(batch), rows_at_once):
+                late[:] = [t for t in late if t.is_alive()]
+                some = batch.iloc[at : at + rows_at_once]
+                if len(late) < MAX_LEFT:
+                    given, wrong = labels_of(some, late)
+                else:
+                    given, wrong = [{}] * len(some), [dict.fromkeys(asked, NOT_ASKED)] * len(some)
+                for value, own, errors in zip(some[key], given, wrong, strict=True):
+                    found[key].append(value)
+                    found["error"].append("; ".join(f"{n}: {errors[n]}" for n in asked if n in errors) or None)
+                    for name in names:
+                        found[name].append(None if errors else own.get(name))
+            yield pd.DataFrame({name: pd.Series(rows, dtype=object) for name, rows in found.items()})
+
+    return posts.mapInPandas(run, schema)
+
+
+def split_gathered(gathered: DataFrame, key: str = "post_id") -> tuple[DataFrame, DataFrame]:
+    """The labelled rows, and ``key`` and ``error`` of the rejected ones."""
+    ok = F.col("error").isNull()
+    return gathered.where(ok).drop("error"), gathered.where(~ok).select(key, "error")
+
+
 def split_valid(labelled: DataFrame, column: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with an allowed label and no error, and the rejected rest."""
     ok = F.coalesce(F.col("error").isNull() & F.col(column).isin(allowed), F.lit(False))

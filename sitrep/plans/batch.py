@@ -1,4 +1,4 @@
-"""The batch run: landed feeds to posts, labels, disaster posts, events, figures and indexes.
+"""The batch run: landed feeds to posts, labels, disaster posts, events and figures.
 
 Stages meet at written tables. A stage that fails is reported and the next ones still run on
 the tables that exist. Each table is read back from storage, never recomputed.
@@ -31,7 +31,7 @@ from sitrep.sources.tables import BatchLog, VersionedTable
 
 log = logging.getLogger(__name__)
 
-CHECKS = "post_id string, check_label string, confidence double"
+CHECKED = schemas.RAW_TOPIC + ", check_label string, confidence double"
 INCIDENTS = "post_id string, classification_type string, confidence_score double"
 SEVERITIES = (
     "post_id string, sentiment_label string, confidence_level double, reasoning string"
@@ -53,8 +53,14 @@ EVENTS = (
     "geometry struct<type: string, coordinates: array<double>>, total_posts_count bigint"
 )
 MEMBERS = "event_id string, post_id string"
-TERMS = "term string, type string, frequency bigint"
+TERMS = "term string, type string, frequency bigint, updated_at timestamp"
 FIGURES = "facet string, key string, year int, month int, frequency bigint"
+DOCUMENT = (
+    "timestamp timestamp, type_counts array<struct<type: string, frequency: bigint>>, "
+    "district_ranking array<struct<district: string, event_count: bigint>>, "
+    "monthly_events array<struct<year: int, month: int, total_events: bigint>>, "
+    "sentiment_counts array<struct<label: string, frequency: bigint>>, updated_at timestamp"
+)
 REPORT = "stage string, status string, processed bigint, inserted bigint, skipped bigint, message string"
 
 
@@ -85,14 +91,28 @@ class Batch:
         return self.log("disaster_posts", schemas.DISASTER_POSTS)
 
     # --- stages: each returns (processed, inserted, skipped) -----------------------------
-    def ingest(self, raw: DataFrame) -> tuple[int, int, int]:
+    @property
+    def checked(self) -> BatchLog:
+        """Every raw row that arrived, with its authenticity label and confidence."""
+        return self.log("checked", CHECKED)
+
+    def check(self, raw: DataFrame) -> tuple[int, int, int]:
+        """Raw rows are judged once and stored with their label, also those that go no further."""
+        self.checked.append(enrich.checked(raw), self.number)
+        judged = self.checked.read_batch(self.number)
+        authentic = F.count_if(F.col("check_label") == "AUTHENTIC")
+        rows, kept = judged.agg(F.count(F.lit(1)), authentic).first()
+        return rows, kept, rows - kept
+
+    def ingest(self) -> tuple[int, int, int]:
         """Authentic raw rows become posts; ids the table has are skipped.
 
-        The texts are judged once: the rows are counted while they are written.
+        The rows are counted while they are written.
         """
         seen = Observation("ingest")
         at = F.lit(self.now).cast("timestamp")
-        unified = enrich.gate(raw, F.unix_timestamp(at).cast("double")).observe(
+        judged = self.checked.read_batch(self.number)
+        unified = enrich.admitted(judged, F.unix_timestamp(at).cast("double")).observe(
             seen, F.count(F.lit(1)).alias("rows")
         )
         known = self.posts.read(before=self.number)
@@ -263,20 +283,30 @@ class Batch:
         out.write(metrics.dashboard(events, self.disaster_posts.read()))
         return events.count(), out.read().count(), 0
 
+    def document(self) -> tuple[int, int, int]:
+        """The stored dashboard document, replaced as a whole: readers see the last or the new one."""
+        tidy = self.table("figures", FIGURES).read()
+        out = self.table("dashboard", DOCUMENT)
+        at = F.lit(self.now).cast("timestamp")
+        out.write(metrics.dashboard_document(tidy, self.now).withColumn("updated_at", at))
+        return tidy.count(), out.read().count(), 0
+
     def trends(self) -> tuple[int, int, int]:
         posts = self.disaster_posts.read().withColumn("keywords_generated", F.lit(True))
         topics = posts.select(text.tidy_topic(F.col("keywords")).alias("topic"))
         keywords = metrics.topic_counts(posts, labels.canonical_topics(topics))
         hashtags = metrics.hashtag_counts(posts, as_list=None, as_text="hashtags")
         out = self.table("tracking_keyword", TERMS)
-        out.write(metrics.tracking_terms(keywords, hashtags))
+        at = F.lit(self.now).cast("timestamp")
+        out.write(metrics.tracking_terms(keywords, hashtags).withColumn("updated_at", at))
         return posts.count(), out.read().count(), 0
 
     # --- the run ------------------------------------------------------------------------
     def run(self, raw: DataFrame) -> DataFrame:
         """All stages in order; returns one report row per stage."""
         stages: list[tuple[str, Callable[[], tuple[int, int, int]]]] = [
-            ("ingest", lambda: self.ingest(raw)),
+            ("check", lambda: self.check(raw)),
+            ("ingest", self.ingest),
             ("topics", self.topics),
             ("places", self.places),
             ("resweep", self.resweep),
@@ -285,6 +315,7 @@ class Batch:
             ("assemble", self.assemble),
             ("consolidate", self.consolidate),
             ("figures", self.figures),
+            ("document", self.document),
             ("trends", self.trends),
         ]
         self.number = self.posts.last() + 1

@@ -359,11 +359,15 @@ kept_posts AS (SELECT * FROM posts WHERE start_time >= TIMESTAMP '1997-01-01'
         K.FILTERED_RANKING_UNKNOWN,
         "kept_posts",
     )
-    q["dashboard_document"] = f"""WITH {EVENTS}, {ALL_TIME}, {POSTS}
-SELECT (SELECT count(*) FROM (SELECT DISTINCT classification_type FROM alltime)) AS types,
-  (SELECT count(*) FROM ({ranking('alltime', K.RANKING_UNKNOWN)})) AS districts,
-  (SELECT count(DISTINCT strftime(start_time, '%Y%m')) FROM alltime) AS months,
-  (SELECT count(*) FROM alltime) AS events, (SELECT count(*) FROM posts) AS posts"""
+    one = lambda facet, fields, order: (
+        f"(SELECT coalesce(string_agg({fields}, ',' ORDER BY {order}), '') FROM f WHERE facet = '{facet}') AS {facet}"
+    )
+    named = "coalesce(key, '-') || ':' || frequency", "key NULLS FIRST, frequency"
+    q["dashboard_document"] = f"""WITH {EVENTS}, {ALL_TIME}, {POSTS},
+f AS ({facets('alltime', 'true', K.RANKING_UNKNOWN, 'posts')})
+SELECT '2024-02-01 00:00:00' AS timestamp, {one('type_counts', *named)}, {one('district_ranking', *named)},
+  {one('monthly_events', "coalesce(year || ':' || month, '-:-') || ':' || frequency", 'year NULLS FIRST, month')},
+  {one('sentiment_counts', *named)}"""
     trend = """SELECT lower(trim(token)) AS keyword, count(*) AS frequency FROM (
   SELECT unnest(split({field}, ',')) AS token FROM texts
   WHERE start_time >= TIMESTAMP '2024-01-03' AND start_time < TIMESTAMP '2024-01-26'
@@ -692,6 +696,17 @@ SELECT topic, {capitalised('best')} AS canonical FROM v JOIN w USING (key)"""
   CASE WHEN CAST(post_id AS BIGINT) % 97 = 7 THEN 'ValueError: refused'
     WHEN CAST(post_id AS BIGINT) % 10 = 3 THEN 'not returned' END AS error FROM docs"""
 
+    shouts = "contains(post_text, '!')"
+    refused, silent = "CAST(post_id AS BIGINT) % 97 = 7", "CAST(post_id AS BIGINT) % 13 = 5"
+    answered = f"NOT ({refused}) AND NOT ({silent})"
+    q["label_gather"] = f"""WITH {DOCS} SELECT post_id,
+  CASE WHEN {answered} THEN CASE WHEN {shouts} THEN 'Urgent' ELSE 'Informational' END END AS label,
+  CASE WHEN {answered} THEN CASE WHEN {shouts} THEN 1e0 ELSE 0.5e0 END END AS score,
+  CASE WHEN {answered} THEN CASE WHEN length(post_text) > 40 THEN 'long' ELSE 'short' END END AS tone,
+  nullif(concat_ws('; ', CASE WHEN {refused} THEN 'shout: ValueError: refused' END,
+    CASE WHEN {silent} THEN 'tone: not returned' END), '') AS error
+FROM docs WHERE post_text IS NOT NULL"""
+
     # --- alerts
     q["alerts_due"] = f"WITH {EVENTS}, {DUE} SELECT event_id, location_state, start_time FROM due"
     reach = f"""WITH {EVENTS}, {DUE}, {SUBS}, {STATES}, {SUBSCRIBED},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,16 +154,19 @@ def dashboard_facets_filtered(spark, d):
 def dashboard_document(spark, d):
     tidy = metrics.dashboard(X.events(spark, d), X.posts(spark, d))
     doc = metrics.dashboard_document(tidy, "2024-02-01 00:00:00")
+
+    def listed(column: str, *fields: str) -> Column:
+        def one(x: Column) -> Column:
+            return F.concat_ws(":", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])
+
+        return F.array_join(F.transform(column, one), ",").alias(column)
+
     return doc.select(
-        F.size("type_counts").cast("bigint").alias("types"),
-        F.size("district_ranking").cast("bigint").alias("districts"),
-        F.size("monthly_events").cast("bigint").alias("months"),
-        F.aggregate(
-            "monthly_events", F.lit(0).cast("bigint"), lambda a, m: a + m["total_events"]
-        ).alias("events"),
-        F.aggregate(
-            "sentiment_counts", F.lit(0).cast("bigint"), lambda a, m: a + m["frequency"]
-        ).alias("posts"),
+        F.col("timestamp").cast("string").alias("timestamp"),
+        listed("type_counts", "type", "frequency"),
+        listed("district_ranking", "district", "event_count"),
+        listed("monthly_events", "year", "month", "total_events"),
+        listed("sentiment_counts", "label", "frequency"),
     )
 
 
@@ -963,6 +966,29 @@ def label_hook_rejects(spark, d):
     return labels.label_posts(rows, choosy_labeller, out)
 
 
+def tone_labeller(batch: pd.DataFrame) -> pd.DataFrame:
+    """A second sample labeller; it answers some rows with nothing."""
+    length = batch["post_text"].str.len()
+    tone = (length > 40).map({True: "long", False: "short"})
+    out = pd.DataFrame({"post_id": batch["post_id"], "tone": tone})
+    return out[batch["post_id"].astype("int64") % 13 != 5]
+
+
+def refusing_labeller(batch: pd.DataFrame) -> pd.DataFrame:
+    if (batch["post_id"].astype("int64") % 97 == 7).any():
+        raise ValueError("refused")
+    return shout_labeller(batch)
+
+
+@query
+def label_gather(spark, d):
+    """Two labellers side by side: all labels of a post, or its error."""
+    rows = X.docs(spark, d).select("post_id", "post_text").where("post_text is not null")
+    kinds = {"shout": "label string, score double", "tone": "tone string"}
+    asked = {"shout": refusing_labeller, "tone": tone_labeller}
+    return labels.gather_labels(rows, {n: (asked[n], T.StructType.fromDDL(k)) for n, k in kinds.items()})
+
+
 # --- alerts ------------------------------------------------------------------------------------------
 @query
 def alerts_due(spark, d):

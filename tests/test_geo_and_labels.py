@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -281,3 +282,59 @@ def test_split_valid(spark):
     good, bad = labels.split_valid(df, "label", ["Urgent"])
     assert [r.post_id for r in good.collect()] == ["1"]
     assert sorted(r.post_id for r in bad.select(F.col("post_id")).collect()) == ["2", "3", "4"]
+
+
+def test_gather_is_all_or_nothing(spark):
+    """A slow, a failing and a malformed labeller leave one error row per post and no crash."""
+    def slow(b):
+        if (b.t == "slow").any():
+            time.sleep(3)
+        return pd.DataFrame({"post_id": b.post_id, "a": b.t})
+
+    def failing(b):
+        if (b.t == "fails").any():
+            raise KeyError("gone")
+        return pd.DataFrame({"post_id": b.post_id, "b": 1.5})
+
+    def malformed(b):
+        if (b.t == "odd").any():
+            return pd.DataFrame({"post_id": b.post_id, "other": 1})
+        if (b.t == "typed").any():
+            return pd.DataFrame({"post_id": b.post_id, "c": ["no number"]})
+        if (b.t == "none").any():
+            return None
+        if (b.t == "empty").any():
+            return pd.DataFrame({"post_id": [], "c": []})
+        return pd.DataFrame({"post_id": b.post_id, "c": 7})
+
+    texts = ["ok", "slow", "fails", "odd", "typed", "none", "empty", "fine"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "post_id string, t string").coalesce(1)
+    kinds = {"slow": (slow, "a string"), "failing": (failing, "b double"), "malformed": (malformed, "c int")}
+    asked = {n: (f, T.StructType.fromDDL(k)) for n, (f, k) in kinds.items()}
+    out = labels.gather_labels(df, asked, seconds=1.0, rows_at_once=3)
+    rows = {texts[int(r.post_id)]: r for r in out.collect()}
+    assert len(rows) == len(texts)
+    assert [tuple(rows[t])[1:] for t in ("ok", "fine")] == [("ok", 1.5, 7, None), ("fine", 1.5, 7, None)]
+    assert rows["slow"].error == "slow: no answer within 1 s" and rows["fails"].error.startswith("failing: KeyError")
+    assert all(rows[t].error.startswith("malformed: ") for t in ("odd", "typed", "none", "empty"))
+    assert all(rows[t][c] is None for t in texts if t not in ("ok", "fine") for c in "abc")
+    done, rejected = labels.split_gathered(out)
+    assert done.columns == ["post_id", "a", "b", "c"] and rejected.columns == ["post_id", "error"]
+    # one id twice, and none: rows are asked alone
+    twice = spark.createDataFrame([("1", "ok"), ("1", "fails"), (None, "fine")], "post_id string, t string").coalesce(1)
+    got = [(r.post_id, r.a, r.error and r.error[:7]) for r in labels.gather_labels(twice, asked, seconds=5.0).collect()]
+    assert got == [("1", "ok", None), ("1", None, "failing"), (None, "fine", None)]
+    with pytest.raises(ValueError):
+        labels.gather_labels(df, {"x": asked["slow"], "y": asked["slow"]})
+
+
+def test_gather_stops_asking_those_who_never_answer(spark, monkeypatch):
+    monkeypatch.setattr(labels, "MAX_LEFT", 2)
+    df = spark.range(0, 6, 1, 1).select(F.col("id").cast("string").alias("post_id"))
+
+    def silent(b):
+        time.sleep(20)
+
+    out = labels.gather_labels(df, {"silent": (silent, LABEL)}, seconds=0.2, rows_at_once=1).collect()
+    assert len(out) == 6 and all(r.label is None and r.error for r in out)
+    assert sum(r.error.startswith("silent: not asked") for r in out) == 4

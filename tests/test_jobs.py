@@ -76,8 +76,8 @@ def batch_events(spark, tmp_path_factory):
 def test_batch_report(batch_events):
     _, report = batch_events
     assert {s: r.status for s, r in report.items()} == {
-        s: "ok" for s in ["ingest", "topics", "places", "resweep", "incidents", "severities", "assemble",
-                          "consolidate", "figures", "trends"]
+        s: "ok" for s in ["check", "ingest", "topics", "places", "resweep", "incidents", "severities", "assemble",
+                          "consolidate", "figures", "document", "trends"]
     }, [r.message for r in report.values()]
     assert (report["ingest"].processed, report["ingest"].inserted, report["ingest"].skipped) == (5, 4, 1)
     assert report["consolidate"].inserted == 3 and report["assemble"].inserted == 4
@@ -95,6 +95,30 @@ def test_batch_events(batch_events):
     assert terms[("#banjir", "hashtag")] == 3 and terms[("#ribut", "hashtag")] == 1 and terms[("Flood In Klang", "keyword")] == 3
 
 
+def test_batch_stores_every_check(batch_events):
+    run, report = batch_events
+    rows = run.checked.read_batch(0).collect()
+    labelled = [r.check_label for r in rows]
+    assert len(rows) == len(raw_rows()) == report["check"].processed and set(labelled) <= {"AUTHENTIC", "MISINFORMATION", "UNCERTAIN"}
+    assert labelled.count("AUTHENTIC") == report["check"].inserted == report["ingest"].processed
+    assert report["check"].skipped == len(rows) - labelled.count("AUTHENTIC") > 0
+    assert all(r.confidence is not None for r in rows)
+
+
+def test_batch_stores_one_dashboard_document(batch_events):
+    run, _ = batch_events
+    figures = run.table("figures", B.FIGURES).read().collect()
+    doc = run.table("dashboard", B.DOCUMENT).read().collect()
+    at = datetime.fromisoformat(NOW)
+    assert len(doc) == 1 and doc[0].timestamp == doc[0].updated_at == at
+    want = {f: sorted((str(r.key), r.frequency) for r in figures if r.facet == f) for f in ("type_counts", "district_ranking", "sentiment_counts")}
+    got = {f: sorted((str(x[0]), x[1]) for x in doc[0][f]) for f in want}
+    assert got == want and want["type_counts"]
+    months = sorted((r.year, r.month, r.frequency) for r in figures if r.facet == "monthly_events")
+    assert [tuple(m) for m in doc[0].monthly_events] == months
+    assert {r.updated_at for r in run.table("tracking_keyword", B.TERMS).read().collect()} == {at}
+
+
 def test_batch_again_adds_nothing(spark, batch_events):
     run, _ = batch_events
     before = sorted(map(key, run.table("events", B.EVENTS).read().collect()))
