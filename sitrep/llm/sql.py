@@ -55,21 +55,43 @@ FROM v"""
 
 
 def license_scan() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in L.known_sentences().items())
-    rules = ", ".join(f"({k}, '{n}', '{','.join(r)}')" for k, (n, r) in enumerate(L.RULES))
+    """Sentences between line or sentence ends, those with ends of their own put together again;
+    then the rules one after another, each on what those before it have left."""
+    known = ", ".join(
+        f"('{L.normalised(s).replace(L.HOLDER, '%')}', '{i}', {L.n_parts(s)})" for i, s in L.SENTENCES.items()
+    )
+    most = max(map(L.n_parts, L.SENTENCES.values()))
+    pieces = "\n  UNION ALL ".join(
+        f"SELECT doc_id, pos, {k} AS parts, "
+        + " || ' ' || ".join(["sentence", *[f"lead(sentence, {j}) OVER w" for j in range(1, k)]])
+        + " AS sentence FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"
+        for k in range(1, most + 1)
+    )
+    places = ", ".join(f"({k}, '{n}')" for k, (n, _) in enumerate(L.RULES))
+    left, hits = "SELECT doc_id, '<' || replace(ids, ',', '><') || '>' AS r0 FROM f", []
+    for k, (_, sequence) in enumerate(L.RULES):
+        row = "".join(f"<{x}>" for x in sequence)
+        left = f"SELECT *, replace(r{k}, '{row}', '<>') AS r{k + 1} FROM ({left})"
+        hits.append(f"CASE WHEN contains(r{k}, '{row}') THEN {k} END")
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}), rules(place, license, ids) AS (VALUES {rules}),
+WITH known(sentence, id, parts) AS (VALUES {known}), rules(place, license) AS (VALUES {places}),
 s AS (
   SELECT doc_id, pos, trim(regexp_replace(translate(piece, '{L.UPPER}', '{L.LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence
   FROM (SELECT doc_id, unnest(ls) AS piece, generate_subscripts(ls, 1) AS pos FROM (
-    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ 	-
-]+', '' || chr(10), 'g'), chr(10)) AS ls
+    SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS ls
     FROM documents))
+), t AS (
+  {pieces}
 ), f AS (
-  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM s JOIN known USING (sentence) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM (
+    SELECT t.*, id FROM t JOIN known USING (sentence, parts)
+    UNION ALL SELECT doc_id, pos, parts, sentence, arg_max(id, size) FROM (
+      SELECT t.*, id, length(known.sentence) AS size FROM t JOIN known ON t.parts = known.parts
+        AND t.sentence LIKE known.sentence AND contains(known.sentence, '%')) GROUP BY ALL)
+  GROUP BY doc_id
 ), m AS (
-  SELECT doc_id, license, min(place) AS place FROM f JOIN rules ON contains(',' || f.ids || ',', ',' || rules.ids || ',')
-  GROUP BY ALL
+  SELECT doc_id, license, min(place) AS place
+  FROM (SELECT doc_id, unnest([{', '.join(hits)}]) AS place FROM ({left})) JOIN rules USING (place) GROUP BY ALL
 ), l AS (
   SELECT doc_id, string_agg(license, ',' ORDER BY place) AS licenses, count(*) AS n FROM m GROUP BY doc_id
 )

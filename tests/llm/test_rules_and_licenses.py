@@ -70,6 +70,10 @@ def test_a_rule_decides(spark, empty):
     assert all(r.kept for r in quality_rules.apply_rules(docs, rules=()).collect())
 
 
+def sentence(name):
+    return licenses.SENTENCES[name].replace(licenses.HOLDER, "the copyright holder")
+
+
 def test_licences(spark, awkward, empty):
     mit = licenses.SENTENCES["mit-grant"] + "\n\nSomething else.\n" + licenses.SENTENCES["mit-notice"]
     texts = [
@@ -92,7 +96,7 @@ def test_licences(spark, awkward, empty):
 
 def test_every_rule_is_found_in_its_own_sentences(spark):
     docs = spark.createDataFrame(
-        [(i, "\n".join(licenses.SENTENCES[x] for x in ids)) for i, (_, ids) in enumerate(licenses.RULES)],
+        [(i, "\n".join(sentence(x) for x in ids)) for i, (_, ids) in enumerate(licenses.RULES)],
         "doc_id long, text string",
     )
     got = {r.doc_id: r.licenses.split(",") for r in licenses.scan(docs).collect()}
@@ -107,7 +111,7 @@ def test_wrapped_and_commented_sentences_are_those_of_one_line(spark):
     ]
     rows, want = [], []
     for _, ids in licenses.RULES:
-        own = [licenses.SENTENCES[x] for x in ids]
+        own = [sentence(x) for x in ids]
         for width in (20, 40, 75):
             for mark, tail in marks:
                 for blank in ("\n", "\n\n"):
@@ -142,7 +146,7 @@ def test_matched_identifiers_are_taken(spark):
     ]
     want = [name for name, _ in licenses.RULES] + ["BSD-3-Clause,BSD-2-Clause", "BSD-2-Clause", "MIT", "CC0-1.0"]
     docs = spark.createDataFrame(
-        [(i, "\n".join(licenses.SENTENCES[x] for x in ids)) for i, ids in enumerate(rows)], "doc_id long, text string"
+        [(i, "\n".join(sentence(x) for x in ids)) for i, ids in enumerate(rows)], "doc_id long, text string"
     )
     got = licenses.scan(docs).orderBy("doc_id").collect()
     assert [r.licenses for r in got] == want
@@ -151,3 +155,30 @@ def test_matched_identifiers_are_taken(spark):
     rules = (("B", ("cc0",)), ("A", ("bsd-redistribution", "bsd-source")))
     assert [r.licenses for r in licenses.scan(docs, rules=rules).where(f"doc_id = {len(rows) - 1}").collect()] == ["B"]
     assert {r.licenses for r in licenses.scan(docs, rules=()).collect()} == {""}
+
+
+BSD = [licenses.SENTENCES[x] for x in ("bsd-redistribution", "bsd-source", "bsd-binary")]
+
+
+def test_whole_sentences_and_free_names(spark):
+    core = " may be used to endorse or promote products derived from this software without specific prior written permission."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. {}."
+    gpl2 = licenses.SENTENCES["gpl2-free"]
+    cases = [
+        (mpl.format("2.0"), "MPL-2.0"),
+        (mpl.format("1.1"), ""),
+        (mpl.format("2.0").replace("v. ", "v.\n# "), "MPL-2.0"),
+        (mpl.format("2.0").replace("v. ", "v."), "MPL-2.0"),
+        ("\n".join([*BSD, "Neither the name of the University nor the names of its contributors" + core]), "BSD-3-Clause"),
+        ("\n".join([*BSD, "3. Neither the name of Foo Bar, Inc. nor the names of its contributors" + core]), "BSD-3-Clause"),
+        ("\n".join([*BSD, "Neither the name of Foo" + core]), "BSD-3-Clause"),
+        ("\n".join([*BSD, "The name of the author" + core.replace("may be", "may not be")]), "BSD-3-Clause"),
+        ("\n".join([*BSD, "Provided as is."]), "BSD-2-Clause"),
+        (textwrap.fill(gpl2, 40), "GPL-2.0-or-later"),
+        (gpl2.replace("version 2 ", "version 9 "), ""),
+        (licenses.SENTENCES["lgpl21-free"], "LGPL-2.1-or-later"),
+        (licenses.SENTENCES["mpl-11"], "MPL-1.1"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = [r.licenses for r in licenses.scan(docs).orderBy("doc_id").collect()]
+    assert got == [want for _, want in cases]
