@@ -8,7 +8,8 @@ are dealt by a hash, so a source with a third of all rows is as many blocks as i
 leaves at most two documents between zero and one, which are taken in part: that is its landing.
 
 Null texts have size 0 and nothing is taken from them. A null source is a source, the last one.
-Repeated rows, and rows with a null ``doc_id``, are documents of their own. Empty tables give no rows. Only ``doc_id``, ``text``
+Repeated rows, and rows with a null ``doc_id``, are documents of their own; however many are equal,
+they are dealt over all blocks. Empty tables give no rows. Only ``doc_id``, ``text``
 and ``source`` are read, so extra columns do not matter. Reruns agree: the hash and the order
 inside a block depend on the rows alone.
 """
@@ -144,16 +145,49 @@ def _balance(block: pd.DataFrame) -> pd.DataFrame:
     return block[["key", "doc_id", "size", "source_size", "target"]].assign(taken=taken)
 
 
-def mix_sizes(sizes: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``taken`` words for every row of ``sizes`` so that each source comes to its target."""
+#: Equal rows that one row is turned back into at a time.
+PIECE = 10_000
+
+
+def placed(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with each row's ``place`` among the rows that are equal to it.
+
+    Equal rows are counted, which reduces them before the shuffle, and made rows again from their
+    count: none meet. The pieces of a count above ``PIECE`` are dealt out before they are rows.
+    """
+    columns = ["key", "doc_id", "source", "text_hash", "size"]
+    counted = sizes.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    few = counted.where(F.col("n") <= PIECE).select(*columns, F.explode(F.expr("sequence(0L, n - 1)")).alias("place"))
+    pieces = counted.where(F.col("n") > PIECE).select(
+        *columns, "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {PIECE})")).alias("piece")
+    )
+    many = pieces.repartition(*columns, "piece").select(
+        *columns,
+        F.explode(F.expr(f"sequence(piece * {PIECE}, least(n, (piece + 1) * {PIECE}) - 1)")).alias("place"),
+    )
+    return few.unionByName(many)
+
+
+def dealt(sizes: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows with the figures of their source, an ``order`` and a ``block`` of about ``block`` rows.
+
+    ``place`` tells equal rows apart, so that they are dealt like any others.
+    """
     joined = sizes.alias("d").join(
         targets.alias("t"), F.expr("d.source <=> t.source"), "inner"
     ).select("d.*", "t.source_size", "t.target", "t.n_docs")
     named = F.coalesce("doc_id", "text_hash")
-    dealt = joined.withColumn("order", F.xxhash64(named, "size")).withColumn(
+    own = F.xxhash64(named, "size")
+    order = F.when(F.col("place") == 0, own).otherwise(F.xxhash64(named, "size", "place"))
+    return joined.withColumn("order", order).withColumn(
         "block", F.pmod(F.xxhash64("order"), F.ceil(F.col("n_docs") / block).cast("long"))
     )
-    return dealt.groupBy("source", "block").applyInPandas(
+
+
+def mix_sizes(sizes: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``taken`` words for every row of ``sizes``, with its ``place``, so that each source comes to
+    its target."""
+    return dealt(sizes, targets, block).drop("place").groupBy("source", "block").applyInPandas(
         _balance, "key long, doc_id long, size long, source_size long, target double, taken long"
     )
 
@@ -167,7 +201,7 @@ def mix(
 ) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every document."""
     sizes = stored(sizes_of(docs), "sizes")
-    return mix_sizes(sizes, targets_of(sizes, weights, share, max_repeats), block).drop("key")
+    return mix_sizes(placed(sizes), targets_of(sizes, weights, share, max_repeats), block).drop("key")
 
 
 def mixed_documents(
@@ -187,7 +221,10 @@ def mixed_documents(
     rows = keyed_rows(docs)
     own_columns = [F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text")]
     sizes = stored(sizes_of(rows.select("key", *own_columns), F.col("key")), "sizes")
-    shares = mix_sizes(sizes, targets_of(sizes, weights, share, max_repeats), block)
+    # keys tell equal rows apart
+    shares = mix_sizes(
+        sizes.withColumn("place", F.col("key")), targets_of(sizes, weights, share, max_repeats), block
+    )
     joined = rows.join(shares.select("key", "size", "taken").where("taken > 0"), "key")
     text, part = F.col("row.text"), F.expr("taken % size").cast("int")
     texts = F.concat(

@@ -191,3 +191,19 @@ def test_words_are_folded_only_where_the_tokenizer_folds():
     for k, text in enumerate(texts):
         want = encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
         assert ids[starts[k] : starts[k + 1]].tolist() == want
+
+
+def test_equal_rows_are_dealt_over_the_blocks(spark, monkeypatch):
+    """Thousands of equal rows, with an id and without, fill no block beyond the others."""
+    monkeypatch.setattr(mixing, "PIECE", 700)
+    texts = [(1, "a b c", "s")] * 3000 + [(None, None, "s")] * 2000 + [(i, "x " * (i % 9), "s") for i in range(2, 1000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(4)
+    sizes = mixing.sizes_of(docs).cache()
+    rows = mixing.placed(sizes)
+    assert rows.count() == rows.select("doc_id", "text_hash", "size", "place").distinct().count() == len(texts)
+    blocks = mixing.dealt(rows, mixing.targets_of(sizes), 200).groupBy("block").count().collect()
+    assert len(blocks) == 30 and max(r["count"] for r in blocks) < 300
+    got = mixing.mix(docs, block=200).collect()
+    assert len(got) == len(texts) and all(0 <= r.taken <= 2 * r.size for r in got)
+    assert abs(sum(r.taken for r in got) - got[0].target) <= len(blocks)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7), block=200).collect()), key=str)
