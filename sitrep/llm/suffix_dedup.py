@@ -21,9 +21,10 @@ these, so their set is broadcast) would fill one task: their records meet by bot
 2, and in step 3 every start meets its equals by a 128-bit hash of its own string.
 
 Positions are ordered by ``doc_id``, then start. Null and empty texts have no bytes, texts below
-``LENGTH`` lose none. Rows with one ``doc_id`` are one document: repeated rows are judged alike
-and do not count as copies of each other. A null ``doc_id`` comes first. Empty tables give no
-rows; extra columns are not read.
+``LENGTH`` lose none. Rows equal in ``doc_id`` and text are one document: they are judged alike
+and do not count as copies of each other. Different texts under one ``doc_id``, or under none, are
+documents of their own, in the order of a hash of the text. A null ``doc_id`` comes first. Empty
+tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -451,6 +452,21 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
+def _own_ids(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with an ``id`` for every document, in their order.
+
+    Where no id is null or repeated, it stays. Otherwise the distinct pairs of id and text hash are
+    numbered in order, and written once so that their numbers stay.
+    """
+    unfit = keyed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.col("id") == NO_ID))
+    if unfit.isEmpty():
+        return keyed
+    named = keyed.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    pairs = named.select("id", "digest").distinct().orderBy("id", "digest")
+    numbers = stored(pairs.withColumn("number", F.monotonically_increasing_id()), "ids")
+    return named.join(numbers, ["id", "digest"]).select(F.col("number").alias("id"), "row", "text")
+
+
 def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``doc_id, text``.
 
@@ -470,6 +486,7 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
         ).alias("row"),
         F.col("text").cast("string").alias("text"),
     )
+    keyed = _own_ids(keyed)
     first, second = marked(keyed, groups, heavy_anchors(keyed))
     out = (
         T.StructType()

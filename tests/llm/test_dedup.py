@@ -235,3 +235,18 @@ def test_repeats_awkward(spark, awkward, empty):
     assert len({r.n_removed for r in suffix_dedup.deduplicate(long).collect()}) == 1
     assert suffix_dedup.deduplicate(empty).count() == 0
     assert suffix_dedup.whole_characters("aéb".encode(), [(2, 4)]).decode() == "aé"
+
+
+def test_repeats_under_shared_and_null_ids(spark):
+    draw = random.Random(9)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    x, a, b, c, d = text(200), text(150), text(400), text(150), text(330)
+    rows = [(1, x), (7, x + a), (7, b), (7, b), (None, c + c), (None, d), (None, d), (9, d[:120]), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df, with_text=False).collect()}
+    # documents: the distinct pairs, null ids first, then in the order of the text's hash
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    want = brute_bytes([(k, t) for k, (_, t) in enumerate(order)])
+    assert got == {(i, *want[k]) for k, (i, _) in enumerate(order)}
+    assert suffix_dedup.deduplicate(df, with_text=False).count() == len(rows)
+    assert [r[2] for r in got if r[0] == 7 and r[1] == 400] == [0]
