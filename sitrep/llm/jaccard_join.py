@@ -1,7 +1,7 @@
 """Documents that share most of their word n-grams: a blocked sparse product of incidences.
 
 A document's row of the incidence matrix has its distinct n-grams as columns. Two documents link
-when ``100 * intersection >= PERCENT * union``; the product of the matrix with its transpose would
+when ``100 * intersection >= percent * union``, for n-grams of ``words`` words; the product of the matrix with its transpose would
 hold all intersections. Size-derived bounds keep it sparse:
 
 * equal rows are one row (a node) from the start;
@@ -24,7 +24,9 @@ of which link it. Empty tables give no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from sitrep.llm.common import small_batches, stored, utf8
 from sitrep.llm.graph import components
 from sitrep.llm.heavy import contained, heavy_keys
 
+#: Words of an n-gram and least similarity, unless a caller asks for others.
 WORDS = 4
 PERCENT = 85
 #: Smallest column hashes by which the first round links a node.
@@ -120,24 +123,37 @@ def node_of(row: np.ndarray) -> int:
     return int(mixed(total * U(FACTORS[3]) + U(len(row))).view(np.int64)[0])
 
 
-def prefix(n: np.ndarray) -> np.ndarray:
-    """How many first columns of a row of ``n`` must meet those of a linked row."""
-    return n - -(-PERCENT * n // 100) + 1
+@dataclass(frozen=True)
+class Rule:
+    """What links: n-grams of ``words`` words, and at least ``percent`` of the union in common."""
 
+    words: int = WORDS
+    percent: int = PERCENT
 
-def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """The overlap at which rows of these sizes link."""
-    return -(-PERCENT * (na + nb) // (100 + PERCENT))
+    def __post_init__(self):
+        if self.words < 1 or not 0 < self.percent <= 100:
+            raise ValueError("words must be positive, percent between 1 and 100")
 
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """How many first columns of a row of ``n`` must meet those of a linked row."""
+        return n - -(-self.percent * n // 100) + 1
 
-def sketched(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
+    def needed(self, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """The overlap at which rows of these sizes link."""
+        return -(-self.percent * (na + nb) // (100 + self.percent))
+
+    def linked(self, both: int, na: int, nb: int) -> bool:
+        return 100 * both >= self.percent * (na + nb - both)
+
+
+def sketched(docs: DataFrame, heavy: np.ndarray, rule: Rule) -> DataFrame:
     """``doc_id, n_shingles, node, rare, keys``: size, name, share of columns that are not heavy,
     and smallest column hashes of every row."""
     held = docs.sparkSession.sparkContext.broadcast(heavy)  # at most 1 / HEAVY_SHARE hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = rows_of(*utf8(b["text"]))
+            rows = rows_of(*utf8(b["text"]), rule.words)
             yield pa.RecordBatch.from_arrays(
                 [
                     b["doc_id"],
@@ -153,16 +169,17 @@ def sketched(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def star_pairs(nodes: DataFrame) -> DataFrame:
+def star_pairs(nodes: DataFrame, rule: Rule) -> DataFrame:
     """``a, b``: every node with one hub of each of its sketch columns, if sizes allow.
 
     The hub is the node with the smallest share of rare columns: in a large group of near copies
     edits are rare, so it is the text that the others were made from, or close to it. Once among
     all nodes of a column and once among those of about its size.
     """
-    step = -F.log(F.lit(PERCENT / 100))
+    # at 100 percent all linked rows are of one size
+    step = -math.log(min(rule.percent, 99) / 100)
     rows = nodes.select("node", "n", "rare", F.explode("keys").alias("g"))
-    keyed = rows.withColumn("size_class", F.floor(F.log("n") / step)).unionAll(
+    keyed = rows.withColumn("size_class", F.floor(F.log("n") / F.lit(step))).unionAll(
         rows.withColumn("size_class", F.lit(-1).cast("long"))
     )
     smallest = (
@@ -173,7 +190,7 @@ def star_pairs(nodes: DataFrame) -> DataFrame:
     met = keyed.join(smallest, ["g", "size_class"]).select(
         F.col("node").alias("a"), F.col("hub.node").alias("b"), "n", F.col("hub.n").alias("hub_n")
     )
-    fits = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
+    fits = 100 * F.least("n", "hub_n") >= rule.percent * F.greatest("n", "hub_n")
     return met.where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
 
 
@@ -199,14 +216,14 @@ def _group(column: str, groups: int):
     return F.pmod(F.xxhash64(column), F.lit(groups))
 
 
-def _rows(z: list[bytes]) -> list[np.ndarray]:
+def _rows(z: list[bytes], n: int) -> list[np.ndarray]:
     unpress = zstandard.ZstdDecompressor()
     plain = [unpress.decompress(x) for x in z]
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in plain], dtype=np.int64)])
-    return rows_of(np.frombuffer(b"".join(plain), np.uint8), offsets)
+    return rows_of(np.frombuffer(b"".join(plain), np.uint8), offsets, n)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, groups: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, groups: int, rule: Rule) -> DataFrame:
     """The pairs ``a, b`` (with their ``doc_a, doc_b``) whose whole texts link."""
     per_task = 400
     tasks = pairs.count() // per_task + 13
@@ -228,12 +245,12 @@ def verified(docs: DataFrame, pairs: DataFrame, groups: int) -> DataFrame:
 
     def check(got: pa.Table, asked: pa.Table) -> pa.Table:
         # a document with several texts gives the text of the node
-        row = {node_of(r): r for r in _rows(got["z"].to_pylist()) if len(r)}
+        row = {node_of(r): r for r in _rows(got["z"].to_pylist(), rule.words) if len(r)}
         keep = []
         for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True):
             x, y = row[a], row[b]
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep.append(rule.linked(both, len(x), len(y)))
         return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     fetched = (
@@ -277,9 +294,13 @@ def _unpacked(t: pa.Table, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def _products(e: np.ndarray) -> np.ndarray:
+def _products(e: np.ndarray, rule: Rule) -> np.ndarray:
     """Partial overlaps of all pairs of unconnected rows that meet in some columns, and the last
-    positions at which they meet."""
+    positions at which they meet.
+
+    In each column the rows outside its largest part meet the others; the largest part, most of a
+    column that a family of copies shares, is never compared with itself.
+    """
     e = e[np.lexsort((e["n"], e["g"]))]
     found = []
     cut = _cut([e["g"]])
@@ -288,20 +309,25 @@ def _products(e: np.ndarray) -> np.ndarray:
         x = e[lo:hi]
         if (x["part"] == x["part"][0]).all():
             continue
-        # rows by size: a row meets only those up to the size that can still link with it
-        reach = np.searchsorted(x["n"], x["n"].astype(np.int64) * 100 // PERCENT, side="right")
-        for i in range(len(x) - 1):
-            y = x[i + 1 : reach[i]]
-            if not len(y):
-                continue
-            need = needed(x["n"][i].astype(np.int64), y["n"].astype(np.int64))
+        part, counts = np.unique(x["part"], return_inverse=True, return_counts=True)[1:]
+        largest = part == counts.argmax()
+        # rows by size: a row meets only those whose size can still link with its own
+        n = x["n"].astype(np.int64)
+        least = np.searchsorted(n, -(-n * rule.percent // 100), side="left")
+        greatest = np.searchsorted(n, n * 100 // rule.percent, side="right")
+        for i in np.flatnonzero(~largest).tolist():
+            span = slice(least[i], greatest[i])
+            # two rows outside the largest part meet once, from the first of them
+            later = np.arange(least[i], greatest[i]) > i
+            y = x[span][(part[span] != part[i]) & (largest[span] | later)]
+            need = rule.needed(n[i], y["n"].astype(np.int64))
             most = (
                 np.minimum(x["at"][i], y["at"])
                 + 1
                 + np.minimum(x["n"][i] - x["at"][i], y["n"] - y["at"])
                 - 1
             )
-            y = y[(y["part"] != x["part"][i]) & (most >= need)]
+            y = y[most >= need]
             if not len(y):
                 continue
             p = np.empty(len(y), PAIR)
@@ -325,7 +351,9 @@ def _summed(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidate_pairs(docs: DataFrame, nodes: DataFrame, heavy: np.ndarray, groups: int) -> DataFrame:
+def candidate_pairs(
+    docs: DataFrame, nodes: DataFrame, heavy: np.ndarray, groups: int, rule: Rule
+) -> DataFrame:
     """``a, b``: pairs of nodes of different parts whose overlap can reach what they need.
 
     ``nodes`` has ``node, n, doc_id, part``; ``doc_id`` is the document that gives its text.
@@ -336,12 +364,12 @@ def candidate_pairs(docs: DataFrame, nodes: DataFrame, heavy: np.ndarray, groups
         t = known.select(["doc_id", "node", "part"]).join(z.select(["doc_id", "z"]), "doc_id", join_type="inner")
         parts = []
         node, part = t["node"].to_pylist(), t["part"].to_pylist()
-        for k, row in enumerate(_rows(t["z"].to_pylist())):
+        for k, row in enumerate(_rows(t["z"].to_pylist(), rule.words)):
             last = contained(row, held.value)
             # a document with several texts gives the text of its node
             if node_of(row) != node[k]:
                 continue
-            first = np.concatenate([row[~last], row[last]])[: prefix(len(row))]
+            first = np.concatenate([row[~last], row[last]])[: rule.prefix(len(row))]
             e = np.empty(len(first), ENTRY)
             e["g"], e["node"], e["part"], e["n"] = first, node[k], part[k], len(row)
             e["at"] = np.arange(len(first))
@@ -350,7 +378,7 @@ def candidate_pairs(docs: DataFrame, nodes: DataFrame, heavy: np.ndarray, groups
         return _packed((mixed(e["g"]) % U(groups)).astype(np.int64), e)
 
     def multiply(t: pa.Table) -> pa.Table:
-        p = _products(_unpacked(t, ENTRY))
+        p = _products(_unpacked(t, ENTRY), rule)
         return _packed((mixed(p["a"].view(U) * U(3) + p["b"].view(U)) % U(groups)).astype(np.int64), p)
 
     def accumulate(t: pa.Table) -> pa.Table:
@@ -359,8 +387,8 @@ def candidate_pairs(docs: DataFrame, nodes: DataFrame, heavy: np.ndarray, groups
         # what is not counted here follows the last column that is, in both rows; and it lies
         # beyond the prefix of one of them
         rest = np.minimum(na - 1 - p["ia"], nb - 1 - p["ib"])
-        rest = np.minimum(rest, np.maximum(na - prefix(na), nb - prefix(nb)))
-        p = p[p["c"] + rest >= needed(na, nb)]
+        rest = np.minimum(rest, np.maximum(na - rule.prefix(na), nb - rule.prefix(nb)))
+        p = p[p["c"] + rest >= rule.needed(na, nb)]
         return pa.table({"a": p["a"], "b": p["b"]})
 
     entries = (
@@ -373,8 +401,12 @@ def candidate_pairs(docs: DataFrame, nodes: DataFrame, heavy: np.ndarray, groups
     return sums.groupBy("key").applyInArrow(accumulate, "a long, b long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``doc_id, text``."""
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``doc_id, text``.
+
+    Texts link that have ``percent`` of all their n-grams of ``words`` words in common, or more.
+    """
+    rule = Rule(words, percent)
     small_batches(docs.sparkSession)
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
@@ -383,10 +415,10 @@ def join(docs: DataFrame) -> DataFrame:
     groups = size // GROUP_BYTES + 13
     heavy = heavy_keys(
         docs.select("text"),
-        lambda b: np.concatenate([np.zeros(0, U), *rows_of(*utf8(b["text"]))]),
+        lambda b: np.concatenate([np.zeros(0, U), *rows_of(*utf8(b["text"]), words)]),
         HEAVY_SHARE,
     )
-    sketches = stored(sketched(docs, heavy), "sketches")
+    sketches = stored(sketched(docs, heavy, rule), "sketches")
     with_words = sketches.where("node is not null and doc_id is not null")
     nodes = stored(
         with_words.groupBy("node").agg(
@@ -404,11 +436,12 @@ def join(docs: DataFrame) -> DataFrame:
             place.withColumnsRenamed({"node": "b", "doc_id": "doc_b"}), "b"
         )
 
-    stars = verified(docs, with_texts(star_pairs(nodes)), groups)
+    stars = verified(docs, with_texts(star_pairs(nodes, rule)), groups, rule)
     ids = nodes.select(F.col("node").alias("id"))
     parts = components(ids, stars).select(F.col("id").alias("node"), F.col("component_id").alias("part"))
     labelled = stored(nodes.drop("keys", "rare").join(parts, "node"), "parts")
-    rest = verified(docs, with_texts(stored(candidate_pairs(docs, labelled, heavy, groups), "candidates")), groups)
+    candidates = stored(candidate_pairs(docs, labelled, heavy, groups, rule), "candidates")
+    rest = verified(docs, with_texts(candidates), groups, rule)
     whole = components(ids, stars.unionAll(rest)).select(
         F.col("id").alias("node"), F.col("component_id").alias("part")
     )

@@ -29,16 +29,16 @@ def joined(ids, linked):
     return {i: find(p, i) for i in ids}
 
 
-def brute_join(rows):
+def brute_join(rows, n=4, percent=85):
     sets = {}
     for d, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
-        sets[d] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} - {()}
+        sets[d] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
     linked = [
         (a, b)
         for a in sets
         for b in sets
-        if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+        if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
     ]
     part = joined(sets, linked)
     return {d: (len(s), part[d]) for d, s in sets.items()}
@@ -62,13 +62,35 @@ def near_copies(seed):
     return rows + [(900, "a b"), (901, "A  b"), (902, "a"), (903, None), (904, " ")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_join_is_exact(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "rule"), [(1, (4, 85)), (2, (4, 85)), (1, (5, 80)), (2, (5, 80)), (3, (1, 100))])
+def test_join_is_exact(spark, seed, rule, monkeypatch):
     rows = near_copies(seed)
     if seed == 2:  # no first round: all links must come from the product
-        monkeypatch.setattr(jaccard_join, "star_pairs", lambda n: n.selectExpr("node a", "node b").limit(0))
-    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(rows)
+        monkeypatch.setattr(jaccard_join, "star_pairs", lambda n, _: n.selectExpr("node a", "node b").limit(0))
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), *rule).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(rows, *rule)
+
+
+def test_one_column_of_a_large_family_and_a_stray_row():
+    """Only rows of different parts meet; the pairs are those of all against all."""
+    draw = np.random.default_rng(5)
+    rule = jaccard_join.Rule()
+    for m, parts in ((300, 4), (50, 50), (2, 2)):
+        e = np.zeros(m, jaccard_join.ENTRY)
+        e["node"], e["n"] = draw.permutation(m), draw.integers(5, 9, m)
+        e["at"], e["part"] = draw.integers(0, 2, m), draw.integers(0, parts, m) * (draw.random(m) < 0.4)
+        want = set()
+        for x in e:
+            for y in e:
+                most = min(x["at"], y["at"]) + min(x["n"] - x["at"], y["n"] - y["at"])
+                if x["node"] < y["node"] and x["part"] != y["part"] and most >= rule.needed(int(x["n"]), int(y["n"])):
+                    want.add((x["node"], y["node"]))
+        got = jaccard_join._products(e, rule)
+        assert [(a, b) for a, b in zip(got["a"], got["b"], strict=True)] == sorted(want)
+    e = np.zeros(100_000, jaccard_join.ENTRY)
+    e["node"], e["n"] = np.arange(len(e)), 20
+    e["part"][7] = 1
+    assert len(jaccard_join._products(e, rule)) == len(e) - 1
 
 
 def test_join_query(spark):
@@ -78,10 +100,13 @@ def test_join_query(spark):
 
 
 def test_prefix_and_needed_overlap_are_those_of_the_threshold():
-    for na in range(1, 60):
-        for nb in range(1, 60):
-            least = next((c for c in range(100) if 100 * c >= 85 * (na + nb - c)))
-            assert jaccard_join.needed(np.int64(na), np.int64(nb)) == least
+    for percent in (80, 85, 100):
+        rule = jaccard_join.Rule(4, percent)
+        for na in range(1, 60):
+            for nb in range(1, 60):
+                least = next((c for c in range(150) if 100 * c >= percent * (na + nb - c)))
+                assert rule.needed(np.int64(na), np.int64(nb)) == least
+                assert rule.linked(least, na, nb) and not rule.linked(least - 1, na, nb)
 
 
 def test_join_awkward(spark, awkward, empty):
