@@ -29,10 +29,15 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_classifier.keep_good(docs, machine)
 
 
+#: Near duplicates in the pipeline: shingles of five words, a similarity of 0.8 or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of every group of near duplicates; texts without words all stay."""
     rows = keyed_rows(docs)
-    found = jaccard_join.join(rows.select(F.col("key").alias("doc_id"), "row.text"))
+    texts = rows.select(F.col("key").alias("doc_id"), "row.text")
+    found = jaccard_join.join(texts, NEAR_WORDS, NEAR_PERCENT)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("key"))
     return rows.join(stay, "key", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
