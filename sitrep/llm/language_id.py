@@ -2,14 +2,15 @@
 
 A word that the model knows is scored by its log frequency in every language. An unseen word is
 scored by the longest character n-grams of it that the model knows, five characters down to one.
-The model is fitted on a bounded sample of documents with a language: ``max_docs`` documents by
-hash, the most frequent ``max_words`` words and ``max_grams`` n-grams. Its size does not grow with
-the input, so every task can hold it.
+The model is fitted on a bounded sample of documents with a language: ``max_docs`` distinct
+(language, text) pairs by hash. It keeps every word and every n-gram of the sample, as sorted hashes
+and a row of log frequencies each. Its size does not grow with the input, so every task can hold it.
 
 Texts that are null or have no letter are ``und`` with score 0. Texts without a known word or
 n-gram get the most frequent language of the sample, scored by its share. Ties go to the first
-language by name. Without any labelled row all texts are ``und``. Repeated rows are judged alike;
-empty tables give no rows; extra columns are not read.
+language by name. Without any labelled row all texts are ``und``. Repeated rows are learned once and
+judged alike, so no number of copies outgrows the sample; empty tables give no rows; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -21,19 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitrep.llm.common import small_batches
+from sitrep.llm.common import small_batches, stored
 
-#: Bounds of the model.
+#: Bound of the sample that the model is fitted on.
 MAX_DOCS = 20_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
 LONGEST_GRAM = 5
 #: Added to every count.
 SMOOTHING = 0.5
-#: Words outside the model that a task remembers.
+#: Words of earlier texts that a task remembers.
 CACHED_WORDS = 500_000
 #: Distinct words of a text that are looked up together.
 PART = 50_000
@@ -49,51 +50,78 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def hash_of(item: str) -> int:
+    return xxhash.xxh64_intdigest(item.encode("utf-8", "surrogatepass"))
+
+
+@dataclass
+class Table:
+    """Sorted hashes of items and, for each, its log frequency in every language."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+
+    def find(self, items: list[str]) -> np.ndarray:
+        """The row of every item; -1 for those that are not known."""
+        asked = np.fromiter((hash_of(x) for x in items), np.uint64, len(items))
+        if not len(self.keys):
+            return np.full(len(items), -1)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return np.where(self.keys[at] == asked, at, -1)
+
+
 @dataclass
 class Model:
-    """Languages, their log shares, and a row of log frequencies for each word and n-gram."""
+    """Languages, the logs of their shares, and the tables of words and n-grams."""
 
     langs: list[str]
     prior: np.ndarray
-    words: dict[str, int]
-    grams: dict[str, int]
-    word_logs: np.ndarray
-    gram_logs: np.ndarray
-
-    def unseen(self, word: str) -> np.ndarray | None:
-        for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
-            known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
-            if known:
-                return self.gram_logs[known].mean(axis=0)
-        return None
+    words: Table
+    grams: Table
+
+    def logs_of(self, words: list[str]) -> np.ndarray:
+        """A row for every word: its own, else the mean of its longest known n-grams, else zeros."""
+        out = np.zeros((len(words), len(self.langs)))
+        row = self.words.find(words)
+        out[row >= 0] = self.words.logs[row[row >= 0]]
+        left = np.flatnonzero(row < 0)
+        for n in range(LONGEST_GRAM, 0, -1):
+            if not len(left):
+                break
+            grams = [grams_of(words[i], n) for i in left.tolist()]
+            found = self.grams.find([g for own in grams for g in own])
+            word = np.repeat(np.arange(len(left)), [len(own) for own in grams])[found >= 0]
+            times = np.bincount(word, minlength=len(left))
+            known = times > 0
+            for lang in range(len(self.langs)):
+                total = np.bincount(word, self.grams.logs[found[found >= 0], lang], len(left))
+                out[left[known], lang] = total[known] / times[known]
+            left = left[~known]
+        return out
 
 
 class Scorer:
-    """Scores texts with a model; unseen words of earlier texts are remembered, up to a bound."""
+    """Scores texts with a model; words of earlier texts are remembered, up to a bound."""
 
     def __init__(self, model: Model, cached: int = CACHED_WORDS):
         self.model = model
-        self.known = len(model.words)
-        # rows of words, then of remembered unseen words; the last row is for nothing known
-        self.logs = np.zeros((self.known + cached + 1, len(model.langs)))
-        self.logs[: self.known] = model.word_logs
-        self.clear()
-
-    def clear(self) -> None:
-        self.row = dict(self.model.words)
-        self.next = self.known
-
-    def _unseen(self, word: str) -> int:
-        if self.next == len(self.logs) - 1:
-            self.clear()
-        found = self.model.unseen(word)
-        if found is None:
-            at = len(self.logs) - 1
-        else:
-            at, self.next = self.next, self.next + 1
-            self.logs[at] = found
-            self.row[word] = at
-        return at
+        self.logs = np.zeros((max(cached, PART), len(model.langs)))
+        self.row: dict[str, int] = {}
+
+    def _rows(self, words: list[str]) -> list[int]:
+        """Rows of ``logs`` of up to ``PART`` distinct words; new ones are looked up together."""
+        get = self.row.get
+        rows = [get(w) for w in words]
+        new = [w for w, r in zip(words, rows, strict=True) if r is None]
+        if not new:
+            return rows
+        if len(self.row) + len(new) > len(self.logs):
+            self.row.clear()
+            new = words
+        at = len(self.row)
+        self.logs[at : at + len(new)] = self.model.logs_of(new)
+        self.row.update(zip(new, range(at, at + len(new)), strict=True))
+        return [self.row[w] for w in words]
 
     def score(self, text: str | None) -> tuple[str, float]:
         langs = self.model.langs
@@ -105,33 +133,29 @@ class Scorer:
         times = np.fromiter(counts.values(), float, len(words))
         # a text of more distinct words than are remembered is scored in parts
         for at in range(0, len(words), PART):
-            get = self.row.get
-            rows = [get(w) for w in words[at : at + PART]]
-            if None in rows:
-                if self.next + PART >= len(self.logs):
-                    self.clear()
-                    get = self.row.get
-                    rows = [get(w) for w in words[at : at + PART]]
-                for i, r in enumerate(rows):
-                    if r is None:
-                        rows[i] = self._unseen(words[at + i])
-            total += times[at : at + PART] @ self.logs[rows]
+            total += times[at : at + PART] @ self.logs[self._rows(words[at : at + PART])]
         odds = np.exp(total - total.max())
         best = int(np.argmax(odds))
         return langs[best], float(odds[best] / odds.sum())
 
 
 def sampled(docs: DataFrame, max_docs: int) -> DataFrame:
-    """About ``max_docs`` rows, chosen by a hash of ``doc_id``; all rows if there are fewer."""
-    n = docs.count()
-    if n <= max_docs:
-        return docs
-    grid = 1 << 40
-    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < int(grid * (max_docs / n)))
+    """``lang, text``: about ``max_docs`` distinct pairs, chosen by hash; all if there are fewer.
+
+    The pairs are counted within two percent or so, and only those chosen are shuffled.
+    """
+    pair = F.xxhash64("lang", "text")
+    n = docs.agg(F.approx_count_distinct(pair, 0.02)).first()[0]
+    rows = docs.select("lang", "text", pair.alias("pair"))
+    if n > max_docs:
+        # hashed again: rows are dealt to partitions and tables by the plain hash
+        grid = 1 << 40
+        rows = rows.where(F.pmod(F.xxhash64("pair"), F.lit(grid)) < int(grid * (max_docs / n)))
+    return rows.dropDuplicates(["pair"]).select("lang", "text")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """``lang, n, item, times``: words (n = 0) and n-grams of the sample, counted."""
+    """``lang, is_word, item, times``: hashes of words and n-grams of the sample, counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -143,59 +167,61 @@ def _counted(docs: DataFrame) -> DataFrame:
             for w, times in counts.items():
                 for n in range(1, LONGEST_GRAM + 1):
                     for g in grams_of(w, n):
-                        grams[n, g] += times
-            items = [(0, w, c) for w, c in counts.items()] + [(n, g, c) for (n, g), c in grams.items()]
-            for at in range(0, len(items), 50_000):
-                n, item, times = zip(*items[at : at + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n)), pa.array(n, pa.int32()), pa.array(item), pa.array(times, pa.int64())],
-                    ["lang", "n", "item", "times"],
-                )
-
-    parts = docs.select("lang", "text").mapInArrow(count, "lang string, n int, item string, times long")
-    return parts.groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
-
-
-def fit(
-    labelled: DataFrame,
-    max_docs: int = MAX_DOCS,
-    max_words: int = MAX_WORDS,
-    max_grams: int = MAX_GRAMS,
-) -> Model:
-    """Fit on rows with ``doc_id``, ``text`` and a language ``lang`` that is not null."""
+                        grams[g] += times
+            for is_word, found in ((True, hashed(counts)), (False, hashed(grams))):
+                hashes, times = found
+                for at in range(0, len(hashes), 50_000):
+                    part = pa.array(hashes[at : at + 50_000].view(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang] * len(part), pa.string()),
+                            pa.array([is_word] * len(part), pa.bool_()),
+                            part,
+                            pa.array(times[at : at + 50_000]),
+                        ],
+                        ["lang", "is_word", "item", "times"],
+                    )
+
+    parts = docs.mapInArrow(count, "lang string, is_word boolean, item long, times long")
+    return parts.groupBy("lang", "is_word", "item").agg(F.sum("times").alias("times"))
+
+
+def hashed(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of counted items."""
+    hashes = np.fromiter((hash_of(x) for x in counts), np.uint64, len(counts))
+    return hashes, np.fromiter(counts.values(), np.int64, len(counts))
+
+
+def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
+    """Fit on rows with ``text`` and a language ``lang`` that is not null."""
     small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
-    sample = sampled(rows, max_docs)
+    sample = stored(sampled(rows, max_docs), "language-sample")
     shares = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(shares)
-    place = {x: i for i, x in enumerate(langs)}
-    counted = _counted(sample)
-    per_item = counted.groupBy("n", "item").agg(
-        F.sum("times").alias("total"), F.collect_list(F.struct("lang", "times")).alias("by")
-    )
-    order = (F.col("total").desc(), F.col("n"), F.col("item"))
-
-    def table(found: DataFrame, most: int) -> tuple[dict[str, int], np.ndarray]:
-        top = found.orderBy(*order).limit(most).collect()
-        counts = np.full((len(top), len(langs)), SMOOTHING)
-        for i, r in enumerate(top):
-            for x in r["by"]:
-                counts[i, place[x["lang"]]] += x["times"]
-        sums = counts.sum(axis=0) if len(top) else np.ones(len(langs))
-        return {r["item"]: i for i, r in enumerate(top)}, np.log(counts / sums)
-
-    words, word_logs = table(per_item.where("n = 0"), max_words)
-    grams, gram_logs = table(per_item.where("n > 0"), max_grams)
+    # one entry for each distinct word or n-gram of the sample and language: bounded by the sample
+    counted = _counted(sample).toArrow()
+
+    def table(is_word: bool) -> Table:
+        own = counted.filter(pc.equal(counted["is_word"], is_word))
+        items = own["item"].to_numpy().view(np.uint64)
+        keys, at = np.unique(items, return_inverse=True)
+        counts = np.full((len(keys), len(langs)), SMOOTHING)
+        lang = pc.index_in(own["lang"], pa.array(langs, pa.string())).to_numpy()
+        counts[at, lang] += own["times"].to_numpy()
+        sums = counts.sum(axis=0) if len(keys) else np.ones(len(langs))
+        return Table(keys, np.log(counts / sums).astype(np.float32))
+
     n = np.array([shares[x] for x in langs], dtype=float)
-    return Model(langs, np.log(n / n.sum()) if langs else n, words, grams, word_logs, gram_logs)
+    return Model(langs, np.log(n / n.sum()) if langs else n, table(True), table(False))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score``, the share of the best language, for every row."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see MAX_WORDS, MAX_GRAMS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: see MAX_DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)

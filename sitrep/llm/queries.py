@@ -63,10 +63,12 @@ def op6_token_counts(spark, d):
 
 @query
 def op7_language_id(spark, d):
+    """Rows without a ``doc_id`` have no remainder: not learned from, and not held out."""
     docs = table(spark, d, "documents")
     model = language_id.fit(docs.where(_fold(3) != 1))
     found = language_id.identify(docs, model)
-    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def quality_machine(docs: DataFrame, labels: DataFrame) -> quality_classifier.Machine:

@@ -1,5 +1,9 @@
 """Language ID, quality classifier and token counts."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -32,7 +36,7 @@ def test_language_words_first_then_shorter_grams(spark):
     score_of = language_id.Scorer(model).score
     assert score_of("THE cat")[0] == "en"
     assert score_of("katzen")[0] == "de"  # unseen: its longest known n-grams decide
-    assert model.unseen("qqqq") is None
+    assert not model.logs_of(["qqqq"]).any()
     assert score_of("12 34!") == ("und", 0.0)
     assert score_of("") == score_of(None) == ("und", 0.0)
     lang, score = score_of("qq")
@@ -41,7 +45,7 @@ def test_language_words_first_then_shorter_grams(spark):
 
 def test_language_scores_do_not_depend_on_what_is_remembered(spark, monkeypatch):
     texts = [r.text for r in table(spark, SMALL, "documents").limit(40).collect()]
-    model = language_id.fit(table(spark, SMALL, "documents"), max_words=50)
+    model = language_id.fit(table(spark, SMALL, "documents").limit(20))
     plain = language_id.Scorer(model)
     want = [plain.score(t) for t in texts]
     monkeypatch.setattr(language_id, "PART", 7)
@@ -51,6 +55,59 @@ def test_language_scores_do_not_depend_on_what_is_remembered(spark, monkeypatch)
         assert got[0] == lang and got[1] == pytest.approx(score)
 
 
+def plain_language(train, text):
+    """Language and score by the definition, one word after the other."""
+    langs = sorted({lang for lang, t in set(train) if lang and t is not None})
+    words, grams = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    texts = {(lang, t) for lang, t in train if lang and t is not None}
+    for lang, t in texts:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            words[lang][w] += 1
+            grams[lang].update(g for n in range(1, 6) for g in language_id.grams_of(w, n))
+
+    def log(counts, item):
+        known = set().union(*counts.values())
+        if item not in known:
+            return None
+        return [math.log((counts[x][item] + 0.5) / (sum(counts[x].values()) + 0.5 * len(known))) for x in langs]
+
+    n = Counter(lang for lang, _ in texts)
+    total = [math.log(n[x] / len(texts)) for x in langs]
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        found = [log(words, w)] if log(words, w) else []
+        for size in range(5, 0, -1):
+            if found:
+                break
+            found = [x for x in (log(grams, g) for g in language_id.grams_of(w, size)) if x]
+        for i in range(len(langs)):
+            total[i] += sum(x[i] for x in found) / max(1, len(found))
+    odds = [math.exp(x - max(total)) for x in total]
+    best = odds.index(max(odds))
+    return langs[best], odds[best] / sum(odds)
+
+
+def test_language_equals_the_plain_definition(spark):
+    docs = table(spark, SMALL, "documents").orderBy("doc_id").limit(40).selectExpr("doc_id", "left(text, 150) text", "lang")
+    rows = docs.collect()
+    train = [(r.lang, r.text) for r in rows[:12]] * 2 + [(None, "x"), ("xx", None)]
+    labelled = spark.createDataFrame(train, "lang string, text string")
+    found = language_id.identify(docs, language_id.fit(labelled)).collect()
+    seen = 0
+    for r, got in zip(rows, sorted(found, key=lambda x: x.doc_id), strict=True):
+        if re.search(r"[^\W\d_]", r.text):
+            lang, score = plain_language(train, r.text)
+            assert got.score == pytest.approx(score, abs=1e-4) and got.lang_pred == lang
+            seen += 1
+    assert seen > 30
+
+
+def test_language_sample_is_bounded_by_distinct_texts(spark):
+    copies = spark.range(3000).selectExpr("'en' lang", "if(id < 1500, 'the one text', concat('text ', id)) text")
+    assert 250 < language_id.sampled(copies, 400).count() < 550
+    assert language_id.sampled(copies.where("id < 1500"), 400).count() == 1
+    assert language_id.sampled(copies, 3000).count() == 1501
+
+
 def test_language_awkward(spark, awkward, empty):
     model = language_id.fit(awkward)
     rows = language_id.identify(awkward, model).collect()
@@ -61,6 +118,13 @@ def test_language_awkward(spark, awkward, empty):
     assert {r.lang_pred for r in language_id.identify(awkward, none).collect()} == {"und"}
 
 
+def test_held_out_is_never_null(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "one two", "en"), (3, "drei vier", "de")], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op7_language_id(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.held_out for r in rows}[None] is False
+
+
 def test_quality_held_out(spark):
     found = queries.op4_quality_classifier(spark, SMALL)
     rows = found.join(table(spark, SMALL, "labels"), "doc_id").where("held_out").collect()
