@@ -24,6 +24,7 @@ from sitrep.operators import (
     ingest,
     labels,
     metrics,
+    search,
     tables,
 )
 from sitrep.skew import one_per_key
@@ -61,6 +62,15 @@ DOCUMENT = (
     "monthly_events array<struct<year: int, month: int, total_events: bigint>>, "
     "sentiment_counts array<struct<label: string, frequency: bigint>>, updated_at timestamp"
 )
+REJECTED = "stage string, reason string, text string"
+EVENT_INDEX = (
+    "event_id string, classification_type string, location_district string, location_state string, "
+    "start_time string, lon double, lat double, total_posts_count bigint"
+)
+POST_INDEX = (
+    "post_id string, disaster_type string, post_text string, location_state string, "
+    "location_district string, start_time string, sentiment string"
+)
 REPORT = "stage string, status string, processed bigint, inserted bigint, skipped bigint, message string"
 
 
@@ -90,7 +100,28 @@ class Batch:
     def disaster_posts(self) -> BatchLog:
         return self.log("disaster_posts", schemas.DISASTER_POSTS)
 
+    @property
+    def rejected(self) -> BatchLog:
+        """What a run could not use: the stage, the reason, and the text or row as it came."""
+        return self.log("rejected", REJECTED)
+
     # --- stages: each returns (processed, inserted, skipped) -----------------------------
+    def reject(self, raw: DataFrame, feeds: dict[str, DataFrame]) -> tuple[int, int, int]:
+        """Documents and items that no parser took, and checked rows without an id, are stored."""
+        keyless = tables.keyless_rows(raw, ["tweet_id"]).select(
+            F.lit("ingest").alias("stage"), F.lit("no id").alias("reason"), F.to_json(F.struct("*")).alias("text")
+        )
+        parts = [keyless]
+        for name, feed in feeds.items():
+            found = ingest.rejects(feed)
+            parts.append(found.select(F.lit(name).alias("stage"), "reason", "text"))
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        self.rejected.append(out, self.number)
+        stored = self.rejected.read_batch(self.number).count()
+        return stored, stored, 0
+
     @property
     def checked(self) -> BatchLog:
         """Every raw row that arrived, with its authenticity label and confidence."""
@@ -291,6 +322,15 @@ class Batch:
         out.write(metrics.dashboard_document(tidy, self.now).withColumn("updated_at", at))
         return tidy.count(), out.read().count(), 0
 
+    def indexes(self) -> tuple[int, int, int]:
+        """Flat rows of events and disaster posts for a search index, replaced by each run."""
+        events, posts = self.table("events", EVENTS).read(), self.located_posts()
+        event_index, post_index = self.table("event_index", EVENT_INDEX), self.table("post_index", POST_INDEX)
+        event_index.write(search.index_projection(events))
+        post_index.write(search.post_index_projection(posts))
+        made = event_index.read().count() + post_index.read().count()
+        return made, made, 0
+
     def trends(self) -> tuple[int, int, int]:
         posts = self.disaster_posts.read().withColumn("keywords_generated", F.lit(True))
         topics = posts.select(text.tidy_topic(F.col("keywords")).alias("topic"))
@@ -302,9 +342,14 @@ class Batch:
         return posts.count(), out.read().count(), 0
 
     # --- the run ------------------------------------------------------------------------
-    def run(self, raw: DataFrame) -> DataFrame:
-        """All stages in order; returns one report row per stage."""
+    def run(self, raw: DataFrame, feeds: dict[str, DataFrame] | None = None) -> DataFrame:
+        """All stages in order; returns one report row per stage.
+
+        ``feeds`` are the landed documents that ``raw`` comes from, by name, with their JSON text in
+        ``value``; what their parsers pass over is stored as rejected.
+        """
         stages: list[tuple[str, Callable[[], tuple[int, int, int]]]] = [
+            ("reject", lambda: self.reject(raw, feeds or {})),
             ("check", lambda: self.check(raw)),
             ("ingest", self.ingest),
             ("topics", self.topics),
@@ -316,6 +361,7 @@ class Batch:
             ("consolidate", self.consolidate),
             ("figures", self.figures),
             ("document", self.document),
+            ("indexes", self.indexes),
             ("trends", self.trends),
         ]
         self.number = self.posts.last() + 1

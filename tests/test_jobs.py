@@ -76,8 +76,8 @@ def batch_events(spark, tmp_path_factory):
 def test_batch_report(batch_events):
     _, report = batch_events
     assert {s: r.status for s, r in report.items()} == {
-        s: "ok" for s in ["check", "ingest", "topics", "places", "resweep", "incidents", "severities", "assemble",
-                          "consolidate", "figures", "document", "trends"]
+        s: "ok" for s in ["reject", "check", "ingest", "topics", "places", "resweep", "incidents", "severities", "assemble",
+                          "consolidate", "figures", "document", "indexes", "trends"]
     }, [r.message for r in report.values()]
     assert (report["ingest"].processed, report["ingest"].inserted, report["ingest"].skipped) == (5, 4, 1)
     assert report["consolidate"].inserted == 3 and report["assemble"].inserted == 4
@@ -105,6 +105,32 @@ def test_batch_stores_every_check(batch_events):
     assert all(r.confidence is not None for r in rows)
 
 
+def test_batch_stores_what_it_rejects(spark, tmp_path):
+    run = B.Batch(spark, str(tmp_path), polygons(spark, SQUARE, OVERLAP), NOW)
+    rows = [json_row(r) for r in [*raw_rows()[:2], {**raw_rows()[0], "tweet_id": None}]]
+    raw = spark.createDataFrame(rows, schemas.struct(schemas.RAW_TOPIC))
+    feed = spark.createDataFrame([("{broken",), ('{"data": {"items": [3]}}',), (None,)], "value string")
+    report = {r.stage: r for r in run.run(raw, {"items": feed}).collect()}
+    found = {(r.stage, r.reason): r.text for r in run.rejected.read().collect()}
+    assert set(found) == {("items", "document"), ("items", "item"), ("ingest", "no id")}
+    assert found["items", "document"] == "{broken" and found["items", "item"] == "3"
+    assert json.loads(found["ingest", "no id"])["cleaned_text"] == raw_rows()[0]["cleaned_text"]
+    assert report["reject"].status == "ok" and report["reject"].inserted == 3
+
+
+def test_batch_writes_its_indexes(batch_events):
+    run, report = batch_events
+    events = {r.event_id: r for r in run.table("event_index", B.EVENT_INDEX).read().collect()}
+    posts = run.table("post_index", B.POST_INDEX).read().collect()
+    stored = run.table("events", B.EVENTS).read().collect()
+    assert {e.event_id for e in stored} == set(events) and len(posts) == run.disaster_posts.read().count() == 4
+    for e in stored:
+        assert [events[e.event_id].lon, events[e.event_id].lat] == list(e.geometry.coordinates)
+        assert events[e.event_id].total_posts_count == e.total_posts_count
+    assert {p.location_district for p in posts} >= {"klang"} and all(p.post_text for p in posts)
+    assert report["indexes"].inserted == len(events) + len(posts)
+
+
 def test_batch_stores_one_dashboard_document(batch_events):
     run, _ = batch_events
     figures = run.table("figures", B.FIGURES).read().collect()
