@@ -188,6 +188,23 @@ def test_recipients_and_outbox(spark):
     assert marked == {"1": NOW, "2": NOW, "3": None}
 
 
+def test_recipients_of_busy_states_stay_small(spark, tmp_path):
+    """Every pair once, whatever the size of a state; written, a row takes a fraction of a byte."""
+    due = spark.createDataFrame(
+        [alert_event(i, ["johor", "Sabah", "kedah"][i % 3]) for i in range(600)], ALERT
+    )
+    many = [(f"person.{i:06d}.{i * 7919 % 100_003}@mail.example", "Johor") for i in range(9000)]
+    subs = subscribers(spark, *many, *[(f"s{i}@x", "Sabah", "Johor") for i in range(100)], ("k@x", "Kedah"))
+    sent = alerts.alert_recipients(due, subs).select("event_id", "email")
+    sent.write.parquet(str(tmp_path / "sent"))
+    back = spark.read.parquet(str(tmp_path / "sent"))
+    rows = 200 * 9100 + 200 * 100 + 200
+    assert (back.count(), back.distinct().count()) == (rows, rows)
+    at_k = back.where("email = 'k@x'").select("event_id").collect()
+    assert {r.event_id for r in at_k} == {str(i) for i in range(600) if i % 3 == 2}
+    assert sum(f.stat().st_size for f in (tmp_path / "sent").glob("*.parquet")) < 0.8 * rows
+
+
 def test_cooldown_is_a_fold(spark):
     rows = [("e", NOW + timedelta(minutes=m)) for m in (0, 30, 60, 90, 120)]
     rows += [("f", NOW + timedelta(minutes=m)) for m in (0, 50, 100, 110, 160, 170)]
