@@ -190,8 +190,7 @@ class EventStore:
             self.attributes.near(keys, before=self.attributes.last() + 1),
         )
         due = alerts.alerts_due(ready, now)
-        sent = alerts.alert_recipients(due, subscribers)
-        self.outbox.append(alerts.alert_messages(sent, unsubscribe_base), batch)
+        self.outbox.append(alerts.outbox(due, subscribers, unsubscribe_base), batch)
         reached = self.outbox.read_batch(batch).select("event_id").distinct()
         self.alert_log.append(
             due.join(reached, "event_id", "left_semi").select(

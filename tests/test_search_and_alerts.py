@@ -205,6 +205,21 @@ def test_recipients_of_busy_states_stay_small(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "sent").glob("*.parquet")) < 0.8 * rows
 
 
+def test_outbox_equals_messages_to_recipients(spark, tmp_path):
+    """The same messages, their event fields made before events meet subscribers; a few bytes written for each."""
+    due = spark.createDataFrame([alert_event(i, ["johor", "pulau pinang"][i % 2]) for i in range(400)], ALERT)
+    subs = subscribers(spark, *[(f"person.{i * 7919 % 100_003}@mail.example", "Johor") for i in range(3000)], ("p@x", "Penang"))
+    made = alerts.outbox(due, subs, "https://h/u")
+    made.write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    want = alerts.alert_messages(alerts.alert_recipients(due, subs), "https://h/u")
+    assert back.columns == want.columns and back.count() == want.count() == 200 * 3001
+    assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1.5 * back.count()
+    steps = made._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
+    assert "initcap" in steps[-1] and "initcap" not in steps[0]
+
+
 def test_cooldown_is_a_fold(spark):
     rows = [("e", NOW + timedelta(minutes=m)) for m in (0, 30, 60, 90, 120)]
     rows += [("f", NOW + timedelta(minutes=m)) for m in (0, 50, 100, 110, 160, 170)]
