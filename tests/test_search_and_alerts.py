@@ -247,6 +247,22 @@ def test_substring_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_substring_pairs_are_made_last(spark):
+    """Several places of an e-mail, also of none, meet a text once; no task gathers the pairs to see to that."""
+    texts = [f"{a}, {b}" for a in ("klang", "Kota Tinggi", "kota") for b in ("Johor", "selangor")] + [None]
+    places = ["kota", "Kota", "johor", "o", "lang", "gor", "nowhere", "", None]
+    draw = random.Random(5)
+    subs = [(f"m{i}" if i % 50 else None, draw.choice(places)) for i in list(range(400)) * 3]
+    posts = spark.createDataFrame([(t,) for t in texts * 2], "loc string")
+    df = spark.createDataFrame(subs, "email string, place string")
+    found = alerts.subscribers_in_text(posts, "loc", df, "place")
+    got = [(r.location, r.email) for r in found.collect()]
+    want = {(t.lower(), e) for t in texts if t for e, p in subs if p and p.lower() in t.lower()}
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = [line.strip() for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    assert plan[0].startswith("Project") and plan[1].startswith("+- Join Inner")
+
+
 def test_substring_counts_equal_brute_force(spark):
     texts = ["Sungai Buloh, Selangor", "selangor", "KL", "x", None, "", "Kota Kinabalu, Sabah", "kota bharu", "aaaa"]
     subs = [
