@@ -175,6 +175,41 @@ class RateLimited(Exception):
 
 LIMITED = "rate limited"
 
+#: Rows, and MB of them, that a labeller gets at once.
+PORTION_ROWS = 1_000
+PORTION_MB = 4
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Spark's batches, which are bounded by rows only, in halves until they are small."""
+    for batch in batches:
+        waiting = [batch]
+        del batch
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > PORTION_ROWS or (part.num_rows > 1 and part.nbytes > PORTION_MB * 1_000_000):
+                middle = part.num_rows // 2
+                waiting += [part.slice(middle), part.slice(0, middle)]
+            elif part.num_rows:
+                rows = part.to_pandas(maps_as_pydicts="strict")
+                for name in rows.select_dtypes("datetimetz").columns:
+                    rows[name] = rows[name].dt.tz_convert("UTC").dt.tz_localize(None)
+                yield rows
+
+
+def _map_portions(
+    posts: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType
+) -> DataFrame:
+    """``mapInPandas`` on portions: only their rows are Python values at a time, however many and
+    however long the rows of a batch are. Times are UTC, without a zone."""
+    returned = to_arrow_schema(schema)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done in run(_portions(batches)):
+            yield from pa.Table.from_pandas(done, schema=returned, preserve_index=False).to_batches()
+
+    return posts.mapInArrow(mapped, schema)
+
 
 def label_posts(
     posts: DataFrame,
@@ -186,7 +221,7 @@ def label_posts(
 ) -> DataFrame:
     """Run any labeller over batches of rows: ``key``, the label columns, and ``error``.
 
-    A batch is tried again while the labeller reports a rate limit. A batch that fails in any
+    A batch has at most ``PORTION_ROWS`` rows and, unless it is one row, ``PORTION_MB``. It is tried again while the labeller reports a rate limit. A batch that fails in any
     other way is halved until the rows that fail stand alone. Rejected rows, and rows that the
     labeller does not return, stay in the result with their error. Concurrency is the number of
     partitions. Select the needed columns and filter before calling.
@@ -216,7 +251,7 @@ def label_posts(
                     middle = len(part) // 2
                     waiting += [part.iloc[middle:], part.iloc[:middle]]
 
-    return posts.mapInPandas(run, schema)
+    return _map_portions(posts, run, schema)
 
 
 def _tried(
@@ -369,7 +404,7 @@ def gather_labels(
                         found[name].append(None if errors else own.get(name))
             yield pd.DataFrame({name: pd.Series(rows, dtype=object) for name, rows in found.items()})
 
-    return posts.mapInPandas(run, schema)
+    return _map_portions(posts, run, schema)
 
 
 def split_gathered(gathered: DataFrame, key: str = "post_id") -> tuple[DataFrame, DataFrame]:

@@ -222,6 +222,27 @@ def hook(spark, labeller):
     return {r.post_id: (r.label, r.error) for r in out.collect()}
 
 
+def test_labellers_get_small_portions(spark):
+    """Many rows, or few long ones: a labeller gets a bounded part of Spark's batch, and every row comes back once."""
+    many = spark.range(0, 5000, 1, 1).selectExpr("id", "'x' AS t", "timestamp_seconds(id) AS at")
+    long = spark.range(9000, 9012, 1, 1).selectExpr("id", "repeat('word ', 300000) AS t", "timestamp_seconds(id) AS at")
+    size = T.StructType.fromDDL("n long, mb double, at timestamp")
+
+    def sizes(batch):
+        mb = batch["t"].str.len().sum() / 1e6
+        return batch[["id", "at"]].assign(n=len(batch), mb=float(mb))
+
+    for df in (many, long):
+        out = labels.label_posts(df, sizes, size, key="id").cache()
+        assert out.where("error IS NOT NULL").isEmpty()
+        assert out.select("id", "at").exceptAll(df.select("id", "at")).isEmpty() and out.count() == df.count()
+        most = out.agg(F.max("n"), F.max("mb")).first()
+        assert most[0] <= labels.PORTION_ROWS and most[1] <= labels.PORTION_MB
+    kind = T.StructType.fromDDL("n long")
+    got = labels.gather_labels(many.select("id", "t"), {"a": (lambda b: b[["id"]].assign(n=len(b)), kind)}, key="id")
+    assert got.where("error IS NULL AND n <= 16").select("id").distinct().count() == 5000
+
+
 def test_hook(spark, tmp_path):
     assert hook(spark, lambda b: pd.DataFrame({"post_id": b.post_id, "label": b.t.str.upper()})) == {
         "1": ("A", None), "2": ("B", None),
