@@ -205,6 +205,25 @@ def test_recipients_of_busy_states_stay_small(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "sent").glob("*.parquet")) < 0.8 * rows
 
 
+def test_pairs_of_a_state_are_dealt_by_events_and_by_subscribers(spark):
+    """Neither many events nor many subscribers of one state are left to a task, and large tasks are not paired."""
+    wide, states = 12_000, ["Sabah", "Kedah", "Perak", "Pahang", "Perlis", "Johor"]
+    state = F.when(F.col("id") < wide, "selangor").otherwise(F.get(F.array(*map(F.lit, states)), F.col("id").cast("int") % 6))
+    due = spark.range(wide + 60).select(F.col("id").cast("string").alias("event_id"), state.alias("location_state"))
+    due = due.unionByName(due.where("event_id = '7'").withColumn("event_id", F.lit(None)))
+    few, many = [(f"w{i}@x", "Selangor") for i in range(9)], [(f"m{i}@x", *states) for i in range(5000)]
+    sent = alerts.alert_recipients(due, subscribers(spark, *few, *many, ("k@x", "Kelantan")))
+    assert sent.columns == ["event_id", "location_state", "email"]
+    rows = [(r._p, r.location_state, r.n, r.m) for r in sent.groupBy(F.spark_partition_id().alias("_p"), "location_state").agg(
+        F.count("*").alias("n"), F.count_distinct("event_id", "email").alias("m")).collect()]
+    at = {s: [(p, n, m) for p, t, n, m in rows if t == s] for s in ["selangor", *states]}
+    assert len(at.pop("selangor")) == 3 and max(n for _, t, n, _ in rows if t == "selangor") < 1.2 * 9 * 4_000
+    assert sum(n for _, _, n, _ in rows) == (wide + 1) * 9 + 60 * 5000
+    assert sum(m for _, _, _, m in rows) == wide * 9 + 60 * 5000
+    assert all(len(x) == 2 and max(n for _, n, _ in x) < 0.6 * 10 * 5000 for x in at.values())
+    assert len({p for p, *_ in rows}) == len(rows) == 3 + 2 * 6
+
+
 def test_outbox_equals_messages_to_recipients(spark, tmp_path):
     """The same messages, their event fields made before events meet subscribers; a few bytes written for each."""
     due = spark.createDataFrame([alert_event(i, ["johor", "pulau pinang"][i % 2]) for i in range(400)], ALERT)
