@@ -239,6 +239,21 @@ def test_outbox_equals_messages_to_recipients(spark, tmp_path):
     assert "initcap" in steps[-1] and "initcap" not in steps[0]
 
 
+def test_outbox_of_one_busy_state_is_written_by_many_tasks(spark):
+    """Events of a state with few subscribers do not wait for one task to write all their messages."""
+    due = spark.range(12_000).select(
+        F.col("id").cast("string").alias("event_id"), F.lit("flood").alias("classification_type"),
+        F.lit("johor").alias("location_state"), F.lit("muar").alias("location_district"),
+        F.lit(TS).cast("timestamp").alias("start_time"),
+    )
+    made = alerts.outbox(due, subscribers(spark, ("a@x", "Johor"), ("b@x", "johor", "Sabah")), "https://h/u")
+    rows = made.groupBy(F.spark_partition_id()).agg(
+        F.count("*").alias("n"), F.count_distinct("event_id", "unsubscribe_link").alias("m")
+    ).collect()
+    assert sum(r.n for r in rows) == sum(r.m for r in rows) == 2 * 12_000
+    assert len(rows) == 3 and max(r.n for r in rows) < 1.2 * 2 * 4_000
+
+
 def test_cooldown_is_a_fold(spark):
     rows = [("e", NOW + timedelta(minutes=m)) for m in (0, 30, 60, 90, 120)]
     rows += [("f", NOW + timedelta(minutes=m)) for m in (0, 50, 100, 110, 160, 170)]
